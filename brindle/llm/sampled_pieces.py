@@ -35,7 +35,7 @@ from brindle.llm.common import small_batches, text_of
 BLANK = "▁"
 SAMPLES, ALPHA, SEED = 2, 2.0, 20
 #: Characters whose lattices are in memory at once.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 5 << 19
 #: A word with its blanks before it; newlines are in no piece, so a text may also be cut around them.
 UNIT = re.compile(rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 
@@ -265,6 +265,10 @@ def sample_batch(texts: list[np.ndarray], keys: list[int], lattices: Lattices, k
         now = [(s, x) for s in searches if len(s.done) == round_ and (x := s.pop(lattices))]
         if not now:
             break
+        if round_ == k:  # only the value is wanted: it is the bound of the best prefix
+            for s, x in now:
+                s.done.append((x[0], none))
+            break
         count = np.array([len(s.words) - x[2] if x[4] >= 0 else 0 for s, x in now])
         ends = np.cumsum(count)
         first = ends - count
@@ -284,7 +288,8 @@ def sample_batch(texts: list[np.ndarray], keys: list[int], lattices: Lattices, k
             before[first[i] : ends[i]] = np.cumsum(own) - own + x[1]
         # the ways to leave a word's path, arc by arc
         inside = lattices.share[arcs]
-        place = np.arange(len(arcs)) - np.searchsorted(of, of)
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        place = np.arange(len(arcs)) - np.repeat(heads, np.diff(np.append(heads, len(arcs))))
         own, inside = inside, np.zeros(len(arcs))
         for step in range(1, int(place.max()) + 1 if len(arcs) else 0):
             here = np.flatnonzero(place == step) if step < 64 else here[place[np.minimum(here + 1, len(place) - 1)] == step] + 1
@@ -292,18 +297,17 @@ def sample_batch(texts: list[np.ndarray], keys: list[int], lattices: Lattices, k
         leave = inside + lattices.rest[arcs]
         other = np.full(len(node), -np.inf)
         if len(arcs):
-            heads = np.flatnonzero(place == 0)
             top = np.maximum.reduceat(leave, heads)
             top = np.where(np.isneginf(top), 0.0, top)
             with np.errstate(divide="ignore"):
                 out_mass = top + np.log(np.add.reduceat(np.exp(leave - np.repeat(top, np.diff(np.append(heads, len(arcs))))), heads))
             other[of[heads]] = before[of[heads]] + out_mass
         bound0 = np.array([x[0] for _, x in now])
-        bounds = truncated(other, bound0[doc], uniform(salt + np.uint64(0xA0761D6478BD642F))) if round_ < k else None
+        bounds = truncated(other, bound0[doc], uniform(salt + np.uint64(0xA0761D6478BD642F)))
         for i, (s, (bound, mass, word, prefix, _)) in enumerate(now):
             own = arcs[arc_start[i] : arc_end[i]]
             s.done.append((bound, np.concatenate((prefix, own))))
-            if round_ == k or not count[i]:
+            if not count[i]:
                 continue
             # no more than the segmentations still wanted can come from these words
             b, wanted = bounds[first[i] : ends[i]], k - round_
@@ -390,7 +394,7 @@ def sample_task(path: str, k: int, alpha: float, seed: int):
 
 def segmentations(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Up to k rows per document: id, sample, log_prob, inclusion, ids (pieces)."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession, 768)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(sample_task(path, k, alpha, seed), "id long, sample int, log_prob double, inclusion double, ids array<int>").withColumnRenamed("id", id_col)
 
