@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-PLANS: list = []
+from brindle.plans import retrieval
+
+PLANS: list = [retrieval]
 
 
 def queries() -> dict:
