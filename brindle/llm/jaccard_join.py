@@ -10,8 +10,8 @@ result is each document's component under these links. No pair of equal sets is
    document orders members from rare to common and keeps the first so many that a linked pair must share one of them;
    members that no other document has are spent first. Passages that many documents share are common, so they rarely
    remain. Documents that share a kept member are joined to groups, by connected components.
-3. Each group's whole sets go into a radix trie under one global order, common members first, so that near copies share
-   their path. Every set is looked up while the tree grows: the walk carries the overlap so far, a subtree is left when the
+3. Each group's whole sets go into radix tries under one global order, common members first, so that near copies share
+   their path; there is one trie for each member that is among the rarest of several sets. Every set is looked up while the tree grows: the walk carries the overlap so far, a subtree is left when the
    overlap that the remaining lengths allow falls short, and also when all its sets are already in the set's own component.
 4. A group above the bound of one task is dealt to blocks by hash within size classes; pairs of blocks whose sizes can link
    are separate tasks, each returning a spanning forest of its links, and the forests are joined by connected components.
@@ -115,13 +115,14 @@ class Node:
 
 
 class Trie:
-    """Finds the links of each added set to the sets before it, up to what connects components."""
+    """Finds the links of each added set to the sets before it, up to what connects components.
 
-    def __init__(self, num: int, den: int, n_ranks: int):
-        self.num, self.den = num, den
+    parent is the union-find of all sets of the task; has is scratch space, one place per rank.
+    """
+
+    def __init__(self, num: int, den: int, parent: list[int], has: np.ndarray):
+        self.num, self.den, self.parent, self.has = num, den, parent, has
         self.root = Node(np.zeros(0, np.int64), 1 << 60, 0, -1)
-        self.parent: list[int] = []
-        self.has = np.zeros(n_ranks, bool)
 
     def find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -132,10 +133,8 @@ class Trie:
     def links(self, a: int, b: int, overlap: int) -> bool:
         return overlap * (self.num + self.den) >= self.num * (a + b)
 
-    def add(self, ranks: np.ndarray) -> list[int]:
+    def add(self, me: int, ranks: np.ndarray) -> list[int]:
         """Adds a set of sorted ranks; returns earlier sets whose links joined their components to the new set's."""
-        me = len(self.parent)
-        self.parent.append(me)
         self.has[ranks] = True
         met = self.probe(me, ranks)
         self.has[ranks] = False
@@ -222,16 +221,32 @@ class Trie:
 
 
 def forest(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among the sets."""
+    """Edges of a spanning forest of the links among the sets.
+
+    Linked sets share one of the n - need(n) + 1 members that are rarest here, so there is a tree for each such member that
+    several sets have; sets that are in one component already need no tree.
+    """
     if len(ids) < 2:
         return []
     members, counts = np.unique(np.concatenate(sets), return_counts=True)
     rank = np.empty(len(members), np.int64)
     rank[np.lexsort((members, -counts))] = np.arange(len(members))
-    trie, edges = Trie(num, den, len(members)), []
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    for k, i in enumerate(order):
-        edges += [(ids[i], ids[order[j]]) for j in trie.add(np.sort(rank[np.searchsorted(members, sets[i])]))]
+    ranked = [np.sort(rank[np.searchsorted(members, s)]) for s in sets]
+    # ranks rise from common to rare: the rarest are the last
+    rare = [r[need(len(r), num, den) - 1 :] for r in ranked]
+    member = np.concatenate(rare)
+    order = np.argsort(member, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), [len(r) for r in rare])[order]
+    heads = np.flatnonzero(np.diff(member[order], prepend=-1))
+    parent, has, edges = list(range(len(sets))), np.zeros(len(members), bool), []
+    lists = sorted((x for x in np.split(holder, heads[1:]) if len(x) > 1), key=len)
+    for holders in lists:
+        tree = Trie(num, den, parent, has)
+        first = tree.find(int(holders[0]))
+        if all(tree.find(i) == first for i in holders.tolist()):
+            continue
+        for i in sorted(holders.tolist(), key=lambda i: (len(ranked[i]), ids[i])):
+            edges += [(ids[i], ids[j]) for j in tree.add(i, ranked[i])]
     return edges
 
 
