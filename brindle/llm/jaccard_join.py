@@ -11,7 +11,8 @@ result is each document's component under these links. No pair of equal sets is
    members that no other document has are spent first. Passages that many documents share are common, so they rarely
    remain. Documents that share a kept member are joined to groups, by connected components.
 3. Each group's whole sets go into radix tries under one global order, common members first, so that near copies share
-   their path; there is one trie for each member that is among the rarest of several sets. Every set is looked up while the tree grows: the walk carries the overlap so far, a subtree is left when the
+   their path; sets that such a rarest
+   member joins are one trie. Every set is looked up while the tree grows: the walk carries the overlap so far, a subtree is left when the
    overlap that the remaining lengths allow falls short, and also when all its sets are already in the set's own component.
 4. A group above the bound of one task is dealt to blocks by hash within size classes; pairs of blocks whose sizes can link
    are separate tasks, each returning a spanning forest of its links, and the forests are joined by connected components.
@@ -133,12 +134,13 @@ class Trie:
     def links(self, a: int, b: int, overlap: int) -> bool:
         return overlap * (self.num + self.den) >= self.num * (a + b)
 
-    def add(self, me: int, ranks: np.ndarray) -> list[int]:
-        """Adds a set of sorted ranks; returns earlier sets whose links joined their components to the new set's."""
+    def add(self, me: int, ranks: np.ndarray, keep: bool = True) -> list[int]:
+        """Looks up a set of sorted ranks and adds it (unless keep is false); returns earlier sets whose links joined components."""
         self.has[ranks] = True
         met = self.probe(me, ranks)
         self.has[ranks] = False
-        self.insert(me, ranks)
+        if keep:
+            self.insert(me, ranks)
         return met
 
     def uniform(self, node: Node) -> int:
@@ -178,7 +180,7 @@ class Trie:
             if len(edge):
                 overlap += int(np.count_nonzero(self.has[edge]))
                 depth += len(edge)
-                left = n - int(np.searchsorted(ranks, edge[-1], "right"))
+                left = n - int(ranks.searchsorted(edge[-1], "right"))
             else:
                 left = n
             size = min(max(depth + left, node.least), node.most)
@@ -223,8 +225,7 @@ class Trie:
 def forest(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among the sets.
 
-    Linked sets share one of the n - need(n) + 1 members that are rarest here, so there is a tree for each such member that
-    several sets have; sets that are in one component already need no tree.
+    Linked sets share one of the n - need(n) + 1 members that are rarest here, so a tree holds the sets that such members join.
     """
     if len(ids) < 2:
         return []
@@ -240,13 +241,43 @@ def forest(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[t
     heads = np.flatnonzero(np.diff(member[order], prepend=-1))
     parent, has, edges = list(range(len(sets))), np.zeros(len(members), bool), []
     lists = sorted((x for x in np.split(holder, heads[1:]) if len(x) > 1), key=len)
+    linker = Trie(num, den, parent, has)
+    # near copies of a list's first set are linked to it at once
     for holders in lists:
+        head = int(holders[0])
+        has[ranked[head]] = True
+        for i in holders[1:].tolist():
+            if linker.find(i) != linker.find(head) and linker.links(len(ranked[i]), len(ranked[head]), int(np.count_nonzero(has[ranked[i]]))):
+                parent[linker.find(i)] = linker.find(head)
+                edges.append((ids[i], ids[head]))
+        has[ranked[head]] = False
+    # sets meet through the lists they are in; what meets is one tree, whatever the number of lists
+    meet = list(range(len(sets)))
+
+    def place(x: int) -> int:
+        while meet[x] != x:
+            meet[x] = meet[meet[x]]
+            x = meet[x]
+        return x
+
+    for holders in lists:
+        head = place(int(holders[0]))
+        for i in holders[1:].tolist():
+            meet[place(i)] = head
+    groups: dict[int, list[int]] = {}
+    for i in range(len(sets)):
+        groups.setdefault(place(i), []).append(i)
+    for group in groups.values():
+        of: dict[int, list[int]] = {}
+        for i in group:
+            of.setdefault(linker.find(i), []).append(i)
+        # what is left to compare lies between components: the largest is looked up in a trie of the others
+        *others, largest = sorted(of.values(), key=lambda x: (len(x), ids[x[0]]))
         tree = Trie(num, den, parent, has)
-        first = tree.find(int(holders[0]))
-        if all(tree.find(i) == first for i in holders.tolist()):
-            continue
-        for i in sorted(holders.tolist(), key=lambda i: (len(ranked[i]), ids[i])):
+        for i in sorted((i for x in others for i in x), key=lambda i: (len(ranked[i]), ids[i])):
             edges += [(ids[i], ids[j]) for j in tree.add(i, ranked[i])]
+        for i in largest if others else ():
+            edges += [(ids[i], ids[j]) for j in tree.add(i, ranked[i], keep=False)]
     return edges
 
 
