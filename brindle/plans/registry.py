@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.plans import retrieval
+from brindle.plans import analytics, retrieval
 
-PLANS: list = [retrieval]
+PLANS: list = [retrieval, analytics]
 
 
 def queries() -> dict:
