@@ -30,7 +30,7 @@ def byte_offsets(text: Column, needle: str) -> Column:
         at = F.when(size >= n, F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
         hit = F.filter(at, lambda i: F.substring(text.cast("binary"), i + 1, F.lit(n)) == F.lit(raw))
         return F.when(F.contains(text, F.lit(needle)), hit).otherwise(F.array().cast("array<int>"))
-    parts = F.split(text, "\\Q" + needle + "\\E", -1)
+    parts = F.split(text, "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     step = lambda a, p: F.struct((a["at"] + F.octet_length(p) + len(raw)).alias("at"), F.concat(a["out"], F.array(a["at"] + F.octet_length(p))).alias("out"))
     return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda a: a["out"])
