@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.plans import analytics, retrieval
+from brindle.plans import analytics, retrieval, structure
 
-PLANS: list = [retrieval, analytics]
+PLANS: list = [retrieval, analytics, structure]
 
 
 def queries() -> dict:

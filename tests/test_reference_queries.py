@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions.text import byte_offsets, is_identifier, is_path, quoted
-from brindle.operators import audit, graph, logs
+from brindle.operators import audit, graph, logs, structure
 from brindle.plans import registry
 
 TINY = "/root/testdata/sf0.001"
@@ -83,3 +83,21 @@ def test_retention_keeps_a_late_new_event(spark):
     stored, new = spark.createDataFrame([(1, at(1)), (2, at(3))], schema), spark.createDataFrame([(3, at(1))], schema)
     assert {r.event_id for r in audit.retained(stored, new, "2024-01-02", 10).collect()} == {2, 3}
     assert {r.event_id for r in audit.retained(stored, new, "2024-01-02", 1).collect()} == {2}
+
+
+@pytest.mark.parametrize(("line", "name"), [("pub fn a_b(&self)", "a_b"), ("\tclass Header(Base):", "Header"), ("async final def", None), ("classy x", None), ("fn (x)", None), ("fn 9a", None), ("", None), (None, None)])
+def test_declared_name(spark, line, name):
+    assert spark.createDataFrame([(line,)], "x string").select(structure.declared_name(F.col("x"))).first()[0] == name
+
+
+def test_resolution_prefers_the_file_then_a_scope_without_namesakes(spark):
+    declared = spark.createDataFrame([("f", "a", 1), ("f", "a", 2), ("g", "b", 3), ("g", "c", 4), ("h", "c", 5)], "file string, name string, node long")
+    uses = spark.createDataFrame([("f", "a"), ("f", "b"), ("f", "c"), ("f", "z"), ("f", None)], "file string, name string")
+    kinds = lambda local: {r.name: (r.target, r.resolution) for r in structure.resolve(uses, declared, local).collect()}
+    assert kinds("first") == {"a": (1, "local"), "b": (3, "scope"), "c": (None, "ambiguous"), "z": (None, "unresolved"), None: (None, "unresolved")}
+    assert kinds("only")["a"] == (None, "ambiguous")
+
+
+def test_seeds_keep_three_of_a_file(spark):
+    rows = spark.createDataFrame([(1, "p", i) for i in range(5)] + [(1, "q", 9)], "task int, path string, id int")
+    assert sorted((r.path, r.id, r.place) for r in structure.admit_seeds(rows, "task", "path", ["id"]).collect()) == [("p", 0, 1), ("p", 1, 2), ("p", 2, 3), ("q", 9, 4)]
