@@ -3,7 +3,8 @@
 A text is a vector of hashed character n-grams (1 to 3 letters, words marked by blanks), weighted by TF-IDF and
 normalised. Each language has several centroids, found by spherical k-means over a bounded sample of its labelled
 texts; a text gets the language of the nearest centroid by cosine. A text whose cosine is far below what the sample
-showed at its length is rejected.
+showed at its length is rejected. At lengths below the sample's, beginnings of the sampled texts stand in; above them,
+the threshold of the longest sampled length holds on.
 
 Null text and text without a letter: language `und`, score 0, rejected. Rows without a label, or with a label but
 null text, are never learned from. Texts are used whole. Without any labelled row every text is `und` and rejected. Ties go to the
@@ -12,7 +13,7 @@ language that sorts first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -107,8 +108,13 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit_vectors(sample: list[tuple[str, np.ndarray, int]]) -> Model:
-    """Fit from (language, counts, letters) of sampled texts."""
+def own_cosine(rows: np.ndarray, of: np.ndarray, centres: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Cosine of each row to the nearest centroid of its own language."""
+    return np.where(owner[None, :] == of[:, None], rows @ centres.T, -1).max(axis=1)
+
+
+def fit_vectors(sample: list[tuple[str, np.ndarray, int]], cuts: Iterable[tuple[str, np.ndarray, int]] = ()) -> Model:
+    """Fit from (language, counts, letters) of sampled texts; cuts are beginnings of theirs, for thresholds of shorter texts."""
     sample = [x for x in sample if x[2]]
     languages = sorted({x[0] for x in sample})
     if not languages:
@@ -119,25 +125,30 @@ def fit_vectors(sample: list[tuple[str, np.ndarray, int]]) -> Model:
     rows = weighted(counts, idf)
     parts = [k_means(rows[of == i], CENTROIDS) for i in range(len(languages))]
     centres, owner = np.concatenate(parts), np.concatenate([np.full(len(p), i) for i, p in enumerate(parts)])
-    own = np.where(owner[None, :] == of[:, None], rows @ centres.T, -1).max(axis=1)
-    least, at, running = np.zeros(25), bucket(n), np.inf
-    for b in range(24, -1, -1):  # a shorter text may be as far as the shorter of the sample
-        if (at == b).any():
-            running = min(running, own[at == b].min())
-        least[b] = REJECT_SHARE * running if np.isfinite(running) else 0
-    # below the shortest texts of the sample nothing is rejected
-    least[: at.min()] = 0
+    at, nearest = bucket(n), np.full(25, np.inf)
+    np.minimum.at(nearest, at, own_cosine(rows, of, centres, owner))
+    for lang, found, letters_ in cuts:
+        if letters_ and bucket(letters_) < at.min():
+            row, i = weighted(found[None, :], idf), np.array([languages.index(lang)])
+            nearest[bucket(letters_)] = min(nearest[bucket(letters_)], own_cosine(row, i, centres, owner)[0])
+    nearest[at.max() + 1 :] = nearest[at.max()]
+    # a shorter text may be as far as the longer of the sample
+    least = REJECT_SHARE * np.maximum(np.minimum.accumulate(nearest[::-1])[::-1], 0)
     return Model(languages, owner, centres, idf, least)
 
 
 def vector_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to sparse counts."""
+    """(lang, text) to sparse counts of the text and of beginnings of it, each half as long as the one before."""
     for batch in batches:
-        found = [grams(t) for t in batch.column(1).to_pylist()]
+        texts = batch.column(1).to_pylist()
+        shorter = [[t[: len(t) >> k] for k in range(1, len(t).bit_length())] for t in texts]
+        of = pa.array([i for i, ts in enumerate(shorter) for _ in range(1 + len(ts))], pa.int64())
+        cut = [k > 0 for ts in shorter for k in range(1 + len(ts))]
+        found = [grams(t) for whole, ts in zip(texts, shorter) for t in (whole, *ts)]
         at = [np.flatnonzero(c) for c, _ in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()), pa.array([c[i].astype(np.uint32).tobytes() for i, (c, _) in zip(at, found)], pa.binary()), pa.array([n for _, n in found], pa.int64())],
-            ["lang", "at", "n", "letters"],
+            [batch.column(0).take(of), pa.array(cut, pa.bool_()), pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()), pa.array([c[i].astype(np.uint32).tobytes() for i, (c, _) in zip(at, found)], pa.binary()), pa.array([n for _, n in found], pa.int64())],
+            ["lang", "cut", "at", "n", "letters"],
         )
 
 
@@ -152,13 +163,15 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
     near = ids.select("lang", "id", spread).join(F.broadcast(sizes), "lang").filter(F.col("h") * F.col("count") <= F.lit(float(1 << 40)) * 2 * per_language)
     picked = near.withColumn("n", F.expr("row_number() over (partition by lang order by h, id)")).filter(F.col("n") <= per_language).select("lang", "id")
     texts = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), ["lang", "id"], "left_semi").select("lang", "text")
-    found = texts.mapInArrow(vector_task, "lang string, at binary, n binary, letters long").collect()
-    sample = []
-    for r in sorted(found, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"]))):
+    found = texts.mapInArrow(vector_task, "lang string, cut boolean, at binary, n binary, letters long").collect()
+
+    def dense(r) -> tuple[str, np.ndarray, int]:
         counts = np.zeros(DIM, np.int64)
         counts[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
-        sample.append((r["lang"], counts, r["letters"]))
-    return fit_vectors(sample)
+        return r["lang"], counts, r["letters"]
+
+    sample = sorted((r for r in found if not r["cut"]), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
+    return fit_vectors([dense(r) for r in sample], (dense(r) for r in found if r["cut"]))
 
 
 def identify_task(model: Model):

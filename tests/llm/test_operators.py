@@ -413,6 +413,18 @@ def test_language_id_rejects(spark, edges, docs):
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_id_rejects_beyond_the_sampled_lengths(spark, docs):
+    model = language_id.fit(docs, F.lit(True))
+    longest = docs.agg(F.max(F.length("text"))).first()[0]
+    assert (model.least[4:] > 0).all()
+    rng = np.random.default_rng(2)
+    noise = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 8 * longest + 8)), "быстрая лиса прыгает через собаку " * (longest // 4), "ждфщцъ" * 3]
+    real = [(" ".join(r.t), " ".join(r.t)[:20]) for r in docs.groupBy("lang").agg(F.slice(F.collect_list("text"), 1, 200).alias("t")).collect()]
+    odd = spark.createDataFrame([*enumerate(noise), *((100 + i, t) for i, t in enumerate(x for pair in real for x in pair))], "doc_id long, text string")
+    got = {r.doc_id: r.rejected for r in language_id.identify(odd, model).collect()}
+    assert all(got[i] == (i < 100) for i in got), got
+
+
 # 10
 
 
