@@ -1,8 +1,8 @@
 """Secret scan: three base patterns, and character Markov models for secrets that no pattern names.
 
 Two first-order character models, of random strings and of ordinary identifiers, are trained from labelled samples.
-A run of key-like characters is a secret where the log-likelihood ratio of the two models, in bits, passes a threshold
-in total and per character. Spans of the models are added; spans of the patterns stay as they are.
+A run of at least LEAST_RUN key-like characters is a secret where the log-likelihood ratio of the two models, in bits,
+passes a threshold in total and per character; shorter runs are not put to the models. Spans of the models are added; spans of the patterns stay as they are.
 
 Null and empty texts have no spans. Texts are scanned whole. Repeated rows each get a row. Labels outside 0 and 1 and
 null samples are ignored; a model without samples is uniform.
@@ -35,7 +35,9 @@ ASSIGN_HINT = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 HEX_HINT = r"[0-9a-f]{16}"
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-LEAST_RUN = 20
+#: The least value length of the assignment pattern, and below the 16 characters of the shortest training key: from here on
+#: the models' thresholds decide.
+LEAST_RUN = 12
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}+")
 RUN_HINT = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN}}}"
 

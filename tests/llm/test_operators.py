@@ -95,6 +95,16 @@ def test_secret_models(docs, spark):
     assert secret_scan.model_spans(text, model, [(10, 0, 12)]) == []
 
 
+def test_secret_models_take_short_keys(docs, spark):
+    model = secret_scan.LikelihoodRatio(secret_scan.labelled_samples(docs, most_docs=100, per_label=3000))
+    rng = np.random.default_rng(4)
+    keys = ["".join(rng.choice(list("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"), n)) for n in (12, 14, 16, 17, 18, 19) for _ in range(20)]
+    rows = spark.createDataFrame([*enumerate(f"login with {k} now" for k in keys), (900, "internationalization of max_retry_count and HttpHandler")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(rows, model).collect()}
+    assert np.mean([got[i] == f"markov:11:{11 + len(k)}" for i, k in enumerate(keys)]) > 0.95
+    assert got[900] == ""
+
+
 # 2
 
 
