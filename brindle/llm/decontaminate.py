@@ -3,8 +3,9 @@
 Texts are cut to words; numbers, names and units become typed placeholders. Windows of template tokens are hashed and
 joined, through a hash table of the benchmark's windows, to the windows of every document. Windows that agree are
 followed along their diagonal (document place minus item place); where they cover enough of an item, the slots are
-checked: one item value must stand for one document value and two item values for two. So a passage is found as it is
-(exact), and with other numbers, names or units (re-parameterised); a text that shares only its shape is left alone.
+checked: one item value must stand for one document value, and windows where one stands for several do not count. Two item
+values may stand for one, as new values may coincide. So a passage is found as it is (exact), and with other numbers, names
+or units (re-parameterised); a text that shares only its shape is left alone.
 
 Items are handled in slices of bounded bytes, so the table that goes to the executors has a proven size however large the
 benchmark is. Null and empty texts and items match nothing. Items shorter than the window are one window of their whole
@@ -29,7 +30,7 @@ from brindle.llm.common import small_batches, text_of
 WINDOW = 8
 #: Plain words a window must hold: a window of placeholders says nothing.
 PLAIN = 5
-#: Share of an item's windows that must agree, one slot check failing them all.
+#: Share of an item's windows that must agree, slots included.
 COVERAGE = 0.5
 #: Bytes of benchmark text whose windows go to the executors at once.
 SLICE_BYTES = 16 << 20
@@ -149,22 +150,24 @@ class Windows:
                     runs[item, p - q].add(q)
         found: dict[int, list] = defaultdict(lambda: [set(), True])
         for (item, shift), places in runs.items():
-            if (same := self.slots_agree(item, shift, places, template)) is not None:
-                found[item][0] |= places
+            agreeing, same = self.slots_agree(item, shift, places, template)
+            if agreeing:
+                found[item][0] |= agreeing
                 found[item][1] &= same
         return [(item, len(places), self.items[item][2], exact) for item, (places, exact) in sorted(found.items()) if len(places) >= math.ceil(COVERAGE * self.items[item][2])]
 
-    def slots_agree(self, item: int, shift: int, places: set, text: Template) -> bool | None:
-        """None where the slots contradict each other; else whether all values are the item's own."""
+    def slots_agree(self, item: int, shift: int, places: set, text: Template) -> tuple[set, bool]:
+        """The places of windows without an item value that stands for several, and whether all values are the item's own."""
         mine, size, _ = self.items[item]
-        there, back, same = {}, {}, True
+        values, at, same = defaultdict(set), defaultdict(list), True
         for i in sorted({p + k for p in places for k in range(size)}):
             if kind := int(mine.kinds[i]):
                 a, b = (kind, mine.value(i)), (kind, text.value(i + shift))
-                if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                    return None
+                values[a].add(b)
+                at[a].append(i)
                 same &= a == b
-        return same
+        torn = {i for a, found in values.items() if len(found) > 1 for i in at[a]}
+        return {p for p in places if torn.isdisjoint(range(p, p + size))} if torn else places, same
 
 
 def slices(benchmark: DataFrame, item_col: str, text_col: str, slice_bytes: int) -> Iterator[list[tuple[int, str]]]:

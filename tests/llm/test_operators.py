@@ -165,6 +165,15 @@ def test_decontamination(spark):
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_decontamination_tolerates_coinciding_and_single_torn_values(spark):
+    item = "the farmer has 3 apples and 5 pears in a basket and wants to know how many pieces of fruit there are"
+    long_item = "a train of 7 carriages leaves the old station while " + " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)) + " and later a bus passes by with 7 empty seats in the rain"
+    benchmark = spark.createDataFrame([(1, item), (2, long_item)], "item_id long, text string")
+    rows = [(1, item.replace("3", "4").replace("5", "4")), (2, long_item.replace("with 7", "with 9")), (3, "nothing of it")]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(1, 1): False, (2, 2): False}
+
+
 def test_decontamination_against_plain_windows(docs, texts, spark):
     benchmark = spark.read.parquet(f"{TINY}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).filter("exact").collect()}
