@@ -7,9 +7,14 @@ checked: one item value must stand for one document value, and windows where one
 values may stand for one, as new values may coincide. So a passage is found as it is (exact), and with other numbers, names
 or units (re-parameterised); a text that shares only its shape is left alone.
 
+Beside the templates, an item is found by its words alone: by any RUN of its words in a row, numbers and names included, so a
+long passage counts however long the item is; and an item of fewer words, or without template windows, by all its words.
+Scripts without blanks are cut to letters, and a run of theirs is BLANKLESS_RUN letters. An item without a letter, digit or
+sign that WORD knows matches nothing.
+
 Items are handled in slices of bounded bytes, so the table that goes to the executors has a proven size however large the
 benchmark is. Null and empty texts and items match nothing. Items shorter than the window are one window of their whole
-length, if that has enough plain words. Repeated rows are judged each. Texts are read whole.
+length, if that has enough plain words, besides their literal words. Repeated rows are judged each. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,10 +37,16 @@ WINDOW = 8
 PLAIN = 5
 #: Share of an item's windows that must agree, slots included.
 COVERAGE = 0.5
+#: Words, or letters of scripts without blanks, that make a match wherever they agree literally and in a row.
+RUN, BLANKLESS_RUN = 13, 32
 #: Bytes of benchmark text whose windows go to the executors at once.
 SLICE_BYTES = 16 << 20
 
-WORD = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?]+|[%°$€£]")
+#: Thai, Lao, Burmese, Khmer, kana and Han.
+BLANKLESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+LETTER = rf"[^\W\d_{BLANKLESS}]"
+WORD = re.compile(rf"\d+(?:[.,:/]\d+)*|{LETTER}+(?:['’-]{LETTER}+)*|[^\W\d_]|[.!?]+|[%°$€£]")
+IS_BLANKLESS = re.compile(f"[{BLANKLESS}]")
 #: Units that are replaced by a placeholder.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz ounce ounces ton tons ml l liter liters litre litres gallon gallons "
@@ -99,35 +110,59 @@ class Template:
         kinds = np.where((kinds == UNIT) & ~after_number, PLAIN_KIND, kinds)
         self.raw, self.at = raw, np.flatnonzero(keep)
         self.kinds = kinds[keep]
-        self.hashes = np.where(self.kinds == PLAIN_KIND, vocabulary.hashes[number[keep]], self.kinds.astype(np.uint64))
+        self.literal = vocabulary.hashes[number[keep]]
+        self.hashes = np.where(self.kinds == PLAIN_KIND, self.literal, self.kinds.astype(np.uint64))
 
     def value(self, i: int) -> str:
         return self.raw[self.at[i]].lower()
 
 
-def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
-    if len(code) < size:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(code) - size + 1, np.uint64)
-    for i in range(size):
-        out = (out ^ code[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+class WindowHashes:
+    """Hashes of all windows of any size over a row of codes: of two halves, which may overlap."""
+
+    def __init__(self, code: np.ndarray):
+        self.powers = [code]
+
+    def __call__(self, size: int) -> np.ndarray:
+        n, k = len(self.powers[0]) - size + 1, size.bit_length() - 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        while len(self.powers) <= k:
+            last, step = self.powers[-1], 1 << len(self.powers) - 1
+            self.powers.append(self.joined(last[:-step], last[step:]))
+        half = self.powers[k]
+        return half if size == 1 << k else self.joined(half[:n], half[size - (1 << k) :][:n])
+
+    @staticmethod
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(29))
 
 
 class Windows:
-    """Hash table of a slice of the benchmark: window hash to (item, place), by window size."""
+    """Hash tables of a slice of the benchmark: window hash to (item, place), and hash of literal words to items, by window size."""
 
     def __init__(self, items: list[tuple[int, str]], plain: frozenset[str]):
-        self.plain, self.items, self.by_size = plain, {}, {}
+        self.plain, self.items, self.by_size, self.literal, self.runs = plain, {}, {}, {}, {}
         vocabulary = Vocabulary(plain)
         grown: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        literal: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             template = Template(text or "", vocabulary)
-            size = min(WINDOW, len(template.kinds))
+            n = len(template.kinds)
+            if not n:
+                continue
+            blankless = 2 * sum(bool(IS_BLANKLESS.match(template.value(i))) for i in range(n)) > n
+            run = min(BLANKLESS_RUN if blankless else RUN, n)
+            hashes = WindowHashes(template.literal)(run)
+            self.runs[item] = len(hashes)
+            for h in hashes.tolist():
+                literal[run][h].add(item)
+            size = min(WINDOW, n)
             if size < PLAIN:
                 continue
-            hashes = window_hashes(template.hashes, size)
+            hashes = WindowHashes(template.hashes)(size)
             places = [p for p in range(len(hashes)) if (template.kinds[p : p + size] == PLAIN_KIND).sum() >= PLAIN]
             if places:
                 self.items[item] = (template, size, len(places))
@@ -135,15 +170,18 @@ class Windows:
                     grown[size][int(hashes[p])].append((item, p))
         for size, found in grown.items():
             self.by_size[size] = (np.sort(np.fromiter(found, np.uint64, len(found))), dict(found))
+        for size, found in literal.items():
+            self.literal[size] = (np.sort(np.fromiter(found, np.uint64, len(found))), dict(found))
 
     def matches(self, text: str, vocabulary: Vocabulary) -> list[tuple]:
         """(item, matched, windows, exact) of the items whose windows and slots agree with the text."""
-        if not self.by_size or not text:
+        if not self.literal or not text:
             return []
         template = Template(text, vocabulary)
+        of_templates, of_words = WindowHashes(template.hashes), WindowHashes(template.literal)
         runs: dict[tuple[int, int], set] = defaultdict(set)
         for size, (keys, places) in self.by_size.items():
-            hashes = window_hashes(template.hashes, size)
+            hashes = of_templates(size)
             at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
             for p in np.flatnonzero(keys[at] == hashes).tolist():
                 for item, q in places[int(hashes[p])]:
@@ -154,7 +192,18 @@ class Windows:
             if agreeing:
                 found[item][0] |= agreeing
                 found[item][1] &= same
-        return [(item, len(places), self.items[item][2], exact) for item, (places, exact) in sorted(found.items()) if len(places) >= math.ceil(COVERAGE * self.items[item][2])]
+        out = {item: (item, len(places), self.items[item][2], exact) for item, (places, exact) in found.items() if len(places) >= math.ceil(COVERAGE * self.items[item][2])}
+        copied: dict[int, set] = defaultdict(set)
+        for size, (keys, holders) in self.literal.items():
+            hashes = of_words(size)
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            for h in set(hashes[keys[at] == hashes].tolist()):
+                for item in holders[h]:
+                    copied[item].add(h)
+        for item, runs in copied.items():
+            if item not in out:
+                out[item] = (item, len(runs), self.runs[item], True)
+        return [out[item] for item in sorted(out)]
 
     def slots_agree(self, item: int, shift: int, places: set, text: Template) -> tuple[set, bool]:
         """The places of windows without an item value that stands for several, and whether all values are the item's own."""
@@ -194,7 +243,10 @@ def match_task(table: Windows):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """One row per document and benchmark item it holds: id, item, matched and windows (of the item), exact."""
+    """One row per document and benchmark item it holds: id, item, matched and windows (of the item), exact.
+
+    Where the templates don't reach their share, matched and windows count runs of literal words.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     out = None

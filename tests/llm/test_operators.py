@@ -174,6 +174,15 @@ def test_decontamination_tolerates_coinciding_and_single_torn_values(spark):
     assert got == {(1, 1): False, (2, 2): False}
 
 
+def test_decontamination_finds_copied_runs_and_items_without_windows(spark):
+    long_item = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150))
+    run = " ".join(long_item.split()[40:100])
+    benchmark = spark.createDataFrame([(1, long_item), (2, "12 + 35 = 47 ?"), (3, "Who wrote Hamlet?"), (4, "太陽はどこから昇りますか")], "item_id long, text string")
+    rows = [(1, f"before {run} after"), (2, "sum: 12 + 35 = 47 it is"), (3, "They ask: who wrote Hamlet? Nobody."), (4, "問題。太陽はどこから昇りますか。答え"), (5, " ".join(run.split()[:12])), (6, "12 + 35 = 48 and who wrote Macbeth")]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(i, i): True for i in range(1, 5)}
+
+
 def test_decontamination_against_plain_windows(docs, texts, spark):
     benchmark = spark.read.parquet(f"{TINY}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).filter("exact").collect()}
