@@ -5,8 +5,9 @@ is kept: anyone with the key and N can compute or invert a slot. Sequences are n
 the document. Shard s holds slots [s * R, (s + 1) * R) as fixed-stride little-endian records, so a reader resumes at any
 step by seeking to slot % R * stride in shard slot // R.
 
-Token ids here are UTF-8 bytes with 0xFF closing a document and 0xFE padding its last sequence; neither occurs in UTF-8.
-Null text counts as empty: one sequence that holds the closing mark alone. Repeated rows get slots of their own. An
+Texts are encoded by a given tokenizer, once, and its ids are written as little-endian numbers of two bytes, or of four for
+vocabularies that need them. The number after the last id closes a document, and the one after that pads its last sequence.
+Without a tokenizer the ids are UTF-8 bytes, one byte each, with 0xFF and 0xFE as marks; neither occurs in UTF-8. Null text counts as empty: one sequence that holds the closing mark alone. Repeated rows get slots of their own. An
 empty table writes no shard. A very long document is many sequences, made one batch at a time.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,11 +26,54 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import BROADCAST_ROWS, fresh_path, small_batches, stage, text_of
 
-SEQUENCE, CLOSE, PAD = 512, 0xFF, 0xFE
+SEQUENCE = 512
 SLOTS_PER_SHARD = 4096
 ROUNDS = 6
 
 
+class Ids:
+    """Token ids of a text by the tokenizer's own library, and how they are written."""
+
+    def __init__(self, path: str | None):
+        if path is None:
+            self.width, self.marks = 1, (0xFF, 0xFE)
+            return
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.of, n = lambda text: model.encode(text), model.get_piece_size()
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_file(path)
+            model.no_truncation()
+            model.no_padding()
+            self.of, n = lambda text: model.encode(text, add_special_tokens=False).ids, 1 + max(model.get_vocab(with_added_tokens=True).values())
+        self.width, self.marks = 2 if n + 1 < 1 << 16 else 4, (n, n + 1)
+
+    @property
+    def close(self) -> bytes:
+        return self.marks[0].to_bytes(self.width, "little")
+
+    @property
+    def pad(self) -> bytes:
+        return self.marks[1].to_bytes(self.width, "little")
+
+    def __call__(self, text: str) -> bytes:
+        return np.array(self.of(text), f"<u{self.width}").tobytes()
+
+
+def encode_task(path: str):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids(t) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "data"])
+
+    return task
+
+
 class Permutation:
     """A keyed bijection of [0, n), and its inverse."""
 
@@ -75,19 +120,19 @@ def first_index(rows: DataFrame) -> DataFrame:
     return stage(ranged.join(F.broadcast(before), "part").select("id", "row", (F.col("start") + inside).alias("base")), "bases")
 
 
-def cut_task(permutation: Permutation, per_shard: int, length: int):
+def cut_task(permutation: Permutation, per_shard: int, stride: int, close: bytes):
     """Documents to sequences with their slots."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, seqs, index, payload = [], [], [], []
-            for i, base, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                data = text.encode("utf-8", "surrogatepass") + bytes([CLOSE])
-                for k in range(0, len(data), length):
+            for i, base, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                data += close
+                for k in range(0, len(data), stride):
                     ids.append(i)
-                    seqs.append(k // length)
-                    index.append(base + k // length)
-                    payload.append(data[k : k + length])
+                    seqs.append(k // stride)
+                    index.append(base + k // stride)
+                    payload.append(data[k : k + stride])
             slot = permutation(np.array(index, np.uint64))
             for a in range(0, len(slot), 8192):
                 part = slice(a, a + 8192)
@@ -96,7 +141,7 @@ def cut_task(permutation: Permutation, per_shard: int, length: int):
     return task
 
 
-def write_task(folder: str, per_shard: int, length: int):
+def write_task(folder: str, per_shard: int, stride: int, pad: bytes):
     """Writes one shard file and returns a row for each of its slots. A repeated task writes the same bytes again."""
 
     def task(table: pa.Table) -> pa.Table:
@@ -104,7 +149,7 @@ def write_task(folder: str, per_shard: int, length: int):
 
         table = table.sort_by("slot")
         shard = table["shard"][0].as_py()
-        full = [p.ljust(length, bytes([PAD])) for p in table["payload"].to_pylist()]
+        full = [p + pad * ((stride - len(p)) // len(pad)) for p in table["payload"].to_pylist()]
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         name = f"{root}/shard-{shard:08d}.bin"
@@ -116,49 +161,59 @@ def write_task(folder: str, per_shard: int, length: int):
         system.move(own, name)
         crc = [zlib.crc32(p) for p in full]
         slots = table["slot"].to_numpy()
-        sizes = [len(p) for p in table["payload"].to_pylist()]
-        return pa.table({"id": table["id"], "seq": table["seq"], "slot": table["slot"], "shard": table["shard"], "byte_offset": pa.array((slots - shard * per_shard) * length), "n_tokens": pa.array(sizes, pa.int64()), "record_crc32": pa.array(crc, pa.int64())})
+        sizes = [len(p) // len(pad) for p in table["payload"].to_pylist()]
+        return pa.table({"id": table["id"], "seq": table["seq"], "slot": table["slot"], "shard": table["shard"], "byte_offset": pa.array((slots - shard * per_shard) * stride), "n_tokens": pa.array(sizes, pa.int64()), "record_crc32": pa.array(crc, pa.int64())})
 
     return task
 
 
-def materialise(docs: DataFrame, key: bytes, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """Manifest, one row per sequence: id, seq, slot, shard, byte_offset, n_tokens, record_crc32. Shards are written when it is computed."""
+def materialise(docs: DataFrame, key: bytes, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, per_shard: int = SLOTS_PER_SHARD, tokenizer: str | None = None) -> DataFrame:
+    """Manifest, one row per sequence: id, seq, slot, shard, byte_offset, n_tokens, record_crc32. Shards are written when it is computed.
+
+    length: ids of a sequence. tokenizer: path of a vocabulary; without one the ids are UTF-8 bytes.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or fresh_path(spark, "training-order")
+    kind = Ids(tokenizer)
+    stride = length * kind.width
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    if tokenizer:
+        rows = stage(rows.mapInArrow(encode_task(tokenizer), "id long, data binary"), "token-ids")
+    else:
+        rows = rows.select("id", F.col("text").cast("binary").alias("data"))
     # rows are told apart by a digest of what they hold; equal rows share the sum of their sequences
-    row = F.xxhash64("text").alias("row")
-    sizes = rows.select("id", row, F.expr(f"cast(octet_length(text) div {length} + 1 as long)").alias("n"))
+    row = F.xxhash64("data").alias("row")
+    sizes = rows.select("id", row, F.expr(f"cast(octet_length(data) div {stride} + 1 as long)").alias("n"))
     grouped = sizes.groupBy("id", "row").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
     staged = stage(grouped, "sequence-counts")
     total, repeats = staged.agg(F.sum("n"), F.max("copies")).first()
     bases = first_index(staged.select("id", "row", "n")).toDF("i", "r", "base")
     bases = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases.hint("shuffle_hash")
     placed = rows.withColumn("row", row)
-    placed = placed.join(bases, placed["id"].eqNullSafe(F.col("i")) & (placed["row"] == F.col("r"))).select("id", "base", "text", "row")
+    placed = placed.join(bases, placed["id"].eqNullSafe(F.col("i")) & (placed["row"] == F.col("r"))).select("id", "base", "data", "row")
     if (repeats or 0) > 1:
-        n = F.expr(f"cast(octet_length(text) div {length} + 1 as long)")
+        n = F.expr(f"cast(octet_length(data) div {stride} + 1 as long)")
         copy = F.row_number().over(Window.partitionBy("id", "row").orderBy("base")) - 1
         placed = placed.withColumn("base", F.col("base") + copy * n)
-    cut = placed.select("id", "base", "text").mapInArrow(cut_task(Permutation(total or 0, key), per_shard, length), "shard long, slot long, id long, seq long, payload binary")
-    out = cut.groupBy("shard").applyInArrow(write_task(folder, per_shard, length), "id long, seq long, slot long, shard long, byte_offset long, n_tokens long, record_crc32 long")
+    cut = placed.select("id", "base", "data").mapInArrow(cut_task(Permutation(total or 0, key), per_shard, stride, kind.close), "shard long, slot long, id long, seq long, payload binary")
+    out = cut.groupBy("shard").applyInArrow(write_task(folder, per_shard, stride, kind.pad), "id long, seq long, slot long, shard long, byte_offset long, n_tokens long, record_crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 
-def read_slots(folder: str, first: int, count: int, per_shard: int = SLOTS_PER_SHARD, length: int = SEQUENCE) -> Iterator[bytes]:
-    """Records of slots first .. first + count - 1, read by seeking: how a training run resumes."""
+def read_slots(folder: str, first: int, count: int, per_shard: int = SLOTS_PER_SHARD, length: int = SEQUENCE, width: int = 1) -> Iterator[bytes]:
+    """Records of slots first .. first + count - 1, read by seeking: how a training run resumes. width: bytes of an id."""
     from pyarrow import fs
 
+    stride = length * width
     system, root = fs.FileSystem.from_uri(folder)
     slot, end = first, first + count
     while slot < end:
         shard, at = divmod(slot, per_shard)
         take = min(end - slot, per_shard - at)
         with system.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
-            f.seek(at * length)
-            data = f.read(take * length)
-        for k in range(0, len(data), length):
-            yield data[k : k + length]
+            f.seek(at * stride)
+            data = f.read(take * stride)
+        for k in range(0, len(data), stride):
+            yield data[k : k + stride]
         slot += take

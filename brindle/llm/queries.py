@@ -53,7 +53,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feistel_order.materialise(documents(spark, sf_dir), ORDER_KEY)
+    return feistel_order.materialise(documents(spark, sf_dir), ORDER_KEY, tokenizer=vocabulary(PIECES))
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

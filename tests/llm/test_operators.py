@@ -378,6 +378,28 @@ def test_training_order(spark, docs, texts, tmp_path):
         assert b"".join(text[i][k] for k in sorted(text[i])) == t.encode() + b"\xff"
 
 
+@pytest.mark.parametrize("name", [Q.PIECES, Q.TOKENIZER])
+def test_training_order_writes_token_ids(spark, docs, tmp_path, name):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path = Q.vocabulary(name)
+    encode = sentencepiece.SentencePieceProcessor(model_file=path).encode if name == Q.PIECES else lambda t: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+    close, pad = feistel_order.Ids(path).marks
+    some = docs.select("doc_id", "text").limit(25).union(spark.createDataFrame([(9001, None), (9002, "same"), (9002, "same")], "doc_id long, text string"))
+    folder = f"file://{tmp_path}/order"
+    rows = feistel_order.materialise(some, b"k", folder, length=64, per_shard=10, tokenizer=path).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    records = [np.frombuffer(x, "<u2").tolist() for x in feistel_order.read_slots(folder, 0, len(rows), 10, 64, 2)]
+    found = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.seq):
+        assert r.byte_offset == r.slot % 10 * 128 and set(records[r.slot][r.n_tokens :]) <= {pad}
+        found[r.doc_id] += records[r.slot][: r.n_tokens]
+    for r in some.distinct().collect():
+        assert found[r.doc_id] == [*encode(r.text or ""), close] * (2 if r.doc_id == 9002 else 1)
+    assert max(map(max, records)) > 255
+
+
 # 8
 
 
