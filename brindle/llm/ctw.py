@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import small_batches, stage, text_of
 
-DEPTH = 3
+#: A gram of DEPTH + 1 bytes is one number, in eight bytes as a key; DEPTH is 6 at most. The README has figures of deeper contexts.
+DEPTH = 4
+KEY_BYTES = 8
 BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 
@@ -33,10 +35,10 @@ PIECE_BYTES = 1 << 20
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All (DEPTH + 1)-grams of the texts as big-endian numbers, and where each text's grams begin."""
     pad = b"\0" * DEPTH
-    data = np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8).astype(np.uint32)
-    gram = np.zeros(len(data) - DEPTH, np.uint32)
+    data = np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8).astype(np.uint64)
+    gram = np.zeros(len(data) - DEPTH, np.uint64)
     for back in range(DEPTH + 1):
-        gram |= data[DEPTH - back : len(data) - back] << np.uint32(8 * back)
+        gram |= data[DEPTH - back : len(data) - back] << np.uint64(8 * back)
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths + DEPTH)[:-1])) if len(texts) else np.zeros(0, np.int64)
     return gram, starts
@@ -64,7 +66,7 @@ def pieces(texts: list[bytes]):
 
 
 def distinct_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for a, b in pieces(texts):
         k, n = np.unique(text_grams(texts[a:b])[0], return_counts=True)
         both, at = np.unique(np.concatenate((keys, k)), return_inverse=True)
@@ -94,8 +96,9 @@ def block_keys(table: pa.Table) -> pa.Table:
                 words[w] += 0
     learned, n = distinct_grams([t for t, learn in zip(texts, train) if learn])
     other = np.setdiff1d(distinct_grams([t for t, learn in zip(texts, train) if not learn])[0], learned)
-    grams = np.concatenate((learned, other)).astype(">u4").tobytes()
-    keys = pa.array([*words, *(grams[i : i + 4] for i in range(0, len(grams), 4))], pa.binary())
+    grams = np.concatenate((learned, other)).astype(">u8").tobytes()
+    fixed = pa.Array.from_buffers(pa.binary(KEY_BYTES), len(grams) // KEY_BYTES, [None, pa.py_buffer(grams)])
+    keys = pa.concat_arrays([pa.array(list(words), pa.binary()), fixed.cast(pa.binary())])
     counts = np.concatenate((np.fromiter(words.values(), np.int64, len(words)), n, np.zeros(len(other), np.int64)))
     block = pa.array(np.full(len(counts), table["block"][0].as_py()), pa.int64())
     return pa.table({"block": block, "word": pa.array(np.arange(len(counts)) < len(words)), "key": keys, "n": pa.array(counts.astype(np.int64))})
@@ -174,7 +177,7 @@ def block_scores(total: int, types: int, ends: int):
         counts = value[is_word]
         logs = dict(zip(words, np.log10((counts + 0.1) / (total + 0.1 * (types + 1))).tolist()))
         unknown = {w for w, c in zip(words, counts.tolist()) if c == 0}
-        gram_keys = np.frombuffer(b"".join(keys["key"].filter(pa.array(~is_word)).to_pylist()), ">u4").astype(np.uint32)
+        gram_keys = np.frombuffer(b"".join(keys["key"].filter(pa.array(~is_word)).to_pylist()), ">u8").astype(np.uint64)
         order = np.argsort(gram_keys)
         gram_keys, gram_bits_ = gram_keys[order], value[~is_word][order]
 
@@ -217,7 +220,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     grams = totals.filter("not word").select(F.conv(F.hex("key"), 16, 10).cast("long").alias("gram"), "n")
     bits = gram_bits(grams)
     values = words.select("word", "key", F.col("n").cast("double").alias("value")).unionByName(
-        bits.select(F.lit(False).alias("word"), F.unhex(F.lpad(F.hex("gram"), 8, "0")).alias("key"), F.col("bits").alias("value"))
+        bits.select(F.lit(False).alias("word"), F.unhex(F.lpad(F.hex("gram"), 2 * KEY_BYTES, "0")).alias("key"), F.col("bits").alias("value"))
     )
     needed = keys.select("block", "word", "key").join(values, ["word", "key"]).select("block", "word", "key", "value")
     scored = rows.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(block_scores(total, types, ends), SCORE_FIELDS)

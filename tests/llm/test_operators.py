@@ -335,6 +335,13 @@ def test_context_tree_against_recursion(spark):
         assert got[i].score == pytest.approx(-bits(t) * math.log10(2), rel=1e-9)
 
 
+def test_context_tree_tells_contexts_of_more_than_three_bytes(spark):
+    rows = [(i, ("axxxb", "cxxxd")[i % 2]) for i in range(100)] + [(200, "axxxb"), (201, "axxxd")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ctw.score(frame, F.col("doc_id") < 100).collect()}
+    assert got[200] > got[201] + 0.5
+
+
 # 6 is checked against SQL; here the edge cases
 
 
