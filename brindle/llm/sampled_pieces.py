@@ -21,6 +21,7 @@ segmented whole. Repeated rows give equal samples. A U+2581 in a text decodes to
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -33,9 +34,12 @@ from pyspark.sql import functions as F
 from brindle.llm.common import small_batches, text_of
 
 BLANK = "▁"
+NONE = np.zeros(0, np.int64)
 SAMPLES, ALPHA, SEED = 2, 2.0, 20
 #: Characters whose lattices are in memory at once.
-PIECE_CHARS = 5 << 19
+PIECE_CHARS = 1 << 19
+#: Words whose lattices are made at once, and arcs that are kept for later texts.
+PART_WORDS, MOST_ARCS = 8192, 1_500_000
 #: A word with its blanks before it; newlines are in no piece, so a text may also be cut around them.
 UNIT = re.compile(rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 
@@ -64,8 +68,27 @@ class Pieces:
                 h = extend(h, ord(c))
                 known.setdefault(h, -1)
             known[h] = i
-        self.keys = np.sort(np.fromiter(known, np.uint64, len(known)))
-        self.ids = np.fromiter((known[int(h)] for h in self.keys), np.int64, len(known))
+        # open addressing, a key at the first free place from its home on; 0 is free
+        self.mask = (1 << (8 * len(known)).bit_length()) - 1
+        self.keys, self.ids = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+        for h, i in known.items():
+            at = h & self.mask
+            while self.keys[at]:
+                at = at + 1 & self.mask
+            self.keys[at], self.ids[at] = h, i
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each hash whether a piece begins so, and the id of the piece that it is, or -1."""
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        here = self.keys[at]
+        known = here == h
+        open_ = np.flatnonzero(~known & (here != 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & self.mask
+            here = self.keys[at[open_]]
+            known[open_] = here == h[open_]
+            open_ = open_[(here != 0) & ~known[open_]]
+        return known, self.ids[at]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
@@ -96,21 +119,133 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Arcs and masses of many distinct words, flat. Node = character boundary; a word's last node has no arcs."""
+    """Arcs and masses of many distinct words, flat. Node = character boundary; a word's last node has no arcs.
+
+    A word's lattice does not depend on the others, so words are added PART_WORDS at a time (what is being made stays
+    small), stay for later texts, and can be let go again.
+    """
+
+    ARCS = {"src": np.int32, "dst": np.int32, "piece": np.int64, "share": np.float64, "upto": np.float64}
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.pieces, self.root, self.begin = pieces, np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.room = {name: np.empty(0, kind) for name, kind in self.ARCS.items()}
+        self.show(0)
+        self.add(words)
+
+    def show(self, n: int) -> None:
+        for name, array in self.room.items():
+            setattr(self, name, array[:n])
+
+    def add(self, words: list[str]) -> None:
+        """Appends words; they are numbered in the order of their coming."""
+        for i in range(0, len(words), PART_WORDS):
+            part = WordLattices(words[i : i + PART_WORDS], self.pieces)
+            nodes, arcs, new = len(self.begin) - 1, len(self.src), len(part.src)
+            if arcs + new > len(self.room["src"]):
+                for name, old in self.room.items():
+                    self.room[name] = np.empty((arcs + new) * 5 // 4, old.dtype)
+                    self.room[name][:arcs] = old[:arcs]
+            for name, array in self.room.items():
+                array[arcs : arcs + new] = getattr(part, name) + nodes if name in ("src", "dst") else getattr(part, name)
+            self.root = np.concatenate((self.root, part.root + nodes))
+            self.begin = np.concatenate((self.begin[:-1], part.begin + arcs))
+            self.show(arcs + new)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Lets go of the words that are not wanted; the others keep their order."""
+        node = np.repeat(wanted, np.diff(self.root, append=len(self.begin) - 1))
+        arc, number = node[self.src], np.cumsum(node) - 1
+        count = np.diff(self.begin)[node]
+        kept = {name: (number[array[arc]] if name in ("src", "dst") else array[arc]).astype(array.dtype) for name, array in ((name, getattr(self, name)) for name in self.ARCS)}
+        self.root, self.begin, self.room = number[self.root[wanted]], np.concatenate(([0], np.cumsum(count))), kept
+        self.show(len(kept["src"]))
+
+    def walk(self, node: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draws a path from each node to its word's end. Returns the arcs, and the index into node of each, in path order."""
+        node = node.copy()
+        live = np.flatnonzero(self.begin[node] < self.begin[node + 1])
+        arcs, of = [], []
+        step = 0
+        while len(live):
+            here = node[live]
+            low, high = self.begin[here], self.begin[here + 1]
+            pick, u = low.copy(), uniform(salt[live] + np.uint64(step * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+            open_ = np.flatnonzero(high - low > 1)
+            while len(open_):
+                open_ = open_[self.upto[pick[open_]] <= u[open_]]
+                pick[open_] += 1
+                open_ = open_[pick[open_] < high[open_] - 1]
+            arcs.append(pick)
+            of.append(live)
+            node[live] = self.dst[pick]
+            live = live[self.begin[node[live]] < self.begin[node[live] + 1]]
+            step += 1
+        if not arcs:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        arcs, of = np.concatenate(arcs), np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        return arcs[order], of[order]
+
+
+    def beside(self, arc: np.ndarray) -> np.ndarray:
+        """Log of what the other arcs of its node have of the node's mass, added up from these arcs themselves."""
+        low, high = self.begin[self.src[arc]], self.begin[self.src[arc] + 1]
+        top, total = np.full(len(arc), -np.inf), np.zeros(len(arc))
+        for step in (0, 1):
+            for k in range(int((high - low).max()) if len(arc) else 0):
+                at = np.minimum(low + k, high - 1)
+                value = np.where((low + k < high) & (at != arc), self.share[at], -np.inf)
+                if step:
+                    total += np.exp(value - np.where(np.isneginf(top), 0.0, top))
+                else:
+                    top = np.maximum(top, value)
+        with np.errstate(divide="ignore"):
+            return np.log(total) + np.where(np.isneginf(top), 0.0, top)
+
+    def other_cuts(self, cut: np.ndarray, arcs: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Log of the mass of all other cuts of each word, given its cut's log-probability and arcs: what is left of one.
+
+        For a cut with nearly all the mass that would be a difference of near equals; there it is added up, arc by arc, from
+        the ways to leave the path.
+        """
+        with np.errstate(divide="ignore"):
+            out = np.log(-np.expm1(np.minimum(cut, 0.0)))
+        sure = cut > -1e-8
+        at = np.flatnonzero(sure[of])
+        if not len(at):
+            return out
+        arc, word = arcs[at], of[at]
+        heads = np.flatnonzero(np.diff(word, prepend=-1))
+        n = np.diff(np.append(heads, len(arc)))
+        inside = np.zeros(len(arc))
+        for step in range(1, int(n.max())):
+            here = heads[n > step] + step
+            inside[here] = inside[here - 1] + self.share[arc[here - 1]]
+        leave = inside + self.beside(arc)
+        top = np.maximum.reduceat(leave, heads)
+        top = np.where(np.isneginf(top), 0.0, top)
+        with np.errstate(divide="ignore"):
+            out[word[heads]] = top + np.log(np.add.reduceat(np.exp(leave - np.repeat(top, n)), heads))
+        return out
+
+
+class WordLattices:
+    """The lattices of a part of the words."""
 
     def __init__(self, words: list[str], pieces: Pieces):
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         length = np.fromiter(map(len, words), np.int64, len(words))
         first = np.concatenate(([0], np.cumsum(length)))[:-1]
         self.root = first + np.arange(len(words))  # one node more than characters in each word
-        total = int(length.sum())
+        total, n_nodes = int(length.sum()), int(length.sum()) + len(words)
         # of each character: its node, and how many characters remain in its word
         word = np.repeat(np.arange(len(words)), length)
         node = np.arange(total) + word
         remain = np.repeat(first + length, length) - np.arange(total)
-        at, size, piece, weight = [], [], [], []
+        found_at = [np.zeros(0, np.int64)]  # of each size: characters, ids and weights; characters without a piece first
+        found_piece, found_weight, sizes = [np.zeros(0, np.int64)], [np.zeros(0)], [1]
         h = np.zeros(total, np.uint64)
-        covered = np.zeros(total, bool)
         live = np.arange(total)
         for n in range(1, pieces.longest + 1):
             live = live[remain[live] >= n]
@@ -118,94 +253,59 @@ class Lattices:
                 break
             step = (h[live] ^ code[live + n - 1]) * np.uint64(MULTIPLIER)
             step ^= step >> np.uint64(31)
-            slot = np.minimum(np.searchsorted(pieces.keys, step), len(pieces.keys) - 1)
-            begins = pieces.keys[slot] == step
-            live, slot = live[begins], slot[begins]
+            begins, found = pieces.find(step)
+            live, found = live[begins], found[begins]
             h[live] = step[begins]
-            found = pieces.ids[slot]
             whole = found >= 0
-            at.append(live[whole])
-            size.append(np.full(int(whole.sum()), n))
-            piece.append(found[whole])
-            weight.append(pieces.weights[piece[-1]])
-            if n == 1:
-                covered[live[whole]] = True
+            found_at.append(live[whole])
+            found_piece.append(found[whole].astype(np.int64))
+            found_weight.append(pieces.weights[found_piece[-1]])
+            sizes.append(n)
+        covered = np.zeros(total, bool)
+        if len(found_at) > 1:
+            covered[found_at[1]] = True
         bare = np.flatnonzero(~covered)
         if len(bare):  # byte pieces: one for an ASCII character; else arc ids below zero name the character
             bytes_of = [chr(c).encode("utf-8", "surrogatepass") for c in code[bare].tolist()]
-            at.append(bare)
-            size.append(np.ones(len(bare), np.int64))
-            piece.append(np.array([pieces.byte[b[0]] if len(b) == 1 else -1 - int.from_bytes(b, "big") for b in bytes_of], np.int64))
-            weight.append(np.array([sum(pieces.weights[pieces.byte[b]] for b in bs) for bs in bytes_of]))
-        at, size, piece, weight = map(np.concatenate, (at, size, piece, weight)) if at else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
-        order = np.argsort(at * 64 + size, kind="stable") if len(at) else np.zeros(0, np.int64)
-        at, self.size, self.piece, weight = at[order], size[order], piece[order], weight[order]
-        self.src, self.dst = node[at], node[at] + self.size
-        n_nodes = total + len(words)
-        self.begin = np.searchsorted(self.src, np.arange(n_nodes + 1))
+            found_at[0] = bare
+            found_piece[0] = np.array([pieces.byte[b[0]] if len(b) == 1 else -1 - int.from_bytes(b, "big") for b in bytes_of], np.int64)
+            found_weight[0] = np.array([sum(pieces.weights[pieces.byte[b]] for b in bs) for bs in bytes_of])
+        # arcs by node and size: each size goes to the next free place of its nodes
+        count = np.zeros(n_nodes, np.int64)
+        for at in found_at:
+            count[node[at]] += 1
+        self.begin = np.concatenate(([0], np.cumsum(count)))
+        n_arcs = int(self.begin[-1])
+        self.src, self.dst, self.piece, weight = np.zeros(n_arcs, np.int64), np.zeros(n_arcs, np.int64), np.zeros(n_arcs, np.int64), np.zeros(n_arcs)
+        free = self.begin[:-1].copy()
+        for at, piece, value, n in zip(found_at, found_piece, found_weight, sizes):
+            here = node[at]
+            place = free[here]
+            free[here] += 1
+            self.src[place], self.dst[place], self.piece[place], weight[place] = here, here + n, piece, value
+        del found_at, found_piece, found_weight, free, h, covered
         mass = np.zeros(n_nodes)
-        share = np.empty(len(at))
-        by_remain = np.argsort(remain[at], kind="stable")
-        bounds = np.flatnonzero(np.diff(remain[at][by_remain], prepend=0, append=np.iinfo(np.int64).max))
+        share = np.empty(n_arcs)
+        to_go = np.repeat(remain, count[node])
+        by_remain = np.argsort(to_go.astype(np.uint16) if total and remain.max() < 1 << 16 else to_go, kind="stable")
+        bounds = np.flatnonzero(np.diff(to_go[by_remain], prepend=0, append=np.iinfo(np.int64).max))
         for a, b in zip(bounds[:-1], bounds[1:]):
             arcs = by_remain[a:b]
             value = weight[arcs] + mass[self.dst[arcs]]
             heads = np.flatnonzero(np.diff(self.src[arcs], prepend=-1))
             top = np.maximum.reduceat(value, heads)
-            count = np.diff(np.append(heads, len(arcs)))
-            sums = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), heads))
+            n_of = np.diff(np.append(heads, len(arcs)))
+            sums = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n_of)), heads))
             mass[self.src[arcs[heads]]] = sums
-            share[arcs] = value - np.repeat(sums, count)
-        self.mass, self.share = mass, share  # share: log of the arc's part of its node's mass
+            share[arcs] = value - np.repeat(sums, n_of)
+        self.share = share  # log of the arc's part of its node's mass
         # cumulative parts within a node, for drawing; added up node by node, so that no other word changes them
         self.upto = np.exp(share)
-        place = np.arange(len(at)) - self.begin[self.src]
-        for k in range(1, int(place.max()) + 1 if len(at) else 0):
+        place = np.arange(n_arcs) - self.begin[self.src]
+        for k in range(1, int(place.max()) + 1 if n_arcs else 0):
             here = np.flatnonzero(place == k)
             self.upto[here] += self.upto[here - 1]
 
-        # log of the other arcs' part: from 1 - p, or for an arc with nearly all the mass from the others themselves
-        with np.errstate(divide="ignore"):
-            self.rest = np.log(-np.expm1(np.minimum(share, 0.0)))
-        low, high = self.begin[self.src], self.begin[self.src + 1]
-        main = np.flatnonzero((share > -0.1) & (high - low > 1))
-        top, total = np.full(len(main), -np.inf), np.zeros(len(main))
-        for step in (0, 1):
-            for k in range(int((high - low)[main].max()) if len(main) else 0):
-                at_k = np.minimum(low[main] + k, len(at) - 1)
-                value = np.where((low[main] + k < high[main]) & (at_k != main), share[at_k], -np.inf)
-                if step:
-                    total += np.exp(value - top)
-                else:
-                    top = np.maximum(top, value)
-        self.rest[main] = top + np.log(np.maximum(total, 1e-300))
-
-    def walk(self, node: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draws a path from each node to its word's end. Returns the arcs, and the index into node of each, in path order."""
-        node = node.copy()
-        live = np.flatnonzero(self.begin[node] < self.begin[node + 1])
-        arcs, of = [], []
-        step = 0
-        while len(live):
-            here = node[live]
-            low, high = self.begin[here], self.begin[here + 1]
-            pick, u = low.copy(), uniform(salt[live] + np.uint64(step * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-            open_ = np.flatnonzero(high - low > 1)
-            while len(open_):
-                open_ = open_[self.upto[pick[open_]] <= u[open_]]
-                pick[open_] += 1
-                open_ = open_[pick[open_] < high[open_] - 1]
-            arcs.append(pick)
-            of.append(live)
-            node[live] = self.dst[pick]
-            live = live[self.begin[node[live]] < self.begin[node[live] + 1]]
-            step += 1
-        if not arcs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        arcs, of = np.concatenate(arcs), np.concatenate(of)
-        order = np.argsort(of, kind="stable")
-        return arcs[order], of[order]
-
 
 def truncated(log_mass: np.ndarray, limit: np.ndarray | float, u: np.ndarray) -> np.ndarray:
     """Maxima of Gumbels with these log-masses, given that none passes limit."""
@@ -216,8 +316,9 @@ def truncated(log_mass: np.ndarray, limit: np.ndarray | float, u: np.ndarray) ->
 class Search:
     """The queue of one text. Entries (-bound, order, kind, log-mass, word, arcs before, rest).
 
-    kind 0, a prefix: the arcs before, and rest the node to go on from in the word. kind 1, a word: the words before are as
-    on a known path and this word is cut otherwise; rest holds the word's arcs on the path.
+    kind 0, a prefix: the arcs before (a path and how many of its arcs, each shared with other entries, so that an entry's
+    size does not depend on the text's), and rest the arc that leaves it. kind 1, a word: the words before are as on a known
+    path and this word is cut otherwise; rest holds the word's arcs on the path.
     """
 
     def __init__(self, words: np.ndarray, key: int):
@@ -229,50 +330,60 @@ class Search:
         salt = mixed(np.array([(self.salt + self.order * MULTIPLIER) & 0xFFFFFFFFFFFFFFFF], np.uint64))
         return uniform(salt + np.arange(n, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
-    def push(self, bound: float, kind: int, mass: float, word: int, before: np.ndarray, rest) -> None:
+    def push(self, bound: float, kind: int, mass: float, word: int, before: tuple, rest) -> None:
         if bound > -np.inf:
             self.order += 1
             heapq.heappush(self.queue, (-bound, self.order, kind, mass, word, before, rest))
 
-    def pop(self, lattices: Lattices):
-        """The best prefix; words are opened on the way into the prefixes that leave the path within them."""
+    def pop(self, lattices: Lattices, wanted: int):
+        """The best prefix; words are opened on the way into the prefixes that leave the path within them.
+
+        An entry stands for the best segmentation below it, so of one word's prefixes no more than wanted are queued.
+        """
         while self.queue:
             bound, _, kind, mass, word, before, rest = heapq.heappop(self.queue)
             if kind == 0:
-                return -bound, mass, word, before, rest
+                if rest < 0:
+                    return -bound, mass, word, NONE, int(lattices.root[self.words[0]]) if len(self.words) else -1
+                (path, n), (inner, i) = before
+                return -bound, mass, word, np.concatenate((path[:n], inner[:i], [rest])), int(lattices.dst[rest])
             low, high = lattices.begin[lattices.src[rest]], lattices.begin[lattices.src[rest] + 1]
             inside = mass + np.concatenate(([0.0], np.cumsum(lattices.share[rest])[:-1]))
-            beside = [(inside[i] + lattices.share[a], i, a) for i in range(len(rest)) for a in range(low[i], high[i]) if a != rest[i]]
-            masses = np.array([b[0] for b in beside])
-            u = self.fresh(len(beside) + 1)
+            step = np.repeat(np.arange(len(rest)), high - low)
+            arc = np.arange(len(step)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[step]
+            beside = arc != rest[step]
+            step, arc = step[beside], arc[beside]
+            masses = inside[step] + lattices.share[arc]
+            u = self.fresh(len(arc) + 1)
             part = np.cumsum(np.exp(masses - masses.max()))
             top = int(np.searchsorted(part, u[-1] * part[-1], "right"))
             bounds = truncated(masses, -bound, u[:-1])
             bounds[top] = -bound
-            for b, (m, i, a) in zip(bounds.tolist(), beside):
-                self.push(b, 0, float(m), word, np.concatenate((before, rest[:i], [a])), int(lattices.dst[a]))
+            best = np.sort(np.argpartition(-bounds, wanted)[:wanted]) if len(bounds) > wanted else np.arange(len(bounds))
+            for j in best.tolist():
+                self.push(float(bounds[j]), 0, float(masses[j]), word, (before, (rest, int(step[j]))), int(arc[j]))
         return None
 
 
 def sample_batch(texts: list[np.ndarray], keys: list[int], lattices: Lattices, k: int) -> list[list[tuple[float, float, np.ndarray]]]:
     """Of each text, given as its words' numbers: up to k (log-probability, inclusion score, arcs)."""
-    none = np.zeros(0, np.int64)
     searches = [Search(w, key) for w, key in zip(texts, keys)]
     for s in searches:
         u = s.fresh(1)[0]
-        s.push(float(-np.log(-np.log(u))), 0, 0.0, 0, none, int(lattices.root[s.words[0]]) if len(s.words) else -1)
+        s.push(float(-np.log(-np.log(u))), 0, 0.0, 0, (), -1)
     for round_ in range(k + 1):
-        now = [(s, x) for s in searches if len(s.done) == round_ and (x := s.pop(lattices))]
-        if not now:
+        if round_ == k:  # only the value is wanted: it is the bound of the best entry
+            for s in searches:
+                if len(s.done) == k and s.queue:
+                    s.done.append((-s.queue[0][0], NONE))
             break
-        if round_ == k:  # only the value is wanted: it is the bound of the best prefix
-            for s, x in now:
-                s.done.append((x[0], none))
+        now = [(s, x) for s in searches if len(s.done) == round_ and (x := s.pop(lattices, k + 1 - round_))]
+        if not now:
             break
         count = np.array([len(s.words) - x[2] if x[4] >= 0 else 0 for s, x in now])
         ends = np.cumsum(count)
         first = ends - count
-        node = lattices.root[np.concatenate([s.words[x[2] :] if c else none for (s, x), c in zip(now, count)]).astype(np.int64)]
+        node = lattices.root[np.concatenate([s.words[x[2] :] if c else NONE for (s, x), c in zip(now, count)]).astype(np.int64)]
         node[first[count > 0]] = [x[4] for (_, x), c in zip(now, count) if c]
         doc = np.repeat(np.arange(len(now)), count)
         salts = mixed(np.array([s.salt for s, _ in now], np.uint64) + np.uint64((round_ + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
@@ -286,22 +397,7 @@ def sample_batch(texts: list[np.ndarray], keys: list[int], lattices: Lattices, k
         for i, (_, x) in enumerate(now):
             own = cut[first[i] : ends[i]]
             before[first[i] : ends[i]] = np.cumsum(own) - own + x[1]
-        # the ways to leave a word's path, arc by arc
-        inside = lattices.share[arcs]
-        heads = np.flatnonzero(np.diff(of, prepend=-1))
-        place = np.arange(len(arcs)) - np.repeat(heads, np.diff(np.append(heads, len(arcs))))
-        own, inside = inside, np.zeros(len(arcs))
-        for step in range(1, int(place.max()) + 1 if len(arcs) else 0):
-            here = np.flatnonzero(place == step) if step < 64 else here[place[np.minimum(here + 1, len(place) - 1)] == step] + 1
-            inside[here] = inside[here - 1] + own[here - 1]
-        leave = inside + lattices.rest[arcs]
-        other = np.full(len(node), -np.inf)
-        if len(arcs):
-            top = np.maximum.reduceat(leave, heads)
-            top = np.where(np.isneginf(top), 0.0, top)
-            with np.errstate(divide="ignore"):
-                out_mass = top + np.log(np.add.reduceat(np.exp(leave - np.repeat(top, np.diff(np.append(heads, len(arcs))))), heads))
-            other[of[heads]] = before[of[heads]] + out_mass
+        other = before + lattices.other_cuts(cut, arcs, of)
         bound0 = np.array([x[0] for _, x in now])
         bounds = truncated(other, bound0[doc], uniform(salt + np.uint64(0xA0761D6478BD642F)))
         for i, (s, (bound, mass, word, prefix, _)) in enumerate(now):
@@ -315,7 +411,7 @@ def sample_batch(texts: list[np.ndarray], keys: list[int], lattices: Lattices, k
             inside = np.searchsorted(of[arc_start[i] : arc_end[i]], first[i] + np.concatenate((best, best + 1)))
             for w, lo, hi in zip(best.tolist(), inside[: len(best)].tolist(), inside[len(best) :].tolist()):
                 at = first[i] + w
-                s.push(float(b[w]), 1, float(before[at]), word + w, np.concatenate((prefix, own[:lo])), own[lo:hi])
+                s.push(float(b[w]), 1, float(before[at]), word + w, (s.done[-1][1], len(prefix) + lo), own[lo:hi])
     out = []
     for s in searches:
         kappa = s.done[k][0] if len(s.done) > k else -np.inf
@@ -328,8 +424,16 @@ def sample_batch(texts: list[np.ndarray], keys: list[int], lattices: Lattices, k
 
 
 def units(text: str) -> list[str]:
-    """The text's words as the model sees them: a blank before the text, blanks as U+2581."""
-    return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    """The text's words as the model sees them: a blank before the text, blanks as U+2581. Joined they are that text.
+
+    Where one blank stands between two words the text is split there, and a newline stays before what follows it.
+    """
+    if not text:
+        return []
+    parts = text.replace("\n", " \n").split(" ")
+    if "" in parts or BLANK in text:
+        return UNIT.findall(BLANK + text.replace(" ", BLANK))
+    return [p if p[0] == "\n" else BLANK + p for p in parts]
 
 
 class Numbers(dict):
@@ -341,8 +445,11 @@ class Numbers(dict):
 
 
 class Sampler:
+    """Samples texts; keeps the lattices of words that come again, up to MOST_ARCS arcs and those of the texts at hand."""
+
     def __init__(self, path: str, k: int, alpha: float, seed: int):
         self.pieces, self.k, self.seed = Pieces(path, alpha), k, seed
+        self.number, self.uses, self.lattices = Numbers(), np.zeros(0, np.int64), Lattices([], self.pieces)
 
     def batch(self, keys: list[int | None], texts: list[str]) -> Iterator[list[tuple[float, float, np.ndarray]]]:
         """For each text its sampled (log-probability, inclusion score, ids); PIECE_CHARS of text at a time."""
@@ -353,41 +460,60 @@ class Sampler:
                 yield from self.piece(keys[start : i + 1], texts[start : i + 1])
                 start, size = i + 1, 0
 
+    def forget(self) -> None:
+        """Lets go of rarer words until the lattices take half of their place."""
+        arcs, least = np.add.reduceat(np.diff(self.lattices.begin), self.lattices.root), 2
+        while int(arcs[wanted := self.uses >= least].sum()) > MOST_ARCS // 2:
+            least *= 2
+        self.lattices.keep(wanted)
+        self.uses = self.uses[wanted]
+        self.number = Numbers(zip((w for w, keep in zip(self.number, wanted.tolist()) if keep), range(len(self.uses))))
+
     def piece(self, keys: list[int | None], texts: list[str]) -> Iterator[list[tuple[float, float, np.ndarray]]]:
-        split = [units(t) for t in texts]
-        number = Numbers()
-        coded = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split]
-        lattices = Lattices(list(number), self.pieces)
+        if len(self.lattices.src) > MOST_ARCS:
+            self.forget()
+        before = len(self.number)
+        coded = [np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws)) for ws in map(units, texts)]
+        self.lattices.add(list(itertools.islice(self.number, before, None)))
+        uses = np.bincount(np.concatenate(coded), minlength=len(self.number)) if coded else np.zeros(0, np.int64)
+        uses[:before] += self.uses
+        self.uses = uses
         marks = [xxhash.xxh64_intdigest(repr(key).encode(), seed=self.seed) for key in keys]
-        for rows in sample_batch(coded, marks, lattices, self.k):
-            yield [(logp, score, self.ids(lattices.piece[arcs])) for logp, score, arcs in rows]
+        for rows in sample_batch(coded, marks, self.lattices, self.k):
+            yield [(logp, score, self.ids(self.lattices.piece[arcs])) for logp, score, arcs in rows]
 
     def ids(self, piece: np.ndarray) -> np.ndarray:
         if (piece >= 0).all():
-            return piece
+            return piece.astype(np.int32)
         out = []
         for p in piece.tolist():
             out += [p] if p >= 0 else [self.pieces.byte[b] for b in (-1 - p).to_bytes(4, "big").lstrip(b"\0")]
-        return np.array(out, np.int64)
+        return np.array(out, np.int32)
+
+
+#: Ids of the segmentations that go out in one batch.
+BATCH_IDS = 1 << 20
 
 
 def sample_task(path: str, k: int, alpha: float, seed: int):
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        key, n, logp, score, ids = zip(*rows)
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(logp, pa.float64()), pa.array(score, pa.float64()), lists], ["id", "sample", "log_prob", "inclusion", "ids"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(path, k, alpha, seed)
+        sampler, rows, size = Sampler(path, k, alpha, seed), [], 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            id_, n, logp, score, ids = [], [], [], [], []
             for key, found in zip(keys, sampler.batch(keys, texts)):
-                for j, (p, s, arcs) in enumerate(found):
-                    id_.append(key)
-                    n.append(j)
-                    logp.append(p)
-                    score.append(s)
-                    ids.append(arcs)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), pa.array(n, pa.int32()), pa.array(logp, pa.float64()), pa.array(score, pa.float64()), lists], ["id", "sample", "log_prob", "inclusion", "ids"])
+                rows += [(key, j, p, s, ids) for j, (p, s, ids) in enumerate(found)]
+                size += sum(len(x[2]) for x in found)
+                if size >= BATCH_IDS:
+                    yield record(rows)
+                    rows, size = [], 0
+        if rows:
+            yield record(rows)
 
     return task
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -442,6 +443,27 @@ def test_sampling_is_without_replacement_by_mass():
         assert abs(first[path] / n - p) < 0.015 and abs(second[path] / n - after) < 0.015
 
 
+def test_segmentation_of_unbroken_text_in_bounded_memory():
+    sampler = sampled_pieces.Sampler(Q.vocabulary(Q.PIECES), 3, sampled_pieces.ALPHA, sampled_pieces.SEED)
+    text = "".join(np.random.default_rng(6).choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    tracemalloc.start()
+    [rows] = sampler.batch([1], [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    assert len({tuple(ids) for _, _, ids in rows}) == 3 and all(sampler.pieces.decode(ids.tolist()) == text for _, _, ids in rows)
+
+
+def test_segmentations_do_not_depend_on_forgotten_words(docs, monkeypatch):
+    texts = [r.text for r in docs.select("text").limit(60).collect()]
+    whole = sampled_pieces.Sampler(Q.vocabulary(Q.PIECES), 2, sampled_pieces.ALPHA, sampled_pieces.SEED)
+    want = [[ids.tolist() for _, _, ids in rows] for rows in whole.batch([*range(60)], texts)]
+    monkeypatch.setattr(sampled_pieces, "MOST_ARCS", 2000)
+    monkeypatch.setattr(sampled_pieces, "PIECE_CHARS", 3000)
+    small = sampled_pieces.Sampler(Q.vocabulary(Q.PIECES), 2, sampled_pieces.ALPHA, sampled_pieces.SEED)
+    assert [[ids.tolist() for _, _, ids in rows] for rows in small.batch([*range(60)], texts)] == want
+
+
 def test_segmentation_edge_texts(spark):
     path = Q.vocabulary(Q.PIECES)
     texts = [" ", "  a  b ", "\n\n", "日本語 emoji 🙂", "x", "tab\tcr\r\n", "9" * 3000]
