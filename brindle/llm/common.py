@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,14 +18,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key with at least one in HOT_SHARE of all rows is hot: at most HOT_SHARE keys can be, at any size.
 HOT_SHARE = 4096
 
-#: Rows of one long and little else that may be broadcast; more rows are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows of two longs and little else that may be broadcast, some 60 MB of them; more rows are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where unset (tests), a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Where a local session has none (tests), a folder of our own."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "brindle-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,17 +37,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
 
     The finished write's shuffle files are then free to go, so the JVM is asked to collect them.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes what stage wrote, once nothing reads it any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -76,6 +96,23 @@ def keep_ids(rows: DataFrame, ids: DataFrame, id_col: str, n_ids: int | None = N
     return rows.join(ids, rows[id_col].eqNullSafe(ids["_keep_id"]), "left_semi")
 
 
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
+    """The rows of docs whose (id, text_hash) is in keys, with all their columns.
+
+    keys: distinct (id, h, again); where again holds, one of the rows stays. keys are broadcast up to BROADCAST_ROWS, else
+    both sides are shuffled, without sorting texts.
+    """
+    keys = stage(keys.select("id", "h", "again"), "kept-rows")
+    kid, kh, again = (free_name(docs, c) for c in ("kept_id", "kept_h", "kept_again"))
+    table = keys.toDF(kid, kh, again)
+    table = F.broadcast(table) if keys.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
+    out = docs.join(table, docs[id_col].eqNullSafe(F.col(kid)) & (text_hash == F.col(kh)))
+    if keys.filter("again").isEmpty():
+        return out.select(*docs.columns)
+    repeated = out.filter(F.col(again)).dropDuplicates([kid, kh])
+    return out.filter(~F.col(again)).select(*docs.columns).unionByName(repeated.select(*docs.columns))
+
+
 def join_by_class(rows: DataFrame, classes: DataFrame, key: str, size_col: str, total: int) -> DataFrame:
     """Inner join of rows to their class on key, safe where one class holds a large share of the rows.
 
@@ -92,32 +129,38 @@ def join_by_class(rows: DataFrame, classes: DataFrame, key: str, size_col: str,
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, component), component the smallest node reachable.
+    """Connected components of edges (a, b): staged rows (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star rounds, each staged; ends when a round leaves the edges as they were.
-    Every node of edges has a row. A star's centre is found by a map-side-combined minimum, so hubs do not skew.
+    Alternating large-star and small-star rounds, each staged; ends when a round leaves the edges as they were, and raises
+    where that takes more than most_rounds. Every node of edges has a row. A star's centre is found by a map-side-combined
+    minimum and given back to a hub's edges by broadcast, so hubs do not skew.
     """
-    spark = edges.sparkSession
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = stage(both, f"{name}-edges")
+    first = now = stage(both, f"{name}-edges")
     mark = None
     for _ in range(most_rounds):
         # large star: neighbours larger than u point to the smallest of u and its neighbours
         nb = now.select("u", "v").union(now.select(F.col("v"), F.col("u"))).toDF("u", "v").filter("u <> v")
-        least = nb.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = nb.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = nb.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
+        large = join_by_class(nb, least, "u", "degree", 2 * now.count()).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         # small star: u and its smaller neighbours point to the smallest of them
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_min.toDF("u", "v"))
-        now = stage(small.filter("u <> v").distinct(), f"{name}-round")
+        before, now = now, stage(small.filter("u <> v").distinct(), f"{name}-round")
+        if before is not first:
+            discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    nodes = both.select("u").union(both.select("v")).toDF("node").distinct()
+    else:
+        raise RuntimeError(f"components of {name} are not settled after {most_rounds} rounds")
+    nodes = first.select("u").union(first.select("v")).toDF("node").distinct()
     found = now.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    out = stage(nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component")), f"{name}-components")
+    discard(first, now)
+    return out
 
 
 def misra_gries(keys: DataFrame, key: str, k: int) -> DataFrame:

@@ -4,8 +4,9 @@ A Misra-Gries summary finds the digests that may be frequent. An exact pass over
 winners, and the verified winners (HOT_SHARE at most) are broadcast, so copies of hot texts are settled map-side. The
 remaining digests, each with less than one in HOT_SHARE of the rows, go through an ordinary shuffle.
 
-Nulls count as empty text. Repeated rows (same id, same text) are copies of each other: one stays. An empty table gives
-an empty result. Extra columns are not looked at by `decide` and are carried through by `deduplicate`.
+Nulls count as empty text. Repeated rows (same id, same text) are copies of each other: one stays; different texts of one
+id are judged apart. Rows without an id tie below all others. An empty table gives an empty result. Extra columns are not
+looked at by `decide`, whatever their names, and are carried through by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import HOT_SHARE, ascii_lower, keep_ids, misra_gries, stage, text_of
+from brindle.llm.common import HOT_SHARE, ascii_lower, keep_rows, misra_gries, stage, text_of
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,12 +49,6 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = stage(decide(docs, id_col, text_col).filter("kept").select(id_col), "kept")
-    ids = kept.distinct()
-    out = keep_ids(docs, ids, id_col)
-    if docs.select(id_col).count() != docs.select(id_col).distinct().count():
-        # an id stands for several rows: settle equal texts of one id here
-        digest = F.sha2(ascii_lower(text_of(text_col)).cast("binary"), 256)
-        first = Window.partitionBy(id_col, "_digest").orderBy("_row")
-        out = out.withColumns({"_digest": digest, "_row": F.monotonically_increasing_id()}).withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
-    return out
+    rows = stage(decide(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.xxhash64("text_sha256").alias("h"), "kept"), "decided")
+    kept = rows.groupBy("id", "h").agg(F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("again")).filter("kept")
+    return keep_rows(docs, kept, id_col, F.xxhash64(F.sha2(ascii_lower(text_of(text_col)).cast("binary"), 256)))
