@@ -70,7 +70,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts.count_tokens(documents(spark, sf_dir), vocabulary(TOKENIZER))
+    """The cache lasts where spark.brindle.tokenCountCache names a folder; else the run has a fresh one."""
+    cache = spark.conf.get("spark.brindle.tokenCountCache", None)
+    found = token_counts.count_tokens(documents(spark, sf_dir), vocabulary(TOKENIZER), cache)
     return found.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
