@@ -12,9 +12,11 @@ long passage counts however long the item is; and an item of fewer words, or wit
 Scripts without blanks are cut to letters, and a run of theirs is BLANKLESS_RUN letters. An item without a letter, digit or
 sign that WORD knows matches nothing.
 
-Items are handled in slices of bounded bytes, so the table that goes to the executors has a proven size however large the
-benchmark is. Null and empty texts and items match nothing. Items shorter than the window are one window of their whole
-length, if that has enough plain words, besides their literal words. Repeated rows are judged each. Texts are read whole.
+Which words are names follows from one lexicon of the whole benchmark, sent as eight bytes a word and refused beyond
+LEXICON_WORDS. Items are handled in slices of bounded bytes, so the table that goes to the executors has a proven size
+however large the benchmark is; the slices share the lexicon, so results are equal for any size of slice. Null and empty texts and items match nothing. Items shorter than the window are one window of their whole
+length, if that has enough plain words, besides their literal words. Repeated rows are judged each; items that tie are all reported. Texts are read whole. An empty table of documents
+or of items gives no match. Other columns are not looked at, whatever their names; `clean` carries them through.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ COVERAGE = 0.5
 RUN, BLANKLESS_RUN = 13, 32
 #: Bytes of benchmark text whose windows go to the executors at once.
 SLICE_BYTES = 16 << 20
+#: Distinct lower-case words that the benchmark may have.
+LEXICON_WORDS = 1 << 24
 
 #: Thai, Lao, Burmese, Khmer, kana and Han.
 BLANKLESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -63,15 +67,29 @@ def words(text: str) -> list[str]:
     return WORD.findall(text)
 
 
-def lexicon(texts: list[str]) -> frozenset[str]:
-    """Words that occur in lower case: a capital does not make a name of them."""
-    return frozenset(w for t in texts for w in words(t) if w.islower())
+def word_hash(low: str) -> int:
+    return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+
+
+def lexicon_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low = {w for t in batch.column(0).to_pylist() for w in words(t or "") if w.islower()}
+        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(word_hash, low), np.uint64, len(low)).view(np.int64))], ["h"])
+
+
+def lexicon(benchmark: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of the words that occur in lower case: a capital does not make a name of them."""
+    small_batches(benchmark.sparkSession)
+    found = benchmark.select(F.col(text_col).alias("text")).mapInArrow(lexicon_task, "h long").distinct().limit(LEXICON_WORDS + 1).toArrow()
+    if found.num_rows > LEXICON_WORDS:
+        raise ValueError(f"the benchmark has more than {LEXICON_WORDS} lower-case words")
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
 class Vocabulary(dict):
     """Word to number; by number, the hash of its lower-case form and what it may be: number, name, unit, sentence end."""
 
-    def __init__(self, plain: frozenset[str]):
+    def __init__(self, plain: np.ndarray):
         super().__init__()
         self.plain = plain
         self.hashes, self.kinds = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
@@ -81,7 +99,7 @@ class Vocabulary(dict):
         if n == len(self.hashes):
             self.hashes, self.kinds = np.concatenate((self.hashes, self.hashes)), np.concatenate((self.kinds, self.kinds))
         low = w.lower()
-        self.hashes[n] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+        self.hashes[n] = h = word_hash(low)
         if w[0] in ".!?":
             kind = STOP
         elif w[0].isdigit():
@@ -89,10 +107,14 @@ class Vocabulary(dict):
         elif w in SIGNS or low in UNITS:
             kind = UNIT
         else:
-            kind = NAME if w[0].isupper() and not w.isupper() and low not in self.plain else PLAIN_KIND
+            kind = NAME if w[0].isupper() and not w.isupper() and not self.is_plain(h) else PLAIN_KIND
         self.kinds[n] = kind
         return n
 
+    def is_plain(self, h: int) -> bool:
+        at = int(self.plain.searchsorted(np.uint64(h)))
+        return at < len(self.plain) and int(self.plain[at]) == h
+
 
 class Template:
     """A text's words without sentence ends, the kind of slot each fills (0: none), and hashes with slots in their place."""
@@ -143,7 +165,7 @@ class WindowHashes:
 class Windows:
     """Hash tables of a slice of the benchmark: window hash to (item, place), and hash of literal words to items, by window size."""
 
-    def __init__(self, items: list[tuple[int, str]], plain: frozenset[str]):
+    def __init__(self, items: list[tuple[int, str]], plain: np.ndarray):
         self.plain, self.items, self.by_size, self.literal, self.runs = plain, {}, {}, {}, {}
         vocabulary = Vocabulary(plain)
         grown: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
@@ -249,9 +271,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    out = None
+    out, plain = None, lexicon(benchmark, item_text_col)
     for items in slices(benchmark, item_col, item_text_col, slice_bytes):
-        part = rows.mapInArrow(match_task(Windows(items, lexicon([t for _, t in items]))), "id long, item long, matched long, windows long, exact boolean")
+        part = rows.mapInArrow(match_task(Windows(items, plain)), "id long, item long, matched long, windows long, exact boolean")
         out = part if out is None else out.unionByName(part)
     return out.toDF(id_col, item_col, "matched", "windows", "exact")
 
@@ -259,9 +281,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     small_batches(docs.sparkSession)
-    out = docs
+    out, plain = docs, lexicon(benchmark, item_text_col)
     for items in slices(benchmark, item_col, item_text_col, slice_bytes):
-        table = Windows(items, lexicon([t for _, t in items]))
+        table = Windows(items, plain)
 
         def task(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             known = Vocabulary(table.plain)
