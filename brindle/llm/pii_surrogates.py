@@ -43,7 +43,8 @@ KINDS = {
 NUMBERS = "|".join(KINDS[k] for k in ("ip", "ssn", "card", "phone"))
 ENTITY = rf"(?:{KINDS['email']})|(?=[\d(+])(?:{NUMBERS})|(?=\p{{Lu}}){KINDS['name']}"
 MARK, ESCAPE = "\ue000", "\ue001"
-#: From so many draws on, a crowded type's surrogates grow by a digit, or use more address space; then draws are unlikely to end.
+#: From so many draws on, a crowded type's surrogates grow by a digit or a syllable, or use more address space, and again every
+#: fourth draw; then draws are unlikely to end.
 CROWDED, MOST_DRAWS = 8, 40
 #: Bytes of per-document tables that may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -99,16 +100,20 @@ def drawn(key: str) -> Column:
     same_length = F.concat(F.substring(value, 1, 1), F.substring(h, 1, 63)).substr(F.lit(1), F.length(value) + grown)
     body = same_length.substr(F.lit(1), F.length(same_length) - 1)
     check = ((10 - luhn_sum(body, 0) % 10) % 10).cast("string")
-    syllables = {s: F.array(*map(F.lit, x)) for s, x in SYLLABLES.items()}
-    family = [F.concat(*(F.element_at(syl, F.substring(h, 1 + 3 * i, 3).cast("int") % len(SYLLABLES[s]) + 1) for i in range(4))) for s, syl in syllables.items()]
+    place = F.sequence(F.lit(0), F.least(3 + grown, F.lit(20)))
+
+    def family(script: str) -> Column:
+        syllables = F.array(*map(F.lit, SYLLABLES[script]))
+        return F.initcap(F.array_join(F.transform(place, lambda i: F.element_at(syllables, F.substr(h, 1 + 3 * i, F.lit(3)).cast("int") % len(SYLLABLES[script]) + 1)), ""))
+
     return (
         F.when(kind == "email", F.concat(F.lit("user"), F.substring(h, 1, 12), F.lit("@mail"), F.substring(h, 13, 1), F.lit(".example.org")))
         .when(kind == "ip", F.concat_ws(".", F.when(grown == 0, "10").otherwise((F.substring(h, 20, 3).cast("int") % 15 + 240).cast("string")), *(o.cast("string") for o in octet)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(h, 1, 60)).substr(F.lit(1), F.lit(9) + grown))
         .when((kind == "card") & (luhn_sum(value, 1) % 10 == 0), F.concat(body, check))
         .when(kind.isin("card", "phone"), same_length)
-        .when(kind == "family-latin", F.initcap(family[0]))
-        .otherwise(F.initcap(family[1]))
+        .when(kind == "family-latin", family("latin"))
+        .otherwise(family("cyrillic"))
     )
 
 
