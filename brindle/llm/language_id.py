@@ -108,48 +108,65 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def own_cosine(rows: np.ndarray, of: np.ndarray, centres: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Cosine of each row to the nearest centroid of its own language."""
-    return np.where(owner[None, :] == of[:, None], rows @ centres.T, -1).max(axis=1)
+def dense(rows: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Sparse counts as rows."""
+    out = np.zeros((len(rows), DIM), np.int64)
+    for i, (at, n) in enumerate(rows):
+        out[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
+    return out
 
 
-def fit_vectors(sample: list[tuple[str, np.ndarray, int]], cuts: Iterable[tuple[str, np.ndarray, int]] = ()) -> Model:
-    """Fit from (language, counts, letters) of sampled texts; cuts are beginnings of theirs, for thresholds of shorter texts."""
-    sample = [x for x in sample if x[2]]
+def fit_vectors(sample: list[tuple[str, bytes, bytes, int]], cuts: Iterable[tuple[str, bytes, bytes, int]] = ()) -> Model:
+    """Fit from (language, places, counts, letters) of sampled texts; cuts are beginnings of theirs, for thresholds of shorter texts.
+
+    Rows are made wide for one language at a time.
+    """
+    sample = [x for x in sample if x[3]]
     languages = sorted({x[0] for x in sample})
     if not languages:
         return Model([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros(25))
-    counts, n = np.stack([x[1] for x in sample]), np.array([x[2] for x in sample])
-    of = np.array([languages.index(x[0]) for x in sample])
-    idf = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    rows = weighted(counts, idf)
-    parts = [k_means(rows[of == i], CENTROIDS) for i in range(len(languages))]
-    centres, owner = np.concatenate(parts), np.concatenate([np.full(len(p), i) for i, p in enumerate(parts)])
-    at, nearest = bucket(n), np.full(25, np.inf)
-    np.minimum.at(nearest, at, own_cosine(rows, of, centres, owner))
-    for lang, found, letters_ in cuts:
-        if letters_ and bucket(letters_) < at.min():
-            row, i = weighted(found[None, :], idf), np.array([languages.index(lang)])
-            nearest[bucket(letters_)] = min(nearest[bucket(letters_)], own_cosine(row, i, centres, owner)[0])
-    nearest[at.max() + 1 :] = nearest[at.max()]
+    held = np.zeros(DIM, np.int64)
+    for _, at, _, _ in sample:
+        held[np.frombuffer(at, np.uint16)] += 1
+    idf = (np.log((1 + len(sample)) / (1 + held)) + 1).astype(np.float32)
+    at_all = bucket(np.array([x[3] for x in sample]))
+    nearest, parts = np.full(25, np.inf), []
+    shorter = [x for x in cuts if x[3] and bucket(x[3]) < at_all.min()]
+    for language in languages:
+        own = [x for x in sample if x[0] == language]
+        rows = weighted(dense([x[1:3] for x in own]), idf)
+        parts.append(k_means(rows, CENTROIDS))
+        np.minimum.at(nearest, bucket(np.array([x[3] for x in own])), (rows @ parts[-1].T).max(axis=1))
+        brief = [x for x in shorter if x[0] == language]
+        for i in range(0, len(brief), 256):
+            some = brief[i : i + 256]
+            np.minimum.at(nearest, bucket(np.array([x[3] for x in some])), (weighted(dense([x[1:3] for x in some]), idf) @ parts[-1].T).max(axis=1))
+    nearest[at_all.max() + 1 :] = nearest[at_all.max()]
     # a shorter text may be as far as the longer of the sample
     least = REJECT_SHARE * np.maximum(np.minimum.accumulate(nearest[::-1])[::-1], 0)
-    return Model(languages, owner, centres, idf, least)
+    owner = np.concatenate([np.full(len(p), i) for i, p in enumerate(parts)])
+    return Model(languages, owner, np.concatenate(parts), idf, least)
+
+
+def sparse(text: str) -> tuple[bytes, bytes, int]:
+    """Places and numbers of the counts that are not zero, and the letters: a row of counts is too wide to keep many."""
+    counts, letters = grams(text)
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes(), letters
 
 
 def vector_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to sparse counts of the text and of beginnings of it, each half as long as the one before."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        shorter = [[t[: len(t) >> k] for k in range(1, len(t).bit_length())] for t in texts]
-        of = pa.array([i for i, ts in enumerate(shorter) for _ in range(1 + len(ts))], pa.int64())
-        cut = [k > 0 for ts in shorter for k in range(1 + len(ts))]
-        found = [grams(t) for whole, ts in zip(texts, shorter) for t in (whole, *ts)]
-        at = [np.flatnonzero(c) for c, _ in found]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(of), pa.array(cut, pa.bool_()), pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()), pa.array([c[i].astype(np.uint32).tobytes() for i, (c, _) in zip(at, found)], pa.binary()), pa.array([n for _, n in found], pa.int64())],
-            ["lang", "cut", "at", "n", "letters"],
-        )
+        of, cut, found = [], [], []
+        for i, text in enumerate(texts):
+            for k in range(max(1, len(text).bit_length())):
+                of.append(i)
+                cut.append(k > 0)
+                found.append(sparse(text[: len(text) >> k]))
+        at, n, letters = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(cut, pa.bool_()), pa.array(at, pa.binary()), pa.array(n, pa.binary()), pa.array(letters, pa.int64())], ["lang", "cut", "at", "n", "letters"])
 
 
 def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -165,13 +182,9 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
     texts = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), ["lang", "id"], "left_semi").select("lang", "text")
     found = texts.mapInArrow(vector_task, "lang string, cut boolean, at binary, n binary, letters long").collect()
 
-    def dense(r) -> tuple[str, np.ndarray, int]:
-        counts = np.zeros(DIM, np.int64)
-        counts[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
-        return r["lang"], counts, r["letters"]
-
-    sample = sorted((r for r in found if not r["cut"]), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    return fit_vectors([dense(r) for r in sample], (dense(r) for r in found if r["cut"]))
+    row = lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"]), r["letters"])
+    sample = sorted(row(r) for r in found if not r["cut"])
+    return fit_vectors(sample, [row(r) for r in found if r["cut"]])
 
 
 def identify_task(model: Model):
