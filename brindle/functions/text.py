@@ -18,22 +18,29 @@ def self_overlaps(needle: bytes) -> bool:
     return any(needle[k:] == needle[: len(needle) - k] for k in range(1, len(needle)))
 
 
+#: Matches in one text up to which offsets are summed up part by part; a fold's array is copied with each.
+FEW_MATCHES = 512
+
+
 def byte_offsets(text: Column, needle: str) -> Column:
     """All byte offsets of the needle in valid UTF-8 text, overlapping ones too, in order.
 
-    A needle that cannot overlap itself is found by one split; offsets are running sums of the parts' bytes.
+    A needle that cannot overlap itself is found by one split, and offsets are running sums of the parts' bytes; where there
+    are many, or the needle overlaps itself, each place is looked at.
     """
     raw = needle.encode()
+    n = len(raw)
+    size = F.octet_length(text)
+    at = F.when(size >= n, F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    every = F.filter(at, lambda i: F.substring(text.cast("binary"), i + 1, F.lit(n)) == F.lit(raw))
+    none = F.array().cast("array<int>")
     if self_overlaps(raw):
-        n = len(raw)
-        size = F.octet_length(text)
-        at = F.when(size >= n, F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        hit = F.filter(at, lambda i: F.substring(text.cast("binary"), i + 1, F.lit(n)) == F.lit(raw))
-        return F.when(F.contains(text, F.lit(needle)), hit).otherwise(F.array().cast("array<int>"))
+        return F.when(F.contains(text, F.lit(needle)), every).otherwise(none)
     parts = F.split(text, "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, p: F.struct((a["at"] + F.octet_length(p) + len(raw)).alias("at"), F.concat(a["out"], F.array(a["at"] + F.octet_length(p))).alias("out"))
-    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda a: a["out"])
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.octet_length(p) + n).alias("at"), F.concat(a["out"], F.array(a["at"] + F.octet_length(p))).alias("out"))
+    summed = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda a: a["out"])
+    return F.when(F.size(parts) > FEW_MATCHES, every).otherwise(summed)
 
 
 def excerpt_bounds(size: Column, start: Column, end: Column, cap: int) -> tuple[Column, Column]:
@@ -52,6 +59,12 @@ def terms(text: Column, most: int = 64) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 1) & (F.length(w) <= most))))
 
 
+def term_set(text: Column, most: int = 64) -> Column:
+    """`terms` in the order of their first places."""
+    words = F.split(ascii_lower(text), "[^a-z0-9_]+")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 1) & (F.length(w) <= most)))
+
+
 def base64url(x: Column) -> Column:
     return F.rtrim(F.translate(F.base64(x), "+/", "-_"), F.lit("="))
 
@@ -76,14 +89,27 @@ def quoted(x: Column) -> Column:
     return F.transform(closed, lambda q: F.substr(q, F.lit(2), F.length(q) - 2))
 
 
+def explicit(t: Column) -> Column:
+    """Whether a text can be a signal: 1 to 256 printable ASCII characters."""
+    return t.rlike(r"^[\x20-\x7e]{1,256}$")
+
+
 def is_path(t: Column) -> Column:
     """A portable relative path: no root, no parent step, no empty step, and a slash or a short extension with a letter."""
-    shape = t.contains("/") | t.rlike(r"[^./]\.(?=[A-Za-z0-9]{1,16}$)[0-9]*[A-Za-z][A-Za-z0-9]*$")
-    return ~t.rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)|//") & shape
+    shape = t.contains("/") | t.rlike(r".\.(?=[A-Za-z0-9]{1,16}$)[0-9]*[A-Za-z][A-Za-z0-9]*$")
+    return ~t.rlike(r"^/|(^|/)\.\.(/|$)|//") & shape
 
 
 def is_identifier(t: Column) -> Column:
-    """Snake, dunder, kebab, scoped or interior-capital names; not version numbers."""
-    named = t.rlike(r"^[A-Za-z_][A-Za-z0-9_:-]*$")
-    marked = t.rlike(r"[A-Za-z0-9]_[A-Za-z0-9]|^__[A-Za-z0-9_]+__$|[A-Za-z0-9]::[A-Za-z0-9]|[a-z0-9][A-Z]|[A-Za-z]-[A-Za-z]")
-    return named & marked & ~t.rlike(r"^[vV]?[0-9]+([._-][0-9]+)*$")
+    """Snake, kebab, scoped and dunder names and those with a capital inside; separators at the edges don't count, and a
+    hyphenated text with a part of digits, dots and capitals is a version or a range of lines."""
+    named = t.rlike("^[A-Za-z_]") & t.rlike("[A-Za-z0-9]")
+    core = F.regexp_replace(t, "^[_-]+|[_-]+$", "")
+    version = t.contains("-") & t.rlike("(^|-)(?=[^-]*[0-9])[0-9.A-Z]+(-|$)")
+    return named & ~version & (t.rlike("^__.*__$|::|[a-z][A-Z]") | core.rlike("[_-]"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value. A reader stops where a value ends, so what follows is looked at too."""
+    closed = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit(',"y":1}')))
+    return F.coalesce(F.try_variant_get(closed, "$.y", "int") == 1, F.lit(False))

@@ -1,4 +1,4 @@
-"""Property graph: bounded traversal, rollup per directory, unique-name resolution, span containment."""
+"""Rollup per directory, unique names, span containment, turns."""
 
 from __future__ import annotations
 
@@ -20,22 +20,6 @@ def unique_names(nodes: DataFrame) -> DataFrame:
     return named.select("name", F.when(F.col("n") == 1, F.col("first")).alias("target"), F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("resolution"))
 
 
-def traverse(edges: DataFrame, start: str, depth: int, most_edges: int, stage=lambda df: df) -> DataFrame:
-    """(level, source, target) from start, level by level; a node is followed once, a level gives its first most_edges edges.
-
-    The loop runs at most depth times; every level is a join of the frontier to the edges.
-    """
-    frontier = edges.sparkSession.createDataFrame([(start,)], "node string")
-    seen, out = frontier, None
-    for level in range(1, depth + 1):
-        here = edges.join(F.broadcast(frontier) if level == 1 else frontier, edges["source"] == F.col("node"), "left_semi")
-        step = stage(here.orderBy("source", "target").limit(most_edges).select(F.lit(level).cast("long").alias("level"), "source", "target"))
-        out = step if out is None else out.unionByName(step)
-        frontier = step.select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.union(frontier)
-    return out
-
-
 def smallest_enclosing(spans: DataFrame, outer: DataFrame, most: int) -> DataFrame:
     """For each (path, start, end) the smallest [lo, hi) of the path that holds it, of at most `most` bytes, then the first."""
     inside = spans.join(outer, "path").filter((F.col("lo") <= F.col("start")) & (F.col("end") <= F.col("hi")) & (F.col("hi") - F.col("lo") <= most))

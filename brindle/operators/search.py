@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import ascii_lower, byte_offsets, byte_slice, digest, excerpt_bounds, terms
+from brindle.functions.text import ascii_lower, byte_offsets, byte_slice, digest, excerpt_bounds, term_set, terms
 from brindle.sources.artifacts import path_units
+from brindle.sources.store import staged
 
 
 def exact_path(artifacts: DataFrame, path: str) -> DataFrame:
@@ -54,27 +55,47 @@ def postings(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("path", F.explode(terms(F.col("text"))).alias("term"))
 
 
-def bm25(artifacts: DataFrame, query: list[str], most: int) -> DataFrame:
-    """Artifacts holding all query terms, best first: BM25 (k1 1.2, b 0.75) over distinct terms, negated, then path.
+def index(artifacts: DataFrame) -> DataFrame:
+    """(path, term, dl): the lexical index, postings with each file's number of distinct terms. Write it to search it often."""
+    found = artifacts.select("path", terms(F.col("text")).alias("t"))
+    return found.select("path", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
 
-    Terms are an array per artifact, so neither index nor counts are shuffled: the statistics are one aggregate row.
-    """
-    docs = artifacts.select("path", terms(F.col("text")).alias("terms")).select("path", F.size("terms").alias("dl"), *(F.array_contains("terms", t).alias(f"t{i}") for i, t in enumerate(query)))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(f"t{i}").alias(f"n{i}") for i in range(len(query))))
-    idf = sum(F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6)) for i in range(len(query)))
+
+def _ranked(docs: DataFrame, n_terms: int, most: int) -> DataFrame:
+    """docs (path, dl, t0, t1, ...): how long each file is and which query terms it holds."""
+    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(f"t{i}").alias(f"n{i}") for i in range(n_terms)))
+    idf = sum(F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6)) for i in range(n_terms))
     held = docs
-    for i in range(len(query)):
+    for i in range(n_terms):
         held = held.filter(f"t{i}")
     score = -idf * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * F.col("dl") / F.col("avgdl")))
     scored = held.join(F.broadcast(stats), how="cross").select("path", F.col("dl").cast("long").alias("dl"), F.round(score, 9).alias("score"), path_units(F.col("path")).alias("path_units"))
     return scored.orderBy("score", "path_units").limit(most)
 
 
+def bm25(artifacts: DataFrame, query: list[str], most: int) -> DataFrame:
+    """Artifacts holding all query terms, best first: BM25 (k1 1.2, b 0.75) over distinct terms, negated, then path.
+
+    A text is cut to terms once; its length and the terms it holds are stored, and the statistics are one aggregate row.
+    """
+    found = artifacts.select("path", term_set(F.col("text")).alias("terms")).select("path", F.size("terms").alias("dl"), *(F.array_contains("terms", t).alias(f"t{i}") for i, t in enumerate(query)))
+    return _ranked(staged(found, "term-flags"), len(query), most)
+
+
+def bm25_indexed(postings_: DataFrame, query: list[str], most: int, lengths: DataFrame) -> DataFrame:
+    """`bm25` over a written index: only the rows of the query's terms are read, and the files' lengths (path, dl)."""
+    hits = postings_.filter(F.col("term").isin(*query)).groupBy("path").agg(*(F.max(F.col("term") == t).alias(f"t{i}") for i, t in enumerate(query)))
+    flags = lengths.join(hits, "path", "left").select("path", "dl", *(F.coalesce(f"t{i}", F.lit(False)).alias(f"t{i}") for i in range(len(query))))
+    return _ranked(flags, len(query), most)
+
+
 def document_frequency(artifacts: DataFrame, query: list[str], within: F.Column) -> DataFrame:
     """How many artifacts hold all terms, in all and in scope."""
-    words = terms(F.col("text"))
-    held = artifacts.filter(F.forall(F.array(*map(F.lit, query)), lambda t: F.array_contains(words, t)))
-    return held.agg(F.count("*").alias("files"), F.count_if(within).alias("files_in_scope"))
+    flags = artifacts.select(term_set(F.col("text")).alias("terms"), within.alias("within")).select("within", *(F.array_contains("terms", t).alias(f"t{i}") for i, t in enumerate(query)))
+    every = F.lit(True)
+    for i in range(len(query)):
+        every = every & F.col(f"t{i}")
+    return flags.agg(F.count_if(every).alias("files"), F.count_if(every & F.col("within")).alias("files_in_scope"))
 
 
 def evidence(spans: DataFrame, snapshot: str) -> DataFrame:

@@ -78,10 +78,15 @@ def evidence_scores(mentioned: DataFrame, declared: DataFrame, wanted: DataFrame
     return scored.groupBy("file").agg(F.sum(F.col("w") * F.when(F.col("declares") == 1, DECLARED_WEIGHT).otherwise(1)).cast("long").alias("score"), F.count_distinct("name").alias("matched"))
 
 
-def admit_seeds(candidates: DataFrame, task: str, path: str, order: list[str]) -> DataFrame:
-    """The first SEEDS candidates of each task, at most SEEDS_OF_A_FILE of one file, with their place."""
-    of_file = candidates.withColumn("_n", F.row_number().over(Window.partitionBy(task, path).orderBy(*order))).filter(F.col("_n") <= SEEDS_OF_A_FILE)
-    return of_file.withColumn("place", F.row_number().over(Window.partitionBy(task).orderBy(*order))).filter(F.col("place") <= SEEDS).drop("_n")
+def admit_seeds(candidates: DataFrame, task: str, path: str, order: list[str], node: str) -> DataFrame:
+    """The first SEEDS candidates of each task, at most SEEDS_OF_A_FILE of one file, with their place.
+
+    A candidate right after one of the same node is dropped; one further on is not, so a node can take two places.
+    """
+    line = Window.partitionBy(task).orderBy(*order)
+    single = candidates.withColumn("_last", F.lag(node).over(line)).filter(~F.col(node).eqNullSafe(F.col("_last")) | F.col("_last").isNull()).drop("_last")
+    of_file = single.withColumn("_n", F.row_number().over(Window.partitionBy(task, path).orderBy(*order))).filter(F.col("_n") <= SEEDS_OF_A_FILE)
+    return of_file.withColumn("place", F.row_number().over(line)).filter(F.col("place") <= SEEDS).drop("_n")
 
 
 def first_of_each(rows: DataFrame, visible: list[str], order: list[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def log_window(spark, sf_dir):
 
 def log_greedy(spark, sf_dir):
     picked = logs.greedy(_lines(spark, sf_dir), "doc_id", [F.col("idx")], F.octet_length("line") + 1, "idx", 600)
-    return picked.select("doc_id", F.array_join("items", ",").alias("chosen"), "used")
+    return picked.select("doc_id", F.array_join("items", ",").alias("chosen"), "used", "skipped")
 
 
 def repository_map(spark, sf_dir):
@@ -51,17 +51,6 @@ def unique_name_resolution(spark, sf_dir):
     return graph.unique_names(nodes)
 
 
-def _edges(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    one = t("nation").select(F.format_string("r%d", "n_regionkey").alias("source"), F.format_string("n%d", "n_nationkey").alias("target"))
-    two = t("customer").select(F.format_string("n%d", "c_nationkey").alias("source"), F.format_string("c%d", "c_custkey").alias("target"))
-    return one.unionByName(two).unionByName(t("orders").select(F.format_string("c%d", "o_custkey").alias("source"), F.format_string("o%d", "o_orderkey").alias("target")))
-
-
-def bounded_traversal(spark, sf_dir):
-    return graph.traverse(_edges(spark, sf_dir), "r1", 3, 500)
-
-
 def smallest_enclosing_span(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), (F.col("o_orderkey") % 1000).alias("lo"), (F.col("o_orderkey") % 1000 + F.col("o_orderkey") % 37 + 1).alias("hi"))
     spans = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), (F.col("c_custkey") % 900).alias("start"), (F.col("c_custkey") % 900 + 1).alias("end"))
@@ -77,12 +66,6 @@ def file_first_round_robin(spark, sf_dir):
     return graph.round_robin(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-def ranked_insert(spark, sf_dir):
-    """First of equal texts, by id: the ordered dedupe of evidence."""
-    first = F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").withColumn("n", first).filter("n = 1").select("doc_id", "source")
-
-
 def packet_prefix(spark, sf_dir):
     """The longest prefix by turn of each conversation within 2,000 bytes."""
     run = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0))
@@ -103,25 +86,11 @@ def rarity_weights(spark, sf_dir):
     return df.join(F.broadcast(docs.agg(F.count("*").alias("n"))), how="cross").select("name", "df", F.length(F.bin(F.expr("n div df"))).cast("long").alias("weight"))
 
 
-def supporting_files(spark, sf_dir):
-    name = F.element_at(F.split("path", "/"), -1)
-    stem = F.element_at(F.split(name, r"\."), 1)
-    return documents_as_artifacts(spark, sf_dir).select("path", (stem.rlike("^test_|_tests?$|^conftest$") | name.contains(".test.") | name.contains(".spec.")).alias("supporting"))
-
-
 def analyzer_coverage(spark, sf_dir):
     """Findings by capability: sorted distinct brands of each part type."""
     return table(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("hashes"), F.count("*").alias("findings"))
 
 
-def admission_decision(spark, sf_dir):
-    """Most severe effect that any of a source's labels brings, incomplete where a document has no label."""
-    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    rank = F.max(F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).when(F.col("quality") == 1, 0).otherwise(1))
-    effects = F.array(*map(F.lit, ("allow", "review", "quarantine", "deny")))
-    return joined.groupBy("source").agg(F.element_at(effects, rank + 1).alias("effect"), F.bool_or(F.col("quality").isNull()).alias("incomplete"))
-
-
 def audit_retention(spark, sf_dir):
     prepare(spark)
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
@@ -147,9 +116,8 @@ def recall_summary(spark, sf_dir):
     return joined.groupBy("source").agg(hit.alias("hits"), want.alias("wanted")).withColumn("percent", F.expr("if(wanted = 0, 0L, (100 * hits) div wanted)"))
 
 
-QUERIES = {f.__name__: f for f in (log_lines, log_escapes, log_first_lines, log_window, log_greedy, repository_map, unique_name_resolution, bounded_traversal, smallest_enclosing_span, outermost_spans, file_first_round_robin, ranked_insert, packet_prefix, repeat_reads, rarity_weights, supporting_files, analyzer_coverage, admission_decision, audit_retention, dashboard_buckets, duration_percentiles, event_labels, recall_summary)}
+QUERIES = {f.__name__: f for f in (log_lines, log_escapes, log_first_lines, log_window, log_greedy, repository_map, unique_name_resolution, smallest_enclosing_span, outermost_spans, file_first_round_robin, packet_prefix, repeat_reads, rarity_weights, analyzer_coverage, audit_retention, dashboard_buckets, duration_percentiles, event_labels, recall_summary)}
 LINES = "with l as (select doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as raw, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) - 1 as idx from documents where text <> ''), n as (select doc_id, idx, regexp_replace(raw, '\\r$', '') as line from l)"
-EDGES = "with e as (select 'r' || n_regionkey as source, 'n' || n_nationkey as target from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer union all select 'c' || o_custkey, 'o' || o_orderkey from orders)"
 SPANS = "select distinct o_custkey as path, o_orderkey % {m} as lo, o_orderkey % {m} + o_orderkey % 37 + 1 as hi from orders"
 ORACLES = {
     "log_lines": LINES + " select doc_id, count(*) as lines, sum(octet_length(encode(line)))::bigint as bytes from n group by doc_id",
@@ -157,21 +125,17 @@ ORACLES = {
     "log_first_lines": LINES + " select doc_id, count(distinct line) as fresh from n group by doc_id",
     "log_window": LINES + ", w as (select *, max(contains(line, 'thing')::int) over (partition by doc_id order by idx rows between 2 preceding and 2 following) as near from n) select doc_id, count(*) as n, sum(idx)::bigint as places from w where near = 1 group by doc_id",
     "log_greedy": LINES + """, q as (select doc_id, list_reduce(list(struct_pack(used := octet_length(encode(line)) + 1, items := [idx]) order by idx), lambda a, x: case when a.used + x.used <= 600 then struct_pack(used := a.used + x.used, items := list_concat(a.items, x.items)) else a end, struct_pack(used := 0::bigint, items := []::bigint[])) as s from n group by doc_id)
-select doc_id, coalesce(array_to_string(s.items, ','), '') as chosen, s.used::bigint as used from q""",
+select doc_id, coalesce(array_to_string(s.items, ','), '') as chosen, s.used::bigint as used, (select count(*) from n where n.doc_id = q.doc_id) > len(s.items) as skipped from q""",
     "repository_map": W + ", p as (select string_split(path, '/') as s from art), d as (select unnest(list_concat(['.'], list_transform(range(1, len(s)), lambda k: array_to_string(s[1:k], '/')))) as directory from p) select directory, count(*) as files from d group by 1",
     "unique_name_resolution": "select p_name || ' ' || p_brand as name, case when count(*) = 1 then min(p_partkey) end as target, case when count(*) = 1 then 'resolved' else 'ambiguous' end as resolution from part group by 1",
-    "bounded_traversal": EDGES + ", a as (select 1::bigint as level, * from e where source = 'r1' order by source, target limit 500), b as (select 2::bigint as level, * from e where source in (select target from a) order by source, target limit 500), c as (select 3::bigint as level, * from e where source in (select target from b) order by source, target limit 500) select * from a union all select * from b union all select * from c",
     "smallest_enclosing_span": "with o as (" + SPANS.format(m=1000) + """), s as (select c_custkey as path, c_custkey % 900 as start, c_custkey % 900 + 1 as "end" from customer)
 select path, start, "end", lo, hi from s join o using (path) where lo <= start and "end" <= hi and hi - lo <= 64 qualify row_number() over (partition by path, start, "end" order by hi - lo, lo) = 1""",
     "outermost_spans": "with o as (" + SPANS.format(m=100) + "), r as (select *, max(hi) over (partition by path order by lo, hi desc rows between unbounded preceding and 1 preceding) as reach from o) select path, lo, hi from r where reach is null or hi > reach",
     "file_first_round_robin": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as turn from orders",
-    "ranked_insert": "select doc_id, source from documents qualify row_number() over (partition by text order by doc_id) = 1",
     "packet_prefix": "with r as (select conv_id, turn, sum(octet_length(encode(text)) + 1) over (partition by conv_id order by turn, role rows unbounded preceding)::bigint as used from conversations) select * from r where used <= 2000",
     "repeat_reads": "select user_id, count(*) - count(distinct event_type) as notices from events group by user_id",
     "rarity_weights": "with w as (select distinct doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) as name from documents), d as (select name, count(*) as df from w where name <> '' group by name) select name, df, length(bin((select count(*) from documents) // df))::bigint as weight from d",
-    "supporting_files": W + ", n as (select path, string_split(path, '/')[-1] as f from art) select path, regexp_matches(string_split(f, '.')[1], '^test_|_tests?$|^conftest$') or contains(f, '.test.') or contains(f, '.spec.') as supporting from n",
     "analyzer_coverage": "select p_type, string_agg(distinct p_brand, ',' order by p_brand) as hashes, count(*) as findings from part group by p_type",
-    "admission_decision": "select source, ['allow','review','quarantine','deny'][max(case when toxic = 1 then 3 when quality = 0 then 2 when quality = 1 then 0 else 1 end) + 1] as effect, bool_or(quality is null) as incomplete from documents left join labels using (doc_id) group by source",
     "audit_retention": "select event_id, event_type from events where event_id % 10 = 0 or ts >= timestamp '2024-01-02 00:00:00' order by ts desc, event_id desc limit 2000",
     "dashboard_buckets": "select event_type, count(*) as events, sum(floor(value))::bigint as duration_ms from events group by event_type",
     "duration_percentiles": "with r as (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events) select event_type, max(case when r = (n - 1) // 2 + 1 then value end) as p50, max(case when r = ceil(n * 95 / 100) then value end) as p95, max(value) as max from r group by event_type",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions.text import byte_slice, content_hash, digest, is_identifier, is_path, quoted, terms
+from brindle.functions.text import byte_slice, content_hash, digest, is_identifier, is_path, term_set, terms
 from brindle.operators import search, signals
 from brindle.session import prepare
 from brindle.sources import artifacts as A
+from brindle.sources.store import Store, fresh_path
 
 LONG = "long"
 
@@ -29,12 +30,12 @@ select rank, path, start, "end", excerpt_start, excerpt_end, hex(array_slice(enc
 
 def snapshot_artifacts(spark, sf_dir):
     files = _art(spark, sf_dir).select("path", F.col("text").cast("binary").alias("content"))
-    return A.snapshot(files, 700, 8000, 900_000)[0]
+    return A.snapshot(files, A.MAX_FILES, A.MAX_FILE_BYTES, A.MAX_TOTAL_BYTES)[0]
 
 
 def snapshot_skipped(spark, sf_dir):
     files = _art(spark, sf_dir).select(F.when(F.col("doc_id") % 50 == 3, F.concat(F.lit("target/"), "path")).otherwise(F.col("path")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return A.snapshot(files, 100_000_000, 8000, 1 << 60)[1]
+    return A.snapshot(files, A.MAX_FILES, A.MAX_FILE_BYTES, A.MAX_TOTAL_BYTES)[1]
 
 
 def snapshot_status(spark, sf_dir):
@@ -103,11 +104,26 @@ def document_frequency(spark, sf_dir):
 
 
 def term_extraction(spark, sf_dir):
-    return _art(spark, sf_dir).select("path", F.size(terms(F.col("text"))).cast(LONG).alias("n_terms"), F.array_join(terms(F.col("text")), " ").alias("terms"))
+    found = _art(spark, sf_dir).select("path", terms(F.col("text")).alias("t"))
+    return found.select("path", F.size("t").cast(LONG).alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+def lexical_index(spark, sf_dir):
+    """The index of a generation, written, made current and read again: searches over it give what a scan gives."""
+    art = _art(spark, sf_dir)
+    store = Store(spark, fresh_path(spark, "store"), "corpus")
+    store.promote("sha256:" + "1" * 64, {"postings": search.index(art), "lengths": art.select("path", F.size(term_set(F.col("text"))).cast(LONG).alias("dl"))})
+    return search.bm25_indexed(store.read("postings"), ["the", "thing"], 200, store.read("lengths"))
+
+
+#: Byte sequences, in hex, that are text and that are not: overlong, cut, surrogate and out of range among them.
+SEQUENCES = ["68656C6C6F", "C3A9", "C3", "E282AC", "E282", "F09F9982", "FF", "C080", "EDA080", "F4908080", "", "00", "41C3A941", "80"]
+HEXED = f"case event_id % {len(SEQUENCES)} " + " ".join(f"when {i} then '{h}'" for i, h in enumerate(SEQUENCES)) + " end"
 
 
 def utf8_classification(spark, sf_dir):
-    return _art(spark, sf_dir).select("path", F.when(F.is_valid_utf8(F.col("text")), "utf8").otherwise("unsupported").alias("decoding"), F.octet_length("text").cast(LONG).alias("bytes"))
+    content = F.unhex(F.expr(HEXED))
+    return A.table(spark, sf_dir, "events").select("event_id", F.when(F.is_valid_utf8(content.cast("string")), "utf8").otherwise("unsupported").alias("decoding"), F.octet_length(content).cast(LONG).alias("bytes"))
 
 
 def response_bound(spark, sf_dir):
@@ -134,8 +150,8 @@ def _tasks(spark, sf_dir):
 
 
 def task_quotes(spark, sf_dir):
-    texts = A.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" \"a b\" `c`"), F.lit("")).alias("t"))
-    return texts.select("doc_id", F.array_join(quoted(F.col("t")), "|").alias("quotes"))
+    texts = A.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" \"a b\" `c` \"a b\"")).alias("t"))
+    return texts.select("doc_id", F.array_join(signals.quotes(F.col("t")), "|").alias("quotes"))
 
 
 def task_signals(spark, sf_dir):
@@ -159,18 +175,18 @@ DF_ALL = f"list_sort(list_distinct(list_filter(regexp_split_to_array({FOLD.forma
 NEEDLE = dict(needle="thing ", hay="text", n=6)
 
 SNAP = W + """, j as (select path, octet_length(encode(text))::bigint as size, 'sha256:' || sha256(encode(text)) as content_hash from art),
-o as (select *, row_number() over (order by path) as r from j where size <= 8000),
-f as (select list_reduce(list(struct_pack(b := size, n := 0::bigint, kept := [path]) order by r), lambda a, x: case when a.b + x.b <= 900000 and a.n < 700 then struct_pack(b := a.b + x.b, n := a.n + 1, kept := list_concat(a.kept, x.kept)) else a end, struct_pack(b := 0::bigint, n := 0::bigint, kept := []::varchar[])) as s from o)
-select path, size, content_hash from j where path in (select unnest(s.kept) from f)"""
-SKIP = W + """, p as (select case when doc_id % 50 = 3 then 'target/' || path else path end as path, octet_length(encode(text)) as size from art),
-s as (select case when path like 'target/%' then 'policy_excluded' else 'oversized' end as reason, count(*) as files from p where path like 'target/%' or size > 8000 group by 1)"""
+o as (select *, row_number() over (order by path) as r, sum(size) over (order by path) as used from j where size <= 16777216) select path, size, content_hash from o where r <= 100000 and used <= 2147483648"""
+SKIP = W + """, s as (select 'policy_excluded' as reason, count(*) as files from art where doc_id % 50 = 3 having count(*) > 0)"""
+IS_PATH = "(not regexp_matches({0}, '^/|(^|/)\\.\\.(/|$)|//') and (contains({0}, '/') or (regexp_matches({0}, '.\\.[A-Za-z0-9]{{1,16}}$') and regexp_matches({0}, '\\.[0-9]*[A-Za-z][A-Za-z0-9]*$'))))"
+VERSIONED = "(contains({0}, '-') and len(list_filter(string_split({0}, '-'), lambda p: regexp_matches(p, '^[0-9.A-Z]+$') and regexp_matches(p, '[0-9]'))) > 0)"
+IS_NAME = "(regexp_matches({0}, '^[A-Za-z_]') and regexp_matches({0}, '[A-Za-z0-9]') and not " + VERSIONED + " and (({0} like '\\_\\_%\\_\\_' escape '\\' and length({0}) >= 4) or contains({0}, '::') or regexp_matches({0}, '[a-z][A-Z]') or regexp_matches(trim({0}, '_-'), '[_-]')))"
 SIG = f"""with t as (select doc_id, {TASK_SQL} as task from documents), k as (select doc_id, unnest(regexp_split_to_array(task, '[^A-Za-z0-9_\\-./:\\\\]+')) as tok, generate_subscripts(regexp_split_to_array(task, '[^A-Za-z0-9_\\-./:\\\\]+'), 1) as pos from t),
-n as (select doc_id, pos, regexp_replace(tok, '[.:]+$', '') as tok from k where tok <> ''),
-c as (select *, case when not regexp_matches(tok, '^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)|//') and (contains(tok, '/') or (regexp_matches(tok, '[^./]\\.[A-Za-z0-9]{{1,16}}$') and regexp_matches(tok, '\\.[0-9]*[A-Za-z][A-Za-z0-9]*$'))) then 'path'
- when regexp_matches(tok, '^[A-Za-z_][A-Za-z0-9_:-]*$') and regexp_matches(tok, '[A-Za-z0-9]_[A-Za-z0-9]|^__[A-Za-z0-9_]+__$|[A-Za-z0-9]::[A-Za-z0-9]|[a-z0-9][A-Z]|[A-Za-z]-[A-Za-z]') and not regexp_matches(tok, '^[vV]?[0-9]+([._-][0-9]+)*$') then 'identifier' end as kind from n)
-select doc_id, kind, tok as signal, row_number() over (partition by doc_id, kind order by min(pos)) as ord from c where kind is not null group by doc_id, kind, tok qualify ord <= 16"""
+n as (select doc_id, pos, regexp_replace(tok, '[.:]+$', '') as tok from k where regexp_replace(tok, '[.:]+$', '') <> ''),
+m as (select doc_id, pos, 2 as role, tok from n union all select doc_id, pos, 0, string_split(tok, '.')[-1] from n where contains(tok, '.')),
+c as (select *, case when role = 2 and {IS_PATH.format('tok')} then 'path' when {IS_NAME.format('tok')} then 'identifier' end as kind from m)
+select doc_id, kind, tok as signal, row_number() over (partition by doc_id, kind order by min(struct_pack(p := pos, r := role))) as ord from c where kind is not null group by doc_id, kind, tok qualify ord <= 16"""
 
-QUERIES = {f.__name__: f for f in (snapshot_artifacts, snapshot_skipped, snapshot_status, read_ledger, source_fingerprint, path_codec, structured_digest, exact_path, filename_search, literal_search, literal_overlapping, scoped_literal, folded_literal, lexical_candidates, lexical_search, document_frequency, term_extraction, utf8_classification, response_bound, span_evidence, evidence_expansion, task_quotes, task_signals, task_terms, task_query_bound, signal_predicates)}
+QUERIES = {f.__name__: f for f in (snapshot_artifacts, snapshot_skipped, snapshot_status, read_ledger, source_fingerprint, path_codec, structured_digest, exact_path, filename_search, literal_search, literal_overlapping, scoped_literal, folded_literal, lexical_candidates, lexical_search, document_frequency, term_extraction, lexical_index, utf8_classification, response_bound, span_evidence, evidence_expansion, task_quotes, task_signals, task_terms, task_query_bound, signal_predicates)}
 BM25 = W + f""", d as (select path, {DF_ALL} as terms from art), s as (select path, len(terms) as dl, list_contains(terms, 'the') as a, list_contains(terms, 'thing') as b from d),
 st as (select count(*) as n, avg(dl) as avgdl, count_if(a) as n0, count_if(b) as n1 from s),
 best as (select path, dl::bigint as dl, round(-(greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6)) * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 9) as score, {UNITS.format('path')} as path_units from s, st where a and b order by score, path_units limit 200)"""
@@ -188,22 +204,24 @@ select sha256(string_agg(bucket || h, chr(10) order by bucket || h)) as fingerpr
     "literal_search": W + HITS.format(**NEEDLE) + BOUNDED.format(n=6, cap=64, most=1000, units=UNITS.format("path")),
     "literal_overlapping": W + HITS.format(needle="anan", hay="text", n=4) + " select path, count(*) as n, sum(start)::bigint as sum_start from hits group by path",
     "scoped_literal": W + HITS.format(needle="the", hay="text", n=3) + """ select path, start, start + 3 as "end" from hits where contains(path, '/src3/')""",
-    "folded_literal": W + HITS.format(needle="the ", hay=FOLD.format("text"), n=4) + " select path, count(*) as n, max(start) as last from hits group by path",
+    "folded_literal": W + ", s as (select path, text, string_split(" + FOLD.format("text") + ", 'the ') as p from art) select path, len(p) - 1 as n, (octet_length(encode(text)) - octet_length(encode(p[-1])) - 4)::bigint as last from s where len(p) > 1",
     "lexical_candidates": BM25 + " select * from best",
+    "lexical_index": BM25 + " select * from best",
     "lexical_search": BM25 + ", f as (select path, " + FOLD.format("text") + """ as t from art where path in (select path from best)), k as (select path, t, unnest(['the', 'thing']) as term from f)
 select path, term, ((length(t) - length(replace(t, term, ''))) / length(term))::bigint as n, octet_length(encode(split_part(t, term, 1)))::bigint as first from k""",
     "document_frequency": W + f", d as (select path, {DF_ALL} as terms from art) select count(*) as files, count_if(contains(path, '/src1/')) as files_in_scope from d where list_contains(terms, 'the') and list_contains(terms, 'thing')",
     "term_extraction": W + f", d as (select path, {DF_ALL} as terms from art) select path, len(terms)::bigint as n_terms, array_to_string(terms, ' ') as terms from d",
-    "utf8_classification": W + " select path, 'utf8' as decoding, octet_length(encode(text))::bigint as bytes from art",
+    "utf8_classification": f"select event_id, case when event_id % {len(SEQUENCES)} in (0, 1, 3, 5, 10, 11, 12) then 'utf8' else 'unsupported' end as decoding, (length({HEXED}) // 2)::bigint as bytes from events",
     "response_bound": "with r as (" + W + HITS.format(**NEEDLE) + BOUNDED.format(n=6, cap=64, most=1000, units=UNITS.format("path")) + "), u as (select rank, path, sum(octet_length(encode(path)) + length(excerpt) + 1) over (order by rank)::bigint as used from r) select * from u where used <= 20000",
     "span_evidence": W + HITS.format(**NEEDLE) + """ select path, start, start + 6 as "end", 'sha256:' || sha256('brindle' || chr(0) || 'evidence' || chr(0) || '1.0.0' || chr(0) || 'sha256:' || sha256(encode(text)) || chr(0) || (start + 6) || chr(0) || path || chr(0) || 'snapshot' || chr(0) || start) as evidence_id from hits""",
     "evidence_expansion": W + HITS.format(**NEEDLE) + """, g as (select *, least(100, start, 144) as l from hits), h as (select *, start - l as "from", start + 6 + least(100, size - start - 6, 144 - l) as "to" from g) select path, start, "from", "to", hex(array_slice(encode(text), "from" + 1, "to")) as excerpt from h""",
-    "task_quotes": """with t as (select doc_id, regexp_extract_all(text || ' "a b" `c`', '''[^'']*(?:''|\\z)|"[^"]*(?:"|\\z)|`[^`]*(?:`|\\z)') as q from documents)
-select doc_id, coalesce(array_to_string(list_transform(list_filter(q, lambda x: length(x) >= 2 and x[1] = x[-1]), lambda x: x[2:length(x)-1]), '|'), '') as quotes from t""",
+    "task_quotes": """with t as (select doc_id, regexp_extract_all(text || ' "a b" `c` "a b"', '''[^'']*(?:''|\\z)|"[^"]*(?:"|\\z)|`[^`]*(?:`|\\z)') as q from documents),
+k as (select doc_id, list_filter(list_transform(list_filter(q, lambda x: length(x) >= 2 and x[1] = x[-1]), lambda x: x[2:length(x)-1]), lambda x: regexp_matches(x, '^[ -~]{1,256}$')) as q from t)
+select doc_id, coalesce(array_to_string(list_filter(q, lambda x, i: list_position(q, x) = i), '|'), '') as quotes from k""",
     "task_signals": SIG,
-    "task_terms": f"""with t as (select doc_id, list_distinct(list_filter(regexp_split_to_array({FOLD.format('(' + TASK_SQL + ')')}, '[^a-z0-9_]+'), lambda w: length(w) >= 3 and w not in ('and','are','can','could','does','find','fix','for','from','how','into','please','should','show','that','the','this','use','using','was','what','when','where','which','with','would'))) as w from documents),
+    "task_terms": f"""with t as (select doc_id, list_distinct(list_filter(regexp_split_to_array({FOLD.format('(' + TASK_SQL + ')')}, '[^a-z0-9_]+'), lambda w: length(w) between 3 and 64 and w not in ('and','are','can','could','does','find','fix','for','from','how','into','please','should','show','that','the','this','use','using','was','what','when','where','which','with','would'))) as w from documents),
 u as (select doc_id, unnest(w) as w from t) select doc_id, string_agg(w, ' ' order by length(w) desc, w) as terms from u group by doc_id""",
-    "signal_predicates": """with t as (select distinct unnest(regexp_split_to_array(text, '[^A-Za-z0-9_\\-./:]+')) as token from documents)
-select token, not regexp_matches(token, '^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)|//') and (contains(token, '/') or (regexp_matches(token, '[^./]\\.[A-Za-z0-9]{1,16}$') and regexp_matches(token, '[^./]\\.[0-9]*[A-Za-z][A-Za-z0-9]*$'))) as path,
-regexp_matches(token, '^[A-Za-z_][A-Za-z0-9_:-]*$') and regexp_matches(token, '[A-Za-z0-9]_[A-Za-z0-9]|^__[A-Za-z0-9_]+__$|[A-Za-z0-9]::[A-Za-z0-9]|[a-z0-9][A-Z]|[A-Za-z]-[A-Za-z]') and not regexp_matches(token, '^[vV]?[0-9]+([._-][0-9]+)*$') as identifier from t where token <> ''""",
+    "signal_predicates": "with t as (select distinct unnest(regexp_split_to_array(text, '[^A-Za-z0-9_\\-./:]+')) as token from documents) select token, " + IS_PATH.format("token") + " as path, " + IS_NAME.format("token") + " as identifier from t where token <> ''",
+    "task_query_bound": """with t as (select doc_id, encode(text) as b from documents), k as (select doc_id, b, case when octet_length(b) <= 4096 then octet_length(b) else list_filter([4096, 4095, 4094, 4093], lambda k: not (hex(array_slice(b, k + 1, k + 1)) between '80' and 'BF'))[1] end as n from t)
+select doc_id, n::bigint as bytes, sha256(array_slice(b, 1, n)) as hash from k""",
 }

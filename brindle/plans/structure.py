@@ -54,8 +54,9 @@ def evidence_scores(spark, sf_dir):
 
 
 def seed_admission(spark, sf_dir):
-    seeds = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", (F.col("o_orderkey") % 4).alias("rank"), "o_orderkey")
-    return st.admit_seeds(seeds, "o_custkey", "o_orderstatus", ["rank", "o_orderstatus", "o_orderkey"])
+    """Orders of a customer as candidates for nodes of their priority: neighbours of one node count once."""
+    seeds = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", (F.col("o_orderkey") % 4).alias("rank"), "o_orderkey", "o_orderpriority")
+    return st.admit_seeds(seeds, "o_custkey", "o_orderstatus", ["rank", "o_orderstatus", "o_orderkey"], "o_orderpriority").drop("o_orderpriority")
 
 
 def traversal_merge(spark, sf_dir):
@@ -97,8 +98,9 @@ ORACLES = {
     "evidence_scores": FACTS + """, t as (select distinct name from u where node % 7 = 0), b as (select distinct file, name, 1 as times from u union all select distinct file, name, 3 from d), k as (select * from b where name in (from t)),
 f as (select name, length(bin(greatest((select count(distinct file) from u) // greatest(count_if(times = 1), count_if(times = 3)), 1)))::bigint as w from k group by name)
 select file, sum(w * times)::bigint as score, count(distinct name) as matched from k join f using (name) group by file""",
-    "seed_admission": """with c as (select o_custkey, o_orderstatus, o_orderkey % 4 as rank, o_orderkey from orders), f as (select * from c qualify row_number() over (partition by o_custkey, o_orderstatus order by rank, o_orderkey) <= 3)
-select *, row_number() over (partition by o_custkey order by rank, o_orderstatus, o_orderkey) as place from f qualify place <= 8""",
+    "seed_admission": """with c as (select o_custkey, o_orderstatus, o_orderkey % 4 as rank, o_orderkey, lag(o_orderpriority) over (partition by o_custkey order by o_orderkey % 4, o_orderstatus, o_orderkey) as last, o_orderpriority as node from orders),
+f as (select * from c where last is null or last <> node qualify row_number() over (partition by o_custkey, o_orderstatus order by rank, o_orderkey) <= 3)
+select o_custkey, o_orderstatus, rank, o_orderkey, row_number() over (partition by o_custkey order by rank, o_orderstatus, o_orderkey) as place from f qualify place <= 8""",
     "traversal_merge": "select user_id, event_type, min(event_id) as event_id from events group by all",
     "collapse_repeats": "select l_returnflag, l_linestatus, l_suppkey, l_orderkey, l_linenumber from lineitem qualify row_number() over (partition by l_returnflag, l_linestatus, l_suppkey order by l_orderkey, l_linenumber) = 1",
     "supporting_last": "select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by (o_orderstatus = 'F')::int, o_orderkey) as place from orders",

@@ -2,6 +2,9 @@
 
 Each stage works on all that the one before kept, written as Parquet and read again. Stages return the columns of
 documents; the last returns the segmentations of the documents that stayed.
+
+Null and empty texts have no letter and go in the first stage. Rows without an id, and rows that share one, are told apart by
+their texts; of repeated rows one stays. An empty table passes every stage as an empty table. Very long texts are taken whole.
 """
 
 from __future__ import annotations

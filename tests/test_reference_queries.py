@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions.text import byte_offsets, is_identifier, is_path, quoted
 from brindle.operators import audit, graph, logs, structure
 from brindle.plans import registry
+from brindle.streaming import dashboard
 
 TINY = "/root/testdata/sf0.001"
 
@@ -66,13 +67,22 @@ def test_outermost(spark):
     assert sorted((r.lo, r.hi) for r in graph.outermost(spans).collect()) == [(0, 10), (4, 11), (10, 12)]
 
 
-def test_bucket_stream_reports_changes(spark, tmp_path):
-    source = tmp_path / "in"
-    spark.createDataFrame([(1, "a", 2.5), (2, "b", 1.0)], "event_id long, event_type string, value double").write.parquet(str(source))
-    seen = []
-    stream = spark.readStream.schema("event_id long, event_type string, value double").parquet(str(source))
-    audit.bucket_stream(stream, str(tmp_path / "ck"), lambda _, rows: seen.append(rows)).awaitTermination(120)
-    assert seen == [[("a", 1, 2), ("b", 1, 1)]]
+def test_bucket_stream_reports_changes_and_replays(spark, tmp_path):
+    source, schema = tmp_path / "in", "event_id long, event_type string, value double"
+    spark.createDataFrame([(1, "a", 2.5), (2, "b", 1.0)], schema).write.parquet(str(source))
+    frames = dashboard.Frames(spark, f"file://{tmp_path}/frames", most_frames=2)
+    assert frames.next(None) == (None, None, None)
+    run = lambda: dashboard.bucket_stream(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "ck"), frames).awaitTermination(120)
+    run()
+    event, frame, cursor = frames.next(None)
+    assert (event, frame["rows"], cursor) == ("snapshot", [["a", 1, 2], ["b", 1, 1]], 1)
+    run()  # a restart without news adds nothing
+    assert frames.numbers() == [1] and frames.next(1) == (None, None, 1)
+    spark.createDataFrame([(3, "a", 1.0)], schema).write.mode("append").parquet(str(source))
+    run()
+    assert frames.next(1)[0] == "snapshot" and frames.next(1)[1]["rows"] == [["a", 2, 3], ["b", 1, 1]]
+    frames.add([("c", 1, 1)])
+    assert frames.numbers() == [2, 3] and frames.next(0)[0] == "reset_required" and frames.next(9)[0] == "reset_required" and frames.next(1)[2] == 2
 
 
 def test_retention_keeps_a_late_new_event(spark):
@@ -100,4 +110,10 @@ def test_resolution_prefers_the_file_then_a_scope_without_namesakes(spark):
 
 def test_seeds_keep_three_of_a_file(spark):
     rows = spark.createDataFrame([(1, "p", i) for i in range(5)] + [(1, "q", 9)], "task int, path string, id int")
-    assert sorted((r.path, r.id, r.place) for r in structure.admit_seeds(rows, "task", "path", ["id"]).collect()) == [("p", 0, 1), ("p", 1, 2), ("p", 2, 3), ("q", 9, 4)]
+    assert sorted((r.path, r.id, r.place) for r in structure.admit_seeds(rows, "task", "path", ["id"], "id").collect()) == [("p", 0, 1), ("p", 1, 2), ("p", 2, 3), ("q", 9, 4)]
+
+
+def test_seeds_lose_only_neighbours_of_one_node(spark):
+    rows = spark.createDataFrame([(1, "p", 1, "n"), (1, "p", 2, "n"), (1, "q", 3, "m"), (1, "r", 4, "n")], "task int, path string, rank int, node string")
+    got = structure.admit_seeds(rows, "task", "path", ["rank"], "node").collect()
+    assert sorted((r.rank, r.node) for r in got) == [(1, "n"), (3, "m"), (4, "n")]
