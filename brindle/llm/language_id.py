@@ -7,7 +7,8 @@ showed at its length is rejected. At lengths below the sample's, beginnings of t
 the threshold of the longest sampled length holds on.
 
 Null text and text without a letter: language `und`, score 0, rejected. Rows without a label, or with a label but
-null text, are never learned from. Texts are used whole. Without any labelled row every text is `und` and rejected. Ties go to the
+null text, are never learned from. Texts are used whole. Repeated rows are judged alike; an empty table gives an empty
+result. Other columns are not looked at; `accept` carries them through, whatever their names. Without any labelled row every text is `und` and rejected. Ties go to the
 language that sorts first.
 """
 

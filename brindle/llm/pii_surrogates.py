@@ -9,7 +9,8 @@ entities are drawn again until none is left.
 
 Null text stays null; empty text stays empty. Text without entities is returned as it is. Repeated rows get equal results.
 Texts are handled whole. Ids tell which mentions a row has: rows that share an id share their table of surrogates. An
-entity that a third of all rows hold is one row of the table of entities, and is joined back by broadcast.
+entity that a third of all rows hold is one row of the table of entities, and is joined back by broadcast. Entities that draw
+one surrogate are told apart by their value. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations

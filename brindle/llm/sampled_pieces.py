@@ -15,7 +15,8 @@ are made once per distinct word, for all words of a batch together, and paths of
 Random numbers come from a counter-based generator keyed by seed and row key: results do not depend on partitioning.
 A sample's inclusion score is 1 - exp(-exp(logp - kappa)), kappa the (k + 1)-th best perturbed value; with fewer than
 k + 1 segmentations every one is included for certain. Null and empty texts have one empty segmentation. Texts are
-segmented whole. Repeated rows give equal samples. A U+2581 in a text decodes to a blank, as in the library.
+segmented whole. Repeated rows give equal samples; segmentations whose perturbed values tie keep the order of their coming.
+An empty table gives an empty result. Other columns are not looked at, whatever their names. A U+2581 in a text decodes to a blank, as in the library.
 """
 
 from __future__ import annotations

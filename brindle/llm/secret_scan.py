@@ -4,7 +4,8 @@ Two first-order character models, of random strings and of ordinary identifiers,
 A run of at least LEAST_RUN key-like characters is a secret where the log-likelihood ratio of the two models, in bits,
 passes a threshold in total and per character; shorter runs are not put to the models. Spans of the models are added; spans of the patterns stay as they are.
 
-Null and empty texts have no spans. Texts are scanned whole. Repeated rows each get a row. Labels outside 0 and 1 and
+Null and empty texts have no spans. Texts are scanned whole. Repeated rows each get a row; an empty table gives an empty
+result. Spans that start at one place are ordered by kind. Other columns are not looked at, whatever their names. Labels outside 0 and 1 and
 null samples are ignored; a model without samples is uniform.
 """
 

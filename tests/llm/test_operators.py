@@ -445,7 +445,7 @@ def test_sampling_is_without_replacement_by_mass():
 
 def test_segmentation_of_unbroken_text_in_bounded_memory():
     sampler = sampled_pieces.Sampler(Q.vocabulary(Q.PIECES), 3, sampled_pieces.ALPHA, sampled_pieces.SEED)
-    text = "".join(np.random.default_rng(6).choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    text = "".join(np.random.default_rng(6).choice(list("abcdefghijklmnopqrstuvwxyz"), 40_000))
     tracemalloc.start()
     [rows] = sampler.batch([1], [text])
     peak = tracemalloc.get_traced_memory()[1]
