@@ -10,7 +10,9 @@ A text is its ASCII-lower-cased bytes and a closing zero byte, after DEPTH zero
 How it scales: documents are dealt to blocks of bounded bytes. A block emits its distinct grams and words once, with
 training counts; these are summed and turned into log-probabilities by joins, and each block gets back the slice it
 needs and scores its documents. No table of the corpus is broadcast or collected; the totals N and V are two numbers.
-Repeated rows are scored each. Texts are scored whole, in pieces of bounded memory.
+Rows are dealt by id and text, so rows without an id spread. Repeated rows are scored each, and equal texts score alike.
+Texts are scored whole, in pieces of bounded memory. An empty table gives an empty result; without a training text every
+bit is one half. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small_batches, stage, text_of
+from brindle.llm.common import discard, small_batches, stage, text_of
 
 #: A gram of DEPTH + 1 bytes is one number, in eight bytes as a key; DEPTH is 6 at most. The README has figures of deeper contexts.
 DEPTH = 4
 KEY_BYTES = 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Context bytes by which grams are dealt to tasks, and grams of a deal.
+SPLIT, DEAL_GRAMS = 2, 200_000
 PIECE_BYTES = 1 << 20
 
 
@@ -104,59 +108,106 @@ def block_keys(table: pa.Table) -> pa.Table:
     return pa.table({"block": block, "word": pa.array(np.arange(len(counts)) < len(words)), "key": keys, "n": pa.array(counts.astype(np.int64))})
 
 
-def log_gamma(x: Column) -> Column:
-    """ln Gamma for x >= 1/2 by Stirling's series after a shift of eight."""
+def log_gamma(x, log):
+    """ln Gamma for x >= 1/2 by Stirling's series after a shift of eight; log: of columns or of arrays."""
     shift = x
     for i in range(1, 8):
         shift = shift * (x + i)
     y = x + 8
     series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(shift)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - log(shift)
 
 
-def weigh(zeros: Column, ones: Column) -> Column:
+def weigh(zeros, ones, log):
     """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + F.lit(1.0)) - math.log(math.pi)
+    return log_gamma(zeros + 0.5, log) + log_gamma(ones + 0.5, log) - log_gamma(zeros + ones + 1.0, log) - math.log(math.pi)
+
+
+class Subtrees:
+    """The nodes of depths SPLIT to DEPTH above some grams, deepest first: all grams that end on the same SPLIT context bytes.
+
+    A node is its context, shifted by a byte, and its place j among a byte's decisions (a leading one and the bits before).
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        k = np.arange(8, dtype=np.uint64)
+        byte = (gram & np.uint64(255))[:, None]
+        j = (np.uint64(1) << k) | (byte >> (np.uint64(8) - k))
+        self.bit = ((byte >> (np.uint64(7) - k)) & np.uint64(1)).ravel().astype(bool)
+        node, self.at = np.unique(((gram >> np.uint64(8) << np.uint64(8))[:, None] | j).ravel(), return_inverse=True)
+        every = np.repeat(n, 8).astype(np.float64)
+        ones = np.bincount(self.at, every * self.bit, len(node))
+        zeros = np.bincount(self.at, every, len(node)) - ones
+        weight, stop = weigh(zeros, ones, np.log), np.ones(len(node))
+        self.up, self.kt, self.stop = [], [], []
+        for depth in range(DEPTH - 1, SPLIT - 1, -1):
+            self.kt.append((ones + 0.5) / (zeros + ones + 1))
+            self.stop.append(stop)
+            node, up = np.unique(node & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+            self.up.append(up)
+            zeros, ones, below = (np.bincount(up, x, len(node)) for x in (zeros, ones, weight))
+            own = weigh(zeros, ones, np.log)
+            weight = np.logaddexp(own, below) - math.log(2)
+            stop = np.exp(own - weight - math.log(2))
+        self.top = (node >> np.uint64(8)).astype(np.int64), (node & np.uint64(255)).astype(np.int64), zeros, ones, weight, stop
+
+    def bits(self, p: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Bits of each gram's byte, given for each top node what the depths so far give to a one and the weight left."""
+        for up, kt, stop in zip(reversed(self.up), reversed(self.kt), reversed(self.stop)):
+            p, left = p[up] + left[up] * stop * kt, left[up] * (1 - stop)
+        one = p[self.at]
+        return -np.log2(np.where(self.bit, one, 1 - one)).reshape(-1, 8).sum(axis=1)
+
+
+def gram_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table["gram"].to_numpy().astype(np.uint64), table["n"].to_numpy()
+
+
+def top_nodes(table: pa.Table) -> pa.Table:
+    c, j, zeros, ones, weight, stop = Subtrees(*gram_arrays(table)).top
+    return pa.table({"c": c, "j": j, "z": zeros, "o": ones, "pw": weight, "stop": stop})
+
+
+def subtree_bits(grams: pa.Table, path: pa.Table) -> pa.Table:
+    """(gram, bits) of a deal of grams, by the way down to their top nodes."""
+    if not grams.num_rows:
+        return pa.table({"gram": pa.array([], pa.int64()), "bits": pa.array([], pa.float64())})
+    tree = Subtrees(*gram_arrays(grams))
+    key = path["c"].to_numpy() << 8 | path["j"].to_numpy()
+    order = np.argsort(key)
+    at = order[np.searchsorted(key[order], tree.top[0] << 8 | tree.top[1])]
+    return pa.table({"gram": grams["gram"], "bits": pa.array(tree.bits(path["p"].to_numpy()[at], path["left"].to_numpy()[at]))})
 
 
 def gram_bits(grams: DataFrame) -> DataFrame:
     """Staged rows (gram, bits): code length in bits of the last byte of each gram after its context.
 
-    grams: (gram long, n long), n the training count; grams that only unlearned texts hold come with n = 0.
+    grams: (gram long, n long), n the training count; grams that only unlearned texts hold come with n = 0. They are dealt
+    by their last SPLIT context bytes, some DEAL_GRAMS a deal; the few nodes of less depth are added up across deals.
     """
-    nodes = nodes_of(grams)
-    ones = F.when(F.col("bit") == 1, F.col("n")).otherwise(0)
-    level = nodes.groupBy("c", "j").agg(F.sum(F.col("n") - ones).alias("z"), F.sum(ones).alias("o"))
-    level = level.withColumn("pw", weigh(F.col("z"), F.col("o"))).withColumn("stop", F.lit(1.0))
-    levels = [stage(level, f"ctw-{DEPTH}")]
-    for depth in range(DEPTH - 1, -1, -1):
+    last = F.expr(f"shiftright(gram, 8) & {(1 << 8 * SPLIT) - 1}")
+    grams = stage(grams, "ctw-grams")
+    deals = F.lit(max(16, math.ceil(grams.count() / DEAL_GRAMS)))
+    dealt = grams.withColumn("deal", F.pmod(F.xxhash64(last), deals))
+    level = stage(dealt.groupBy("deal").applyInArrow(top_nodes, "c long, j long, z double, o double, pw double, stop double"), "ctw-top")
+    levels = [level]
+    for depth in range(SPLIT - 1, -1, -1):
         up = levels[-1].groupBy(F.col("c").bitwiseAND((1 << 8 * depth) - 1).alias("c"), "j").agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("pw").alias("below"))
-        own = up.withColumn("pe", weigh(F.col("z"), F.col("o")))
+        own = up.withColumn("pe", weigh(F.col("z"), F.col("o"), F.log))
         top = F.greatest("pe", "below")
         mixed = top + F.log(0.5 * F.exp(F.col("pe") - top) + 0.5 * F.exp(F.col("below") - top))
         levels.append(stage(own.select("c", "j", "z", "o", mixed.alias("pw"), F.exp(F.col("pe") - mixed + math.log(0.5)).alias("stop")), f"ctw-{depth}"))
     # down again: what the depths so far give to a one, and the weight left for deeper ones
     kt = (F.col("o") + 0.5) / (F.col("z") + F.col("o") + 1)
     path = levels[-1].select("c", "j", (F.col("stop") * kt).alias("p"), (1 - F.col("stop")).alias("left"))
-    for depth in range(1, DEPTH + 1):
-        child = levels[DEPTH - depth].select("c", "j", F.col("c").bitwiseAND((1 << 8 * (depth - 1)) - 1).alias("s"), "stop", kt.alias("kt"))
+    for depth in range(1, SPLIT + 1):
+        child = levels[SPLIT - depth].select("c", "j", F.col("c").bitwiseAND((1 << 8 * (depth - 1)) - 1).alias("s"), "stop", kt.alias("kt"))
         parent = path.select(F.col("c").alias("s"), "j", "p", "left")
         path = child.join(parent, ["s", "j"]).select("c", "j", (F.col("p") + F.col("left") * F.col("stop") * F.col("kt")).alias("p"), (F.col("left") * (1 - F.col("stop"))).alias("left"))
-    steps = nodes_of(grams).join(path.select("c", "j", "p"), ["c", "j"])
-    bits = steps.groupBy("gram").agg((-F.sum(F.log2(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))))).alias("bits"))
-    return stage(bits, "ctw-bits")
-
-
-def nodes_of(grams: DataFrame) -> DataFrame:
-    """Eight rows per gram: context c, decision node j (a leading one and the bits before), the bit taken there."""
-    step = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
-    return grams.select("gram", "n", step).select(
-        "gram",
-        "n",
-        F.shiftright("gram", 8).alias("c"),
-        (F.expr("shiftleft(1L, k)") + F.expr("shiftright(gram & 255, 8 - k)")).alias("j"),
-        F.expr("shiftright(gram & 255, 7 - k) & 1").alias("bit"),
-    )
+    path = path.withColumn("deal", F.pmod(F.xxhash64("c"), deals))
+    bits = stage(dealt.groupBy("deal").cogroup(path.groupBy("deal")).applyInArrow(subtree_bits, "gram long, bits double"), "ctw-bits")
+    discard(grams, *levels)
+    return bits
 
 
 SCORE_FIELDS = "id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double"
@@ -209,7 +260,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     size = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count_if("train")).first()
     n_blocks = max(1, math.ceil((size[0] or 0) / block_bytes))
     ends = size[1]
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(n_blocks)).cast("long"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("long"))
 
     keys = stage(rows.groupBy("block").applyInArrow(block_keys, KEY_FIELDS), "ctw-keys")
     totals = keys.groupBy("word", "key").agg(F.sum("n").alias("n"))
