@@ -7,16 +7,28 @@ step by seeking to slot % R * stride in shard slot // R.
 
 Texts are encoded by a given tokenizer, once, and its ids are written as little-endian numbers of two bytes, or of four for
 vocabularies that need them. The number after the last id closes a document, and the one after that pads its last sequence.
-Without a tokenizer the ids are UTF-8 bytes, one byte each, with 0xFF and 0xFE as marks; neither occurs in UTF-8. Null text counts as empty: one sequence that holds the closing mark alone. Repeated rows get slots of their own. An
-empty table writes no shard. A very long document is many sequences, made one batch at a time.
+Without a tokenizer the ids are UTF-8 bytes, one byte each, with 0xFF and 0xFE as marks; neither occurs in UTF-8.
+
+The slots are a permutation, so ranges of slots are known without sampling: a partition is a run of whole shards, sorted by
+slot and written from its first record to its last, whatever their number, in the memory of one batch. The range of all
+slots is done in PASSES parts, one after the other, so that no more than that part of the records is in shuffle files at
+once; a part that is done is in the shared folder, and a lost executor costs its own partitions only.
+
+Null text counts as empty: one sequence that holds the closing mark alone. Repeated rows get slots of their own, however
+many they are; which of them has which makes no difference. An empty table writes no shard and gives no row. A very long
+document is many sequences. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 import os
+import sys
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +36,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, fresh_path, small_batches, stage, text_of
+from brindle.llm.common import BROADCAST_ROWS, discard, fresh_path, small_batches, stage, text_of
 
 SEQUENCE = 512
 SLOTS_PER_SHARD = 4096
 ROUNDS = 6
+#: Parts in which the slots are shuffled and written, and shards of a partition.
+PASSES, SHARDS_PER_PARTITION = 2, 16
+#: Words in a worker's table of ids; beyond that the table is set aside for a new one.
+WORD_TABLE = 400_000
+BLANK = "\u2581"
+
+
+class Words(dict):
+    """Ids of words, written out, of a model whose pieces never go from one word to the next: words are then coded apart.
+
+    A key is a word, or a newline with the text up to the next blank: what follows a newline has no blank before it. A full
+    table is set aside, and words that come again are taken from there.
+    """
+
+    def __init__(self, encode, width: int):
+        super().__init__()
+        self.encode, self.kind, self.aside = encode, {2: "H", 4: "I"}[width], {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.aside.get(word)
+        if out is None:
+            ids = array(self.kind, self.encode(word)[1:] if word[0] == "\n" else self.encode(word))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out = ids.tobytes()
+        self[word] = out
+        return out
+
+    @staticmethod
+    def fit(model) -> bool:
+        """Whether words are coded apart: no piece has a blank or a newline past its start, and texts are taken as they are."""
+        pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+        apart = all(BLANK not in p.lstrip(BLANK) and "\n" not in p for p in pieces)
+        return apart and model.encode("\n")[:1] == model.encode("\na")[:1] and model.decode(model.encode(" \ufb01  \u2460\u0301\tx ")) == " \ufb01  \u2460\u0301\tx "
+
+    def __call__(self, text: str) -> bytes | None:
+        """The text's ids, or None for a text with blanks that separate no words."""
+        parts = text.replace("\n", " \n").split(" ")
+        if "" in parts or BLANK in text:
+            return None
+        if len(self) > WORD_TABLE:
+            self.aside = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, parts))
 
 
 class Ids:
@@ -36,13 +92,15 @@ class Ids:
 
     def __init__(self, path: str | None):
         if path is None:
-            self.width, self.marks = 1, (0xFF, 0xFE)
+            self.width, self.marks, self.words = 1, (0xFF, 0xFE), None
             return
+        local = False
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.of, n = lambda text: model.encode(text), model.get_piece_size()
+            self.of, n = model.encode, model.get_piece_size()
+            local = Words.fit(model)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -52,6 +110,7 @@ class Ids:
             model.no_padding()
             self.of, n = lambda text: model.encode(text, add_special_tokens=False).ids, 1 + max(model.get_vocab(with_added_tokens=True).values())
         self.width, self.marks = 2 if n + 1 < 1 << 16 else 4, (n, n + 1)
+        self.words = Words(self.of, self.width) if local else None
 
     @property
     def close(self) -> bytes:
@@ -62,14 +121,30 @@ class Ids:
         return self.marks[1].to_bytes(self.width, "little")
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.of(text), f"<u{self.width}").tobytes()
+        known = self.words(text) if self.words is not None else None
+        return np.array(self.of(text), f"<u{self.width}").tobytes() if known is None else known
+
+
+def planes(data: bytes, width: int) -> bytes:
+    """All first bytes of a row of numbers, then all second ones, and so on: that way they are stored in less."""
+    return np.frombuffer(data, np.uint8).reshape(-1, width).T.tobytes() if width > 1 else data
+
+
+def in_order(data: np.ndarray, offset: np.ndarray, width: int) -> np.ndarray:
+    """The rows of numbers that lie at these offsets as planes, put together again."""
+    if width == 1:
+        return data
+    out = np.empty_like(data)
+    for a, b in zip(offset[:-1].tolist(), offset[1:].tolist()):
+        out[a:b].reshape(-1, width)[:] = data[a:b].reshape(width, -1).T
+    return out
 
 
 def encode_task(path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids(t) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "data"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([planes(ids(t), ids.width) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "row", "data"])
 
     return task
 
@@ -105,7 +180,7 @@ class Permutation:
 
 
 def first_index(rows: DataFrame) -> DataFrame:
-    """(id, row, base) of distinct rows (id, row, n): base is the sum of n before the row in the order (id, row).
+    """(id, row, base, copies) of distinct rows (id, row, n, copies): base is the sum of n before the row in the order (id, row).
 
     Rows are dealt to ranges; a range's start is the sum over the ranges before it, one number per range.
     """
@@ -117,58 +192,114 @@ def first_index(rows: DataFrame) -> DataFrame:
         total += r["n"]
     before = spark.createDataFrame(starts, "part int, start long")
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("id", "row")) - F.col("n")
-    return stage(ranged.join(F.broadcast(before), "part").select("id", "row", (F.col("start") + inside).alias("base")), "bases")
+    out = stage(ranged.join(F.broadcast(before), "part").select("id", "row", (F.col("start") + inside).alias("base"), "copies"), "bases")
+    discard(ranged)
+    return out
 
 
-def cut_task(permutation: Permutation, per_shard: int, stride: int, close: bytes):
-    """Documents to sequences with their slots."""
+def cut_task(permutation: Permutation, low: int, high: int, per_part: int, stride: int, close: bytes):
+    """Documents to their sequences with slots in [low, high), and the partition each goes to."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seqs, index, payload = [], [], [], []
-            for i, base, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                data += close
-                for k in range(0, len(data), stride):
-                    ids.append(i)
-                    seqs.append(k // stride)
-                    index.append(base + k // stride)
-                    payload.append(data[k : k + stride])
-            slot = permutation(np.array(index, np.uint64))
-            for a in range(0, len(slot), 8192):
-                part = slice(a, a + 8192)
-                yield pa.RecordBatch.from_arrays([pa.array(slot[part] // per_shard), pa.array(slot[part]), pa.array(ids[part], pa.int64()), pa.array(seqs[part], pa.int64()), pa.array(payload[part], pa.binary())], ["shard", "slot", "id", "seq", "payload"])
+            ids, bases, data = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2)
+            width = np.int64 if pa.types.is_large_binary(data.type) else np.int32
+            offset = np.frombuffer(data.buffers()[1], width)[data.offset : data.offset + len(data) + 1].astype(np.int64) if len(data) else np.zeros(1, np.int64)
+            whole = memoryview(in_order(np.frombuffer(data.buffers()[2] or b"", np.uint8), offset, len(close)))
+            count = np.diff(offset) // stride + 1
+            of = np.repeat(np.arange(len(count)), count)
+            seq = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            slot = permutation(bases[of] + seq) if len(of) else np.zeros(0, np.int64)
+            here = np.flatnonzero((slot >= low) & (slot < high))
+            start = offset[:-1][of] + seq * stride
+            end = np.minimum(start + stride, offset[1:][of])
+            last = seq == count[of] - 1
+            for a in range(0, len(here), 8192):
+                at = here[a : a + 8192]
+                payload = [bytes(whole[i:k]) + close if z else whole[i:k] for i, k, z in zip(start[at].tolist(), end[at].tolist(), last[at].tolist())]
+                part = ((slot[at] - low) // per_part).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(slot[at]), pa.array([ids[i] for i in of[at].tolist()], pa.int64()), pa.array(seq[at]), pa.array(payload, pa.binary())], ["part", "slot", "id", "seq", "payload"])
 
     return task
 
 
-def write_task(folder: str, per_shard: int, stride: int, pad: bytes):
-    """Writes one shard file and returns a row for each of its slots. A repeated task writes the same bytes again."""
+def file_system(folder: str):
+    """The file system of a Spark path, by the names pyarrow knows, and the path there."""
+    from pyarrow import fs
+
+    for spark_name in ("s3a://", "s3n://"):
+        if folder.startswith(spark_name):
+            folder = "s3://" + folder[len(spark_name) :]
+    return fs.FileSystem.from_uri(folder)
+
 
-    def task(table: pa.Table) -> pa.Table:
+class ShardWriter:
+    """Writes one shard; until it is closed, no reader sees it. A repeated task writes the same bytes again."""
+
+    def __init__(self, folder: str, shard: int):
+        from pyarrow import fs
+
+        self.system, root = file_system(folder)
+        self.shard, self.name = shard, f"{root}/shard-{shard:08d}.bin"
+        # object stores show a file when it is closed, and need no name of their own for it
+        self.renames = isinstance(self.system, (fs.LocalFileSystem, fs.HadoopFileSystem, fs.SubTreeFileSystem))
+        self.own = f"{root}/.shard-{shard:08d}.{uuid.uuid4().hex}" if self.renames else self.name
+        if self.renames:
+            self.system.create_dir(root, recursive=True)
+        self.out = self.system.open_output_stream(self.own)
+
+    def close(self) -> None:
         from pyarrow import fs
 
-        table = table.sort_by("slot")
-        shard = table["shard"][0].as_py()
-        full = [p + pad * ((stride - len(p)) // len(pad)) for p in table["payload"].to_pylist()]
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
-        name = f"{root}/shard-{shard:08d}.bin"
-        own = f"{name}.{hashlib.blake2b(np.random.bytes(16), digest_size=8).hexdigest()}.tmp"
-        with system.open_output_stream(own) as out:
-            out.write(b"".join(full))
-        if system.get_file_info(name).type != fs.FileType.NotFound:
-            system.delete_file(name)
-        system.move(own, name)
-        crc = [zlib.crc32(p) for p in full]
-        slots = table["slot"].to_numpy()
-        sizes = [len(p) // len(pad) for p in table["payload"].to_pylist()]
-        return pa.table({"id": table["id"], "seq": table["seq"], "slot": table["slot"], "shard": table["shard"], "byte_offset": pa.array((slots - shard * per_shard) * stride), "n_tokens": pa.array(sizes, pa.int64()), "record_crc32": pa.array(crc, pa.int64())})
+        self.out.close()
+        if self.renames:
+            if isinstance(self.system, fs.HadoopFileSystem) and self.system.get_file_info(self.name).type != fs.FileType.NotFound:
+                self.system.delete_file(self.name)  # a local rename replaces, one in HDFS does not
+            self.system.move(self.own, self.name)
+
+    def abandon(self) -> None:
+        with contextlib.suppress(OSError):
+            self.out.close()
+            self.system.delete_file(self.own)
+
+
+def write_task(folder: str, per_shard: int, stride: int, pad: bytes):
+    """Writes the shards of a partition that is sorted by slot, and returns a row for each slot."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = None
+        try:
+            for batch in batches:
+                slot = batch.column(1).to_numpy()
+                shard = slot // per_shard
+                payload = batch.column(4).to_pylist()
+                full = [p + pad * ((stride - len(p)) // len(pad)) for p in payload]
+                for a, b in zip(bounds := [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(slot)], bounds[1:]):
+                    if a == b:
+                        continue
+                    if writer is None or writer.shard != shard[a]:
+                        if writer is not None:
+                            writer.close()
+                        writer = ShardWriter(folder, int(shard[a]))
+                    writer.out.write(b"".join(full[a:b]))
+                sizes = np.array([len(p) // len(pad) for p in payload], np.int64)
+                crc = pa.array([zlib.crc32(p) for p in full], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(1), pa.array(shard), pa.array((slot - shard * per_shard) * stride), pa.array(sizes), crc], MANIFEST)
+            if writer is not None:
+                writer.close()
+                writer = None
+        finally:
+            if writer is not None:
+                writer.abandon()
 
     return task
 
 
-def materialise(docs: DataFrame, key: bytes, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, per_shard: int = SLOTS_PER_SHARD, tokenizer: str | None = None) -> DataFrame:
-    """Manifest, one row per sequence: id, seq, slot, shard, byte_offset, n_tokens, record_crc32. Shards are written when it is computed.
+MANIFEST = ["id", "seq", "slot", "shard", "byte_offset", "n_tokens", "record_crc32"]
+
+
+def materialise(docs: DataFrame, key: bytes, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, per_shard: int = SLOTS_PER_SHARD, tokenizer: str | None = None, passes: int = PASSES) -> DataFrame:
+    """Writes the shards; returns the manifest, one row per sequence: id, seq, slot, shard, byte_offset, n_tokens, record_crc32.
 
     length: ids of a sequence. tokenizer: path of a vocabulary; without one the ids are UTF-8 bytes.
     """
@@ -177,36 +308,45 @@ def materialise(docs: DataFrame, key: bytes, folder: str | None = None, id_col:
     folder = folder or fresh_path(spark, "training-order")
     kind = Ids(tokenizer)
     stride = length * kind.width
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    # rows are told apart by what they hold; equal rows share the sum of their sequences
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col), F.octet_length(text_of(text_col))).alias("row"), text_of(text_col).alias("text"))
     if tokenizer:
-        rows = stage(rows.mapInArrow(encode_task(tokenizer), "id long, data binary"), "token-ids")
+        rows = stage(rows.mapInArrow(encode_task(tokenizer), "id long, row long, data binary"), "token-ids", compression="zstd")
     else:
-        rows = rows.select("id", F.col("text").cast("binary").alias("data"))
-    # rows are told apart by a digest of what they hold; equal rows share the sum of their sequences
-    row = F.xxhash64("data").alias("row")
-    sizes = rows.select("id", row, F.expr(f"cast(octet_length(data) div {stride} + 1 as long)").alias("n"))
-    grouped = sizes.groupBy("id", "row").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
-    staged = stage(grouped, "sequence-counts")
-    total, repeats = staged.agg(F.sum("n"), F.max("copies")).first()
-    bases = first_index(staged.select("id", "row", "n")).toDF("i", "r", "base")
-    bases = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases.hint("shuffle_hash")
-    placed = rows.withColumn("row", row)
-    placed = placed.join(bases, placed["id"].eqNullSafe(F.col("i")) & (placed["row"] == F.col("r"))).select("id", "base", "data", "row")
+        rows = stage(rows.select("id", "row", F.col("text").cast("binary").alias("data")), "token-ids", compression="zstd")
+    n = F.expr(f"cast(octet_length(data) div {stride} + 1 as long)")
+    grouped = rows.select("id", "row", n.alias("n")).groupBy("id", "row").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
+    counts = stage(grouped, "sequence-counts")
+    total, repeats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("copies")).first()
+    indexed = first_index(counts)
+    bases = indexed.toDF("i", "r", "base", "copies")
+    table = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases.hint("shuffle_hash")
+    placed = rows.join(table, rows["id"].eqNullSafe(F.col("i")) & (rows["row"] == F.col("r"))).select("id", "row", "base", "copies", "data")
     if (repeats or 0) > 1:
-        n = F.expr(f"cast(octet_length(data) div {stride} + 1 as long)")
-        copy = F.row_number().over(Window.partitionBy("id", "row").orderBy("base")) - 1
-        placed = placed.withColumn("base", F.col("base") + copy * n)
-    cut = placed.select("id", "base", "data").mapInArrow(cut_task(Permutation(total or 0, key), per_shard, stride, kind.close), "shard long, slot long, id long, seq long, payload binary")
-    out = cut.groupBy("shard").applyInArrow(write_task(folder, per_shard, stride, kind.pad), "id long, seq long, slot long, shard long, byte_offset long, n_tokens long, record_crc32 long")
+        # of equal rows one is taken, and dealt out as often as it occurs
+        again = placed.filter("copies > 1").dropDuplicates(["id", "row"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        again = again.repartition("id", "row", "copy").withColumn("base", F.col("base") + F.col("copy") * n)
+        placed = placed.filter("copies = 1").select("id", "base", "data").unionByName(again.select("id", "base", "data"))
+    permutation = Permutation(total, key)
+    n_shards = max(1, math.ceil(total / per_shard))
+    step = math.ceil(n_shards / passes)
+    shards_each = max(1, min(SHARDS_PER_PARTITION, step // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    out = None
+    for first in range(0, n_shards, step):
+        low, high = first * per_shard, min(first + step, n_shards) * per_shard
+        cut = placed.select("id", "base", "data").mapInArrow(cut_task(permutation, low, high, shards_each * per_shard, stride, kind.close), "part int, slot long, id long, seq long, payload binary")
+        ranges = cut.repartitionById(math.ceil(step / shards_each), F.col("part")).sortWithinPartitions("slot")
+        written = ranges.mapInArrow(write_task(folder, per_shard, stride, kind.pad), "id long, seq long, slot long, shard long, byte_offset long, n_tokens long, record_crc32 long")
+        done = stage(written, "manifest")
+        out = done if out is None else out.unionByName(done)
+    discard(rows, counts, indexed)
     return out.withColumnRenamed("id", id_col)
 
 
 def read_slots(folder: str, first: int, count: int, per_shard: int = SLOTS_PER_SHARD, length: int = SEQUENCE, width: int = 1) -> Iterator[bytes]:
     """Records of slots first .. first + count - 1, read by seeking: how a training run resumes. width: bytes of an id."""
-    from pyarrow import fs
-
     stride = length * width
-    system, root = fs.FileSystem.from_uri(folder)
+    system, root = file_system(folder)
     slot, end = first, first + count
     while slot < end:
         shard, at = divmod(slot, per_shard)
