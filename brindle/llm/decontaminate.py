@@ -162,6 +162,22 @@ class WindowHashes:
         return out ^ (out >> np.uint64(29))
 
 
+class Keys:
+    """A set of hashes; a table by their last bits turns most other hashes away before they are looked up."""
+
+    def __init__(self, hashes):
+        self.ordered = np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+        self.mask = np.uint64((1 << (8 * len(hashes)).bit_length()) - 1)
+        self.likely = np.zeros(int(self.mask) + 1, bool)
+        self.likely[self.ordered & self.mask] = True
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are in the set."""
+        at = np.flatnonzero(self.likely[hashes & self.mask])
+        rest = hashes[at]
+        return at[self.ordered[np.minimum(self.ordered.searchsorted(rest), len(self.ordered) - 1)] == rest]
+
+
 class Windows:
     """Hash tables of a slice of the benchmark: window hash to (item, place), and hash of literal words to items, by window size."""
 
@@ -191,9 +207,9 @@ class Windows:
                 for p in places:
                     grown[size][int(hashes[p])].append((item, p))
         for size, found in grown.items():
-            self.by_size[size] = (np.sort(np.fromiter(found, np.uint64, len(found))), dict(found))
+            self.by_size[size] = (Keys(found), dict(found))
         for size, found in literal.items():
-            self.literal[size] = (np.sort(np.fromiter(found, np.uint64, len(found))), dict(found))
+            self.literal[size] = (Keys(found), dict(found))
 
     def matches(self, text: str, vocabulary: Vocabulary) -> list[tuple]:
         """(item, matched, windows, exact) of the items whose windows and slots agree with the text."""
@@ -204,8 +220,7 @@ class Windows:
         runs: dict[tuple[int, int], set] = defaultdict(set)
         for size, (keys, places) in self.by_size.items():
             hashes = of_templates(size)
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            for p in np.flatnonzero(keys[at] == hashes).tolist():
+            for p in keys.found(hashes).tolist():
                 for item, q in places[int(hashes[p])]:
                     runs[item, p - q].add(q)
         found: dict[int, list] = defaultdict(lambda: [set(), True])
@@ -218,8 +233,7 @@ class Windows:
         copied: dict[int, set] = defaultdict(set)
         for size, (keys, holders) in self.literal.items():
             hashes = of_words(size)
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            for h in set(hashes[keys[at] == hashes].tolist()):
+            for h in set(hashes[keys.found(hashes)].tolist()):
                 for item in holders[h]:
                     copied[item].add(h)
         for item, runs in copied.items():
