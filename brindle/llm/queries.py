@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import ctw, decontaminate, exact_dedup, feistel_order, jaccard_join, language_id, pii_surrogates, sampled_pieces, secret_scan, token_counts
+from brindle.llm import ctw, decontaminate, exact_dedup, feistel_order, fill_middle, jaccard_join, language_id, pii_surrogates, quality, sampled_pieces, secret_scan, spelling_variants, token_counts
 from brindle.llm.common import remainder
 
 #: Keys are parameters of a deployment; these are those of the registered queries.
@@ -76,6 +76,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the transformed texts and of what is restored from them: the texts themselves are the operator's output."""
+    return fill_middle.digests(documents(spark, sf_dir), fill_middle.Choice(seed="7", rate=100, spm_rate=50))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(documents(spark, sf_dir))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 3) == 1
+    found = quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,10 +105,37 @@ from d
 """
 
 
+OP11_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h,
+    string_split(coalesce(text, ''), chr(10)) as parts
+  from documents
+), k as (
+  select *, ('0x' || h[1:8])::uinteger::bigint as h1, ('0x' || h[9:16])::uinteger::bigint as h2, ('0x' || h[17:24])::uinteger::bigint as h3, ('0x' || h[25:32])::uinteger::bigint as h4,
+    len(parts) - (parts[-1] = '')::int as n
+  from d
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from k
+), e as (
+  select *, case when a = 0 then 0 when a >= n then length(t) else list_sum(list_transform(parts[1:a], lambda x: length(x) + 1)) end as p,
+    case when b = 0 then 0 when b >= n then length(t) else list_sum(list_transform(parts[1:b], lambda x: length(x) + 1)) end as m
+  from c
+), f as (
+  select *, t[1:p] as prefix, t[p + 1:m] as middle, t[m + 1:] as suffix from e
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then p::bigint end as prefix_chars, case when form <> 'plain' then (m - p)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256
+from f
+"""
+
+
 def queries() -> dict:
-    ops = (op1_secret_scan, op2_pii_surrogates, op3_template_decontamination, op4_ngram_jaccard, op5_context_tree, op6_exact_dedup, op7_training_order, op8_sampled_pieces, op9_language_id, op10_token_counts, pipeline)
+    ops = (op1_secret_scan, op2_pii_surrogates, op3_template_decontamination, op4_ngram_jaccard, op5_context_tree, op6_exact_dedup, op7_training_order, op8_sampled_pieces, op9_language_id, op10_token_counts, op11_fill_middle, op12_spelling_variants, op13_quality, pipeline)
     return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op11_fill_middle": OP11_SQL}
