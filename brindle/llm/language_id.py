@@ -170,17 +170,35 @@ def vector_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(cut, pa.bool_()), pa.array(at, pa.binary()), pa.array(n, pa.binary()), pa.array(letters, pa.int64())], ["lang", "cut", "at", "n", "letters"])
 
 
+#: Hashes that pick the sample lie below this.
+SPREAD = 1 << 40
+
+
+def sample_cutoff(count: int | Column, per_language: int) -> Column:
+    """The hash below which about twice the bound lies. In doubles: a product of two longs would pass their range on large tables."""
+    return F.lit(float(SPREAD)) * 2 * per_language / (F.lit(count) if isinstance(count, int) else count)
+
+
+def sampled(docs: DataFrame, trainable: Column, id_col: str, text_col: str, label_col: str, per_language: int) -> DataFrame:
+    """(lang, text) of at most per_language labelled rows of each language: those with the smallest hashes of id and text.
+
+    Rows that repeat both count once, so neither a repeated row nor a repeated id fills the sample or empties it.
+    """
+    rows = docs.filter(trainable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    keys = rows.select("lang", "id", "th", F.pmod(F.xxhash64("id", "th"), F.lit(SPREAD)).alias("h"))
+    sizes = keys.groupBy("lang").agg(F.approx_count_distinct("h").alias("count"))
+    # first a share of the keys that holds about twice the bound, then exactly the bound: no language meets in one task
+    near = keys.join(F.broadcast(sizes), "lang").filter(F.col("h") <= sample_cutoff(F.col("count"), per_language)).select("lang", "id", "th", "h").distinct()
+    picked = near.withColumn("n", F.expr("row_number() over (partition by lang order by h, id, th)")).filter(F.col("n") <= per_language).select("lang", F.col("id").alias("kid"), "th")
+    same = (rows["lang"] == picked["lang"]) & rows["id"].eqNullSafe(picked["kid"]) & (rows["th"] == picked["th"])
+    return rows.join(F.broadcast(picked), same, "left_semi").dropDuplicates(["lang", "id", "th"]).select("lang", "text")
+
+
 def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit from at most per_language labelled rows of each language: those with the smallest hashes of their ids."""
+    """Fit from a sample of at most per_language labelled rows of each language."""
     small_batches(docs.sparkSession)
-    rows = docs.filter(trainable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("id"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h")
-    sizes = ids.groupBy("lang").count()
-    # first a share of the ids that holds about twice the bound, then exactly the bound: no language meets in one task
-    near = ids.select("lang", "id", spread).join(F.broadcast(sizes), "lang").filter(F.col("h") * F.col("count") <= F.lit(float(1 << 40)) * 2 * per_language)
-    picked = near.withColumn("n", F.expr("row_number() over (partition by lang order by h, id)")).filter(F.col("n") <= per_language).select("lang", "id")
-    texts = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), ["lang", "id"], "left_semi").select("lang", "text")
+    texts = sampled(docs, trainable, id_col, text_col, label_col, per_language)
     found = texts.mapInArrow(vector_task, "lang string, cut boolean, at binary, n binary, letters long").collect()
 
     row = lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"]), r["letters"])

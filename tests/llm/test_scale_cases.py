@@ -243,3 +243,15 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark):
         for table in (odd, odd.limit(0)):
             n = step(spark, table, TINY).count()
             assert n <= 2 * table.count(), name
+
+
+def test_language_sample_holds_its_bound(spark):
+    """Repeated rows and repeated ids neither fill the sample nor empty it, and counts beyond 2^23 do not overflow."""
+    repeated = [(1, "the same text", "en")] * 3000
+    many = [(1, f"text number {i}", "fr") for i in range(900)]
+    rows = spark.createDataFrame(repeated + many + [(2, "another text", "en"), (None, "no id", "de"), (3, None, "de")], "doc_id long, text string, lang string").repartition(4)
+    found = Counter(r.lang for r in language_id.sampled(rows, F.lit(True), "doc_id", "text", "lang", 256).collect())
+    assert found == {"en": 2, "fr": 256, "de": 1}
+    for count in (1 << 23, 10**8, 10**12):
+        cutoff = spark.range(1).select(language_id.sample_cutoff(count, 256), language_id.sample_cutoff(F.lit(count).cast("long"), 256)).first()
+        assert cutoff[0] == cutoff[1] == pytest.approx((1 << 40) * 512 / count)
