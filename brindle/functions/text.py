@@ -13,34 +13,25 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
 
-def self_overlaps(needle: bytes) -> bool:
-    """Whether two occurrences of the needle can share bytes."""
-    return any(needle[k:] == needle[: len(needle) - k] for k in range(1, len(needle)))
+#: Places that a column of offsets holds at most: the largest limit of matches, and one to tell that there are more.
+MOST_PLACES = 10_001
 
 
-#: Matches in one text up to which offsets are summed up part by part; a fold's array is copied with each.
-FEW_MATCHES = 512
+def byte_offsets(text: Column, needle: str, most: int = MOST_PLACES) -> Column:
+    """The first `most` byte offsets of the needle in valid UTF-8 text, overlapping ones too, in order.
 
-
-def byte_offsets(text: Column, needle: str) -> Column:
-    """All byte offsets of the needle in valid UTF-8 text, overlapping ones too, in order.
-
-    A needle that cannot overlap itself is found by one split, and offsets are running sums of the parts' bytes; where there
-    are many, or the needle overlaps itself, each place is looked at.
+    One split before each occurrence, which ends at the limit; offsets are running sums of the parts' bytes. So the text is
+    read once, whatever the needle and however often it occurs.
     """
-    raw = needle.encode()
-    n = len(raw)
-    size = F.octet_length(text)
-    at = F.when(size >= n, F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    every = F.filter(at, lambda i: F.substring(text.cast("binary"), i + 1, F.lit(n)) == F.lit(raw))
+    before = "(?=\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E)"
     none = F.array().cast("array<int>")
-    if self_overlaps(raw):
-        return F.when(F.contains(text, F.lit(needle)), every).otherwise(none)
-    parts = F.split(text, "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+    parts = F.split(text, before, most + 1)
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    step = lambda a, p: F.struct((a["at"] + F.octet_length(p) + n).alias("at"), F.concat(a["out"], F.array(a["at"] + F.octet_length(p))).alias("out"))
-    summed = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda a: a["out"])
-    return F.when(F.size(parts) > FEW_MATCHES, every).otherwise(summed)
+    # a part is an occurrence if the needle opens it: all are but the first one, which may be
+    opens = lambda p: F.startswith(p, F.lit(needle))
+    step = lambda a, p: F.struct((a["at"] + F.octet_length(p)).alias("at"), F.when(opens(p), F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"]).alias("out"))
+    found = F.aggregate(parts, start, step, lambda a: a["out"])
+    return F.when(F.contains(text, F.lit(needle)), F.slice(found, 1, most)).otherwise(none)
 
 
 def excerpt_bounds(size: Column, start: Column, end: Column, cap: int) -> tuple[Column, Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import digest
 from brindle.operators.structure import declaration_kind
+from brindle.sources.store import staged
 
 EDGE_KINDS = ("declares", "contains", "imports", "exports", "calls", "references")
 NODE_COLUMNS = ["node_id", "kind", "path", "name", "start_byte", "end_byte", "declaration_kind"]
@@ -185,11 +186,11 @@ def updated_facts(prior: DataFrame, replaced: DataFrame, removed: DataFrame) ->
 # queries
 
 
-def order_key(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def order_key(edges: DataFrame, nodes: DataFrame, carried: list[str] = ()) -> DataFrame:
     """edges with `ord`, by which a traversal takes one node's edges: sure ones first, then by place, kind, target and module."""
     target = nodes.select(F.col("node_id").alias("target_node"), F.struct("path", "name", "start_byte", "end_byte").alias("to"))
     rank = F.when(F.col("resolution").isin("confirmed", "confirmed_manifest"), 0).when(F.col("resolution") == "heuristic", 1).when(F.col("resolution") == "unresolved", 2).otherwise(3)
-    joined = edges.join(target, "target_node", "left").select(*EDGE_COLUMNS, "to")
+    joined = edges.join(target, "target_node", "left").select(*EDGE_COLUMNS, *carried, "to")
     return joined.withColumn("ord", F.struct(rank.alias("rank"), "start_byte", "end_byte", "kind", "to", "module", "edge_id")).drop("to")
 
 
@@ -222,72 +223,133 @@ def looked_through(edges: DataFrame, locals_: DataFrame) -> tuple[DataFrame, Dat
     return joined.filter(~held).drop("owner", "into_local"), joined.filter(held).select(F.col("from_node").alias("node_id")).distinct()
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, start: str, kinds: list[str], depth: int, most_nodes: int, most_edges: int, locals_: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(nodes, edges, unknowns) found outwards from start: nodes with their place of discovery, edges in the order they were taken.
+def _near(edges: DataFrame, nodes: DataFrame, frontier: DataFrame, keys: list[str]) -> DataFrame:
+    """The edges (with from_node) that leave a frontier (keys, from_node, turn), with `at`, the order in which they are taken.
+
+    The frontier picks its edges first; only these are joined to the nodes at their other ends and put in order.
+    """
+    here = edges.join(frontier, "from_node")
+    return order_key(here, nodes, [*keys, "from_node", "turn"]).withColumn("at", F.struct("turn", "ord"))
 
-    A level is one pass over the edges of its frontier. A node's edges come by order_key, nodes in the order of discovery.
-    An edge to a node beyond most_nodes is passed over; after most_edges nothing is taken. Both bounds hold for the whole
-    result, so frontier and result are small whatever the graph's size, and the driver keeps no more than them.
+
+def traverse_all(nodes: DataFrame, edges: DataFrame, starts: DataFrame, keys: list[str], kinds: list[str], depth: int, most_nodes: int, most_edges: int, locals_: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes (keys, node_id, place), edges (keys, place, EDGE_COLUMNS, from_node), unknowns (keys, unknown)) of many traversals.
+
+    starts: (keys, node_id), one start a key. A level is one job for all keys: the frontiers of all of them pick their edges
+    together, and the bounds hold for each key. A node's edges come by order_key, nodes in the order of discovery. An edge to a
+    node beyond most_nodes is passed over; after most_edges nothing is taken. State is tables that each level stages; the driver
+    holds none of it.
     """
-    if most_nodes < 1 or most_edges < 1 or any(k not in EDGE_KINDS for k in kinds):
+    if depth < 0 or most_nodes < 1 or most_edges < 1 or any(k not in EDGE_KINDS for k in kinds):
         raise ValueError("a traversal takes known kinds and limits of one or more")
-    spark = nodes.sparkSession
-    if nodes.filter(F.col("node_id") == start).isEmpty():
-        raise ValueError("the start is no node of the graph")
     allowed = edges.filter(F.col("kind").isin(*kinds)) if kinds else edges
     withheld = None
     if locals_ is None:
-        allowed = allowed.withColumn("from_node", F.col("source_node"))
+        allowed = allowed.select(*EDGE_COLUMNS, F.col("source_node").alias("from_node"))
     else:
-        allowed, withheld = looked_through(allowed, locals_)
-    by_source = order_key(allowed, nodes).join(allowed.select("edge_id", "from_node"), "edge_id")
-    seen, taken, unknowns, frontier = {start: 0}, [], set(), [start]
-    columns = [*EDGE_COLUMNS, "from_node"]
+        allowed, withheld = looked_through(allowed.select(*EDGE_COLUMNS), locals_)
+    seen = staged(starts.select(*keys, "node_id", F.lit(0).cast("long").alias("place")), "seen")
+    frontier = seen.select(*keys, F.col("node_id").alias("from_node"), F.lit(0).cast("long").alias("turn"))
+    taken, unknowns = [], []
     for _ in range(depth):
-        if not frontier:
+        if withheld is not None:
+            unknowns.append(frontier.join(withheld, F.col("from_node") == F.col("node_id"), "left_semi").select(*keys, F.lit("local_variables_looked_through").alias("unknown")))
+        here = _near(allowed, nodes, frontier, keys)
+        n_taken = F.lit(0).cast("long")
+        state = seen.groupBy(*keys).agg(F.count("*").alias("n_seen"))
+        if taken:
+            counts = taken[0]
+            for part in taken[1:]:
+                counts = counts.unionByName(part)
+            state = state.join(counts.groupBy(*keys).agg(F.count("*").alias("n_taken")), keys, "left")
+            n_taken = F.coalesce("n_taken", F.lit(0))
+        state = state.select(*keys, "n_seen", n_taken.alias("n_taken"))
+        known = seen.select(*keys, F.col("node_id").alias("target_node"), F.lit(True).alias("seen"))
+        marked = here.join(known, [*keys, "target_node"], "left").join(state, keys)
+        new = marked.filter("target_node is not null and seen is null").groupBy(*keys, "target_node", "n_seen").agg(F.min("at").alias("first"))
+        admitted = new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("first"))).filter(F.col("_n") <= most_nodes - F.col("n_seen")).select(*keys, "target_node", F.lit(True).alias("admitted"))
+        judged = marked.join(admitted, [*keys, "target_node"], "left").withColumn("passes", F.col("target_node").isNull() | F.coalesce("seen", "admitted", F.lit(False)))
+        line = Window.partitionBy(*keys).orderBy("at")
+        run = F.sum(F.when(F.col("passes"), 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0))
+        judged = staged(judged.withColumn("run", run).withColumn("chosen", F.col("passes") & (F.col("n_taken") + F.col("run") <= most_edges)), "level")
+        if judged.isEmpty():
+            break
+        # full: whatever comes after the last edge is cut off, and no more of it is considered
+        last = judged.groupBy(*keys).agg(F.max(F.when(F.col("chosen"), F.col("at"))).alias("last"), F.count_if("chosen").alias("n_chosen"), F.max("n_taken").alias("before"))
+        seen_to = judged.join(last, keys)
+        full = F.col("before") + F.col("n_chosen") >= most_edges
+        after = F.coalesce(F.col("at") > F.col("last"), F.lit(True))
+        why = F.array_compact(F.array(F.when(full & after, "traversal_edge_limit_reached"), F.when(~F.col("passes") & ~(full & after), "traversal_node_limit_reached"), F.when(F.col("chosen") & F.col("target_node").isNull(), "unresolved_traversal_target")))
+        unknowns.append(seen_to.select(*keys, F.explode(why).alias("unknown")).distinct())
+        place = F.col("n_taken") + F.row_number().over(line) - 1
+        taken.append(judged.filter("chosen").withColumn("place", place.cast("long")).select(*keys, "place", *EDGE_COLUMNS, "from_node"))
+        first = judged.filter("chosen and seen is null and target_node is not null").groupBy(*keys, "target_node", "n_seen").agg(F.min("at").alias("first"))
+        found = first.withColumn("turn", (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).cast("long"))
+        found = staged(found.select(*keys, F.col("target_node").alias("node_id"), "turn", (F.col("n_seen") + F.col("turn")).alias("place")), "frontier")
+        seen = seen.unionByName(found.select(*keys, "node_id", "place"))
+        frontier = found.select(*keys, F.col("node_id").alias("from_node"), "turn")
+        if found.isEmpty():
             break
-        near = spark.createDataFrame([(n, i) for i, n in enumerate(frontier)], "from_node string, turn long")
-        if withheld is not None and not withheld.join(F.broadcast(near), F.col("node_id") == F.col("from_node"), "left_semi").isEmpty():
-            unknowns.add("local_variables_looked_through")
-        known = spark.createDataFrame([(n,) for n in seen], "target_node string").withColumn("seen", F.lit(True))
-        here = by_source.join(F.broadcast(near), "from_node").join(F.broadcast(known), "target_node", "left").withColumn("at", F.struct("turn", "ord"))
-        new = here.filter("target_node is not null and seen is null").groupBy("target_node").agg(F.min("at").alias("first"))
-        room = most_nodes - len(seen)
-        admitted = [r["target_node"] for r in new.orderBy("first").limit(room).collect()] if room else []
-        in_ = spark.createDataFrame([(n,) for n in admitted], "target_node string").withColumn("admitted", F.lit(True))
-        judged = here.join(F.broadcast(in_), "target_node", "left").withColumn("passes", F.col("target_node").isNull() | F.coalesce("seen", "admitted", F.lit(False)))
-        left = most_edges - len(taken)
-        rows = judged.filter("passes").orderBy("at").limit(left + 1).select(*columns, "turn").collect()
-        chosen = rows[:left]
-        if len(chosen) < left:
-            cut, considered = False, judged
-        elif not chosen:
-            cut, considered = not judged.isEmpty(), judged.limit(0)
-        else:  # full: whatever comes after the last edge is cut off
-            last = judged.filter(F.col("edge_id") == chosen[-1]["edge_id"]).select(F.col("at").alias("last"))
-            cut = not judged.join(F.broadcast(last), F.col("at") > F.col("last"), "left_semi").isEmpty()
-            considered = judged.join(F.broadcast(last), F.col("at") < F.col("last"), "left_semi")
-        if cut:
-            unknowns.add("traversal_edge_limit_reached")
-        if not considered.filter("not passes").isEmpty():
-            unknowns.add("traversal_node_limit_reached")
-        if any(r["target_node"] is None for r in chosen):
-            unknowns.add("unresolved_traversal_target")
-        frontier = []
-        for r in chosen:
-            if r["target_node"] is not None and r["target_node"] not in seen:
-                seen[r["target_node"]] = len(seen)
-                frontier.append(r["target_node"])
-        taken += chosen
-    if frontier and not by_source.join(F.broadcast(spark.createDataFrame([(n,) for n in frontier], "from_node string")), "from_node", "left_semi").isEmpty():
-        unknowns.add("traversal_depth_limit_reached")
-    for r in taken:
-        seen.setdefault(r["source_node"], len(seen))
-    place = spark.createDataFrame(list(seen.items()), "node_id string, place long")
-    found = nodes.join(F.broadcast(place), "node_id")
-    edge_schema = ", ".join(f"{c} {'long' if c.endswith('byte') else 'string'}" for c in EDGE_COLUMNS)
-    out = spark.createDataFrame([(i, *(r[c] for c in EDGE_COLUMNS)) for i, r in enumerate(taken)], f"place long, {edge_schema}")
-    return found, out, sorted(unknowns)
+    else:
+        deeper = frontier.join(allowed.select("from_node"), "from_node", "left_semi").select(*keys, F.lit("traversal_depth_limit_reached").alias("unknown"))
+        unknowns.append(deeper)
+    if taken:
+        edges_out = taken[0]
+        for part in taken[1:]:
+            edges_out = edges_out.unionByName(part)
+    else:
+        edges_out = _near(allowed, nodes, frontier, keys).limit(0).select(*keys, F.lit(0).cast("long").alias("place"), *EDGE_COLUMNS, "from_node")
+    # a local that was looked through is shown too, after what was discovered
+    sources = edges_out.groupBy(*keys, F.col("source_node").alias("node_id")).agg(F.min("place").alias("first")).join(seen.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
+    sizes = seen.groupBy(*keys).agg(F.count("*").alias("n_seen"))
+    late = sources.join(sizes, keys).select(*keys, "node_id", (F.col("n_seen") + F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).cast("long").alias("place"))
+    told = starts.select(*keys, F.lit("").alias("unknown")).limit(0)
+    for part in unknowns:
+        told = told.unionByName(part)
+    return seen.unionByName(late), edges_out, told.distinct()
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, start: str, kinds: list[str], depth: int, most_nodes: int, most_edges: int, locals_: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(nodes, edges, unknowns) found outwards from start: nodes with their place of discovery, edges in the order they were taken."""
+    if nodes.filter(F.col("node_id") == start).isEmpty():
+        raise ValueError("the start is no node of the graph")
+    starts = nodes.sparkSession.createDataFrame([(0, start)], "_key long, node_id string")
+    found, taken, unknowns = traverse_all(nodes, edges, starts, ["_key"], kinds, depth, most_nodes, most_edges, locals_)
+    return nodes.join(found.drop("_key"), "node_id"), taken.drop("_key", "from_node"), sorted(r["unknown"] for r in unknowns.collect())
+
+
+#: Bounds of a seeded query: levels and edges of a seed's traversal, edges of its family, bytes of the answer.
+SEED_DEPTH, SEED_MATCHES, FAMILY_EDGES, QUERY_BYTES = 1, 16, 64, 1 << 20
+
+
+def seeded(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, key: str, kinds: list[str], matches: int = SEED_MATCHES, locals_: DataFrame | None = None, with_families: bool = True, most_bytes: int = QUERY_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes (key, node_id), edges (key, place, EDGE_COLUMNS), unknowns (key, unknown)) around each task's seeds (key, place, node_id).
+
+    Every seed of every task is traversed in the same jobs, to depth SEED_DEPTH and at most SEED_MATCHES edges and as many
+    nodes. The traversals are merged in the order of the seeds, an edge staying where it came first; the seeds' families follow
+    them, so they only add to what the traversals gave. The answer's tail is cut where its rows as JSON pass most_bytes.
+    """
+    matches = min(matches, SEED_MATCHES)
+    starts = seeds.select(key, F.col("place").cast("long").alias("seed_place"), "node_id").distinct()
+    found, taken, unknowns = traverse_all(nodes, edges, starts, [key, "seed_place"], kinds, SEED_DEPTH, matches, matches, locals_)
+    rows = taken.select(key, F.struct(F.lit(0).alias("part"), "seed_place", "place").alias("at"), *EDGE_COLUMNS)
+    told = unknowns.select(key, "unknown")
+    if with_families:
+        around, cut = families(nodes, edges, seeds.select(F.col("node_id").alias("seed")).distinct(), kinds, FAMILY_EDGES)
+        of = starts.withColumnRenamed("node_id", "seed")
+        rows = rows.unionByName(around.join(of, "seed").select(key, F.struct(F.lit(1).alias("part"), "seed_place", "place").alias("at"), *EDGE_COLUMNS))
+        told = told.unionByName(cut.join(of, "seed").select(key, F.lit("structural_seed_family_limit_reached").alias("unknown")))
+    first = rows.groupBy(key, "edge_id").agg(F.min_by(F.struct(*[c for c in EDGE_COLUMNS if c != "edge_id"]), "at").alias("e"), F.min("at").alias("at"))
+    merged = first.select(key, "at", *(F.col("edge_id") if c == "edge_id" else F.col(f"e.{c}").alias(c) for c in EDGE_COLUMNS))
+    size = F.octet_length(F.to_json(F.struct(*EDGE_COLUMNS))).cast("long") + 1
+    line = Window.partitionBy(key).orderBy("at")
+    sized = merged.withColumns({"place": F.row_number().over(line).cast("long"), "_used": F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, 0))})
+    sized = staged(sized.drop("at"), "seeded")
+    kept = sized.filter(F.col("_used") <= most_bytes).drop("_used")
+    told = told.unionByName(sized.filter(F.col("_used") > most_bytes).select(key, F.lit("structural_query_output_limit_reached").alias("unknown")))
+    ends = kept.select(key, F.explode(F.array_compact(F.array("source_node", "target_node"))).alias("node_id"))
+    every = found.select(key, "node_id").unionByName(ends).distinct()
+    return every, kept, told.distinct()
 
 
 SEED_REASONS = ("unique_symbol_in_exact_path", "unique_exact_file_path", "globally_unique_symbol", "globally_ambiguous_symbol")

@@ -7,8 +7,10 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import ascii_lower, base64url, byte_offsets, byte_slice, content_hash, digest, excerpt_bounds
+from brindle.functions.text import ascii_lower, base64url, byte_slice, content_hash, digest, excerpt_bounds
 from brindle.operators import search as S
+from brindle.operators.intervals import enclosing
+from brindle.operators.running import running
 from brindle.operators.signals import words
 from brindle.sources.artifacts import path_units
 
@@ -67,7 +69,7 @@ def candidate_matches(artifacts: DataFrame, candidates: DataFrame, needles: list
     files = artifacts.join(F.broadcast(first), "path")
     parts = []
     for i, needle in enumerate(needles):
-        found = S.literal(files.select("path", "text"), needle, fold).join(F.broadcast(first), "path")
+        found = S.literal(files.select("path", "text"), needle, fold, most=budget.matches + 1).join(F.broadcast(first), "path")
         parts.append(found.select("rank", F.lit(i).alias("needle"), "path", "start", "end", "size"))
     every = parts[0]
     for part in parts[1:]:
@@ -94,7 +96,7 @@ def scoped_lexical(artifacts: DataFrame, query: list[str], scope: DataFrame) ->
     named = artifacts.join(F.broadcast(scope.select("path").distinct()), "path", "left_semi")
     out = None
     for term in query:
-        found = S.literal(named, term, fold=True).select("path", F.lit(term).alias("term"), "start", "end", "size", "text")
+        found = S.literal(named, term, fold=True).select("path", F.lit(term).alias("term"), "start", "end", "size")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -195,8 +197,9 @@ def expanded(evidence: DataFrame, artifacts: DataFrame, before: int, after: int,
 def json_bound(rows: DataFrame, rank: str, budget: int, envelope: int) -> DataFrame:
     """The longest prefix by rank whose rows, as JSON with a comma each, fit; `cut` tells whether rows were left out."""
     size = F.octet_length(F.to_json(F.struct(*[c for c in rows.columns if c != rank]))).cast("long") + 1
-    run = rows.withColumn("used", F.sum(size).over(Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)) + envelope)
-    return run.withColumn("cut", F.max(F.col("used") > budget).over(Window.partitionBy())).filter(F.col("used") <= budget)
+    run = running(rows.withColumn("_size", size), [rank], F.col("_size"), "used").withColumn("used", F.col("used") + envelope).drop("_size")
+    over = run.agg(F.coalesce(F.max("used") > budget, F.lit(False)).alias("cut"))
+    return run.filter(F.col("used") <= budget).crossJoin(F.broadcast(over))
 
 
 # ranking
@@ -246,10 +249,10 @@ def cut_to_declarations(matches: DataFrame, declarations: DataFrame, most: int,
     declarations (path, lo, hi). The first most_items matches by rank are looked at, of whatever method.
     """
     looked = matches.orderBy("rank").limit(most_items).select("rank")
-    inside = matches.join(F.broadcast(looked), "rank", "left_semi").filter(F.col("method").isin(*SEARCHES)).join(declarations, "path").filter("lo <= start and end <= hi").filter(F.col("hi") - F.col("lo") <= most)
-    best = inside.groupBy("rank").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("n"), "lo", "hi")).alias("b"))
+    near = matches.join(F.broadcast(looked), "rank", "left_semi").filter(F.col("method").isin(*SEARCHES))
+    best = near.select("rank", "path", "start", "end").join(enclosing(near, declarations, most), ["path", "start", "end"]).select("rank", "lo", "hi")
     joined = matches.join(best, "rank", "left")
-    return joined.select(*matches.columns, F.coalesce("b.lo", "start").alias("from"), F.coalesce("b.hi", "end").alias("to"), F.col("b").isNotNull().alias("cut"))
+    return joined.select(*matches.columns, F.coalesce("lo", "start").alias("from"), F.coalesce("hi", "end").alias("to"), F.col("lo").isNotNull().alias("cut"))
 
 
 # declared inputs
@@ -324,8 +327,3 @@ def substitutes(declarations: DataFrame, files: DataFrame, budget: int, symbol:
 def fallback(requirement: Column, reason: Column) -> Column:
     """Whether a reader may fall back to its own means."""
     return F.when(requirement == "disabled", True).when(requirement == "preferred", reason.isin("engine_unavailable", "unsupported_capability")).otherwise(False)
-
-
-def occurrences(text: Column, needle: str, most: int) -> Column:
-    """The first `most` places of a needle, overlapping ones too."""
-    return F.slice(byte_offsets(text, needle), 1, most)

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from brindle.functions import parsers
 from brindle.functions.text import content_hash
+from brindle.sources.store import staged
 
 TOOLCHAIN = "brindle-facts-1"
 FACT_SCHEMA = "path string, content_hash string, class string, local_key string, syntax_kind string, name string, module string, start_byte long, end_byte long, parent_key string, demand long, syntax_errors boolean, warnings array<string>"
 FACT_COLUMNS = [c.strip().split(" ")[0] for c in FACT_SCHEMA.split(", ")]
+#: Paths that may be broadcast.
+BROADCAST_PATHS = 500_000
 #: Facts that the files of a narrow scope may have together.
 SCOPED_FACTS = 28_000
 
@@ -33,11 +36,18 @@ def parse_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for path, content, language, most in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "language", "most"))):
+            if len(rows) > 16_384:
+                yield fact_batch(rows, schema)
+                rows = []
             parsed = parsers.parse(content, language, most)
             digest = "sha256:" + hashlib.sha256(content).hexdigest()
             rows.append((path, digest, "file", "file", language, None, None, 0, len(content), None, parsed.demand, parsed.syntax_errors, parsed.warnings))
             rows += [(path, digest, f.kind, parsers.fact_key(f), f.syntax, f.name, f.module, f.start, f.end, f.parent, None, None, None) for f in parsed.facts]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+        yield fact_batch(rows, schema)
+
+
+def fact_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
 def extract(files: DataFrame, most: Column | int = 1 << 30) -> DataFrame:
@@ -58,40 +68,91 @@ def verified(files: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def scoped(files: DataFrame, max_files: int, scope: DataFrame | None) -> DataFrame:
     """The first max_files files by path, then those in scope: the ceiling comes before the scope."""
-    first = files.orderBy("path").limit(max_files)
-    return first if scope is None else first.join(scope.select("path").distinct(), "path", "left_semi")
+    # paths alone are sorted; contents stay where they are
+    first = files.select("path").orderBy("path").limit(max_files)
+    first = first if scope is None else first.join(scope.select("path").distinct(), "path", "left_semi")
+    return files.join(F.broadcast(first) if max_files <= BROADCAST_PATHS else first, "path", "left_semi")
 
 
-def equal_shares(demands: DataFrame, group: list[str], order: str, allowance: int) -> DataFrame:
-    """demands (group, order, demand) with what each file holds when files take, in turn, an equal part of what is left."""
-    queue = demands.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, "demand"))).alias("q"))
-    start = F.struct(F.lit(allowance).cast("long").alias("left"), F.size("q").cast("long").alias("files"), F.array().cast("array<bigint>").alias("held"))
+def shares_task(n_group: int, allowance: int, names: list[str]):
+    """Files of a scope, in order, each with the number of them, to what each holds; a scope's state is two numbers."""
 
-    def step(a, x):
-        quota = F.when((a["left"] > 0) & (a["files"] > 0), F.ceil(a["left"] / a["files"])).otherwise(F.lit(0)).cast("long")
-        took = F.least(x["demand"], quota)
-        return F.struct((a["left"] - took).alias("left"), (a["files"] - 1).alias("files"), F.concat(a["held"], F.array(took)).alias("held"))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left, files = None, 0, 0
+        for batch in batches:
+            groups = list(zip(*(c.to_pylist() for c in batch.columns[:n_group]))) if n_group else [()] * batch.num_rows
+            held = []
+            for now, demand, n in zip(groups, batch.column(n_group + 1).to_pylist(), batch.column(n_group + 2).to_pylist()):
+                if now != key:
+                    key, left, files = now, allowance, n
+                took = min(demand, -(-left // files) if left > 0 else 0)
+                left, files = left - took, files - 1
+                held.append(took)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n_group + 2], pa.array(held, pa.int64())], names)
 
-    held = queue.select(*group, "q", F.aggregate("q", start, step)["held"].alias("held"))
-    each = held.select(*group, F.explode(F.arrays_zip("q", "held")).alias("_z"))
-    return each.select(*group, F.col(f"_z.q.{order}").alias(order), F.col("_z.q.demand").alias("demand"), F.col("_z.held").alias("held"))
+    return task
 
 
-def grants(shares: DataFrame, group: list[str], order: str, allowance: int) -> DataFrame:
-    """shares (group, order, demand, held) with the grant after the unspent part goes to the shortest shortfalls first."""
-    short = F.greatest(F.col("demand") - F.col("held"), F.lit(0))
-    queue = shares.groupBy(*group).agg(F.sum("held").alias("spent"), F.array_sort(F.collect_list(F.when(short > 0, F.struct(short.alias("short"), order)))).alias("q"))
-    kind = shares.schema[order].dataType.simpleString()
-    start = F.struct((F.lit(allowance) - F.col("spent")).alias("left"), F.size("q").cast("long").alias("files"), F.array().cast(f"array<struct<{order}:{kind},give:bigint>>").alias("given"))
+def equal_shares(demands: DataFrame, group: list[str], order: str, allowance: int) -> DataFrame:
+    """demands (group, order, demand) with what each file holds when files take, in turn, an equal part of what is left.
+
+    Each share depends on all before it, so a scope's files pass one task in order; what it keeps of them is two numbers.
+    """
+    sizes = demands.groupBy(*group).agg(F.count("*").alias("_files"))
+    rows = demands.select(*group, order, F.col("demand").cast("long").alias("demand")).join(sizes, group)
+    rows = rows.repartition(*group).sortWithinPartitions(*group, order).select(*group, order, "demand", "_files")
+    names = [*group, order, "demand", "held"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names[:-1]) + ", held long"
+    return rows.mapInArrow(shares_task(len(group), allowance, names), schema)
 
-    def step(a, x):
-        give = F.least(x["short"], F.greatest(F.floor(a["left"] / a["files"]), F.lit(0))).cast("long")
-        return F.struct((a["left"] - give).alias("left"), (a["files"] - 1).alias("files"), F.concat(a["given"], F.array(F.struct(x[order].alias(order), give.alias("give")))).alias("given"))
 
-    given = queue.select(*group, F.explode(F.aggregate("q", start, step)["given"]).alias("_given")).select(*group, F.col(f"_given.{order}").alias(order), "_given.give")
+def grants(shares: DataFrame, group: list[str], order: str, allowance: int) -> DataFrame:
+    """shares (group, order, demand, held) with the grant after the unspent part goes to the shortest shortfalls first.
+
+    Shortfalls in ascending order are met in full until one is larger than an equal part of what is left; from there on each
+    gets that part, the last ones one more. So a prefix sum and the first failing place say it all.
+    """
+    short = F.greatest(F.col("demand") - F.col("held"), F.lit(0)).cast("long")
+    rows = shares.withColumn("_short", short)
+    spent = rows.groupBy(*group).agg((F.lit(allowance) - F.sum("held")).cast("long").alias("_left"), F.count_if(F.col("_short") > 0).alias("_files"))
+    line = Window.partitionBy(*group).orderBy("_short", order)
+    wanting = rows.filter("_short > 0").join(spent, group)
+    placed = wanting.withColumns({"_n": F.row_number().over(line).cast("long"), "_before": (F.sum("_short").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_short")).cast("long")})
+    part = F.expr("(_left - _before) div (_files - _n + 1)")
+    fails = F.when((F.col("_left") <= F.col("_before")) | (F.col("_short") > part), F.col("_n"))
+    whole = Window.partitionBy(*group)
+    broken = placed.withColumn("_first", F.min(fails).over(whole))
+    at_first = F.max(F.when(F.col("_n") == F.col("_first"), F.greatest(F.col("_left") - F.col("_before"), F.lit(0)))).over(whole)
+    rest = broken.withColumns({"_rest": at_first, "_sharers": F.col("_files") - F.col("_first") + 1})
+    equal = F.expr("_rest div _sharers") + F.when(F.col("_n") - F.col("_first") >= F.col("_sharers") - F.expr("_rest % _sharers"), 1).otherwise(0)
+    give = F.when(F.col("_first").isNull() | (F.col("_n") < F.col("_first")), F.col("_short")).otherwise(equal)
+    given = rest.select(*group, order, give.cast("long").alias("give"))
     return shares.join(given, [*group, order], "left").withColumn("grant", F.col("held") + F.coalesce("give", F.lit(0))).drop("give")
 
 
+def build_loop(files: DataFrame, allowance: int = SCOPED_FACTS, scope: DataFrame | None = None, max_files: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(facts, ledger) of the first max_files files, or of those in scope (path): together no more than allowance facts.
+
+    All files are parsed under an equal part of the allowance, which tells what each would give. What files leave of their
+    shares, taken in turn, goes to the shortest shortfalls first, and only files that were cut and got more are parsed again. ledger
+    (path, demand, first, grant, parses): first is what the first parse gave, grant what the file has in the end.
+    """
+    chosen = scoped(files, max_files, scope).filter(language_of(F.col("path")).isNotNull())
+    n = chosen.count()
+    share = allowance // n if n else 0
+    once = staged(extract(chosen, share), "first-parse")
+    demands = once.filter("class = 'file'").select(F.lit(0).alias("_scope"), "path", "demand")
+    held = equal_shares(demands, ["_scope"], "path", allowance)
+    ledger = grants(held, ["_scope"], "path", allowance).withColumn("first", F.least("demand", F.lit(share).cast("long")))
+    # never below what the first parse gave: the shares in turn are no smaller than the equal part
+    ledger = staged(ledger.select("path", "demand", "first", F.greatest("grant", "first").cast("long").alias("grant"), F.when(F.col("grant") > F.col("first"), 2).otherwise(1).cast("long").alias("parses")), "ledger")
+    again = ledger.filter("parses = 2").select("path", F.col("grant").alias("_grant"))
+    more = chosen.join(again, "path")
+    wanted = more.select("path", "content", language_of(F.col("path")).alias("language"), F.col("_grant").alias("most"))
+    twice = wanted.mapInArrow(parse_task, FACT_SCHEMA)
+    return once.join(again, "path", "left_anti").unionByName(twice), ledger
+
+
 def prefix_within(rows: DataFrame, group: list[str], order: list, budget: int, envelope: int = 0) -> DataFrame:
     """The longest prefix of each group whose rows, as JSON with a comma each, fit the budget beside the envelope."""
     size = F.octet_length(F.to_json(F.struct(*rows.columns))).cast("long") + 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.intervals import enclosing
+
 
 def directory_rollup(files: DataFrame) -> DataFrame:
     """(directory, files) for every ancestor directory of `path`, `.` for the whole tree. Counts combine map-side."""
@@ -22,9 +24,7 @@ def unique_names(nodes: DataFrame) -> DataFrame:
 
 def smallest_enclosing(spans: DataFrame, outer: DataFrame, most: int) -> DataFrame:
     """For each (path, start, end) the smallest [lo, hi) of the path that holds it, of at most `most` bytes, then the first."""
-    inside = spans.join(outer, "path").filter((F.col("lo") <= F.col("start")) & (F.col("end") <= F.col("hi")) & (F.col("hi") - F.col("lo") <= most))
-    best = F.row_number().over(Window.partitionBy("path", "start", "end").orderBy(F.col("hi") - F.col("lo"), "lo"))
-    return inside.withColumn("n", best).filter("n = 1").drop("n")
+    return enclosing(spans, outer, most)
 
 
 def outermost(spans: DataFrame) -> DataFrame:

@@ -49,17 +49,18 @@ def has_word(line: Column, words: list[str], endings: list[str]) -> Column:
     """Whether a token holds one of the words, or a type name with one of the endings: in no flag, no file name, no zero count."""
     listed, ended = "|".join(words), "|".join(endings)
     tokens = F.regexp_extract_all(line, F.lit(f"({TOKEN})"), F.lit(1))
+    none = F.array(F.lit(None).cast("string"))
 
-    def counts(i: Column) -> Column:
-        raw = F.get(tokens, i)
+    def counts(x: Column) -> Column:
+        raw, before, after = x["raw"], x["before"], x["after"]
         bare = F.regexp_replace(raw, "^[.-]+|[.-]+$", "")
-        before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
         zero = F.coalesce(F.lower(before).isin(ZERO_WORDS), F.lit(False)) | F.coalesce(after == "0", F.lit(False))
         file = bare.rlike(rf"[/\\]|^.+{EXTENSION}$")
         return ~zero & ~raw.rlike("^-+[A-Za-z]") & ~file & bare.rlike(rf"(?:^|[.-])(?i:{listed})(?:[.-]|$)|[a-z0-9](?:{ended})(?:[.-]|$)")
 
-    some = F.size(tokens) > 0
-    found = F.exists(F.when(some, F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")), counts)
+    # a token beside its neighbours: three arrays shifted against each other, each cut from the line once
+    lined = F.arrays_zip(F.concat(tokens, none).alias("raw"), F.concat(none, tokens).alias("before"), F.concat(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), none, none).alias("after"))
+    found = F.exists(F.filter(lined, lambda x: x["raw"].isNotNull()), counts)
     # most lines have none of these letters in a row and need no tokens
     return F.when(line.rlike(f"(?i:{listed})|{ended}"), found).otherwise(False)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import ascii_lower, byte_offsets, byte_slice, digest, excerpt_bounds, term_set, terms
+from brindle.functions.text import ascii_lower, digest, term_set, terms
+from brindle.operators.running import running
 from brindle.sources.artifacts import path_units
 from brindle.sources.store import staged
 
@@ -21,33 +26,69 @@ def filename(artifacts: DataFrame, query: str) -> DataFrame:
     return artifacts.filter(hit).select("path", path_units(F.col("path")).alias("path_units"), F.lit(0).cast("long").alias("start"))
 
 
-def literal(artifacts: DataFrame, needle: str, fold: bool = False, scope: DataFrame | None = None) -> DataFrame:
-    """(path, start, end, size, text) of all occurrences, overlapping ones too. scope: paths to search."""
+def places_task(needle: bytes, fold: bool, most: int | None, cap: int | None):
+    """(path, text) to a row for each of the first `most` places of a text, overlapping ones too; with cap, excerpts of that size."""
+
+    def places(text: bytes) -> Iterator[int]:
+        hay = text.lower() if fold else text
+        at, n = hay.find(needle), 0
+        while at >= 0 and (most is None or n < most):
+            yield at
+            at, n = hay.find(needle, at + 1), n + 1
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            size = len(text)
+            for start in places(text):
+                end = start + len(needle)
+                if cap is None:
+                    yield path, start, end, size
+                else:
+                    left = max(start - max(cap - len(needle), 0) // 2, 0)
+                    right = min(size, max(left + cap, end))
+                    yield path, start, end, size, left, right, text[left:right]
+
+    names = ["path", "start", "end", "size", "excerpt_start", "excerpt_end", "excerpt"][: 4 if cap is None else 7]
+    types = [pa.string(), *[pa.int64()] * 5, pa.binary()][: len(names)] if cap is not None else [pa.string(), *[pa.int64()] * 3]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = rows(batch)
+            while some := list(itertools.islice(found, 8192)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names)
+
+    return task
+
+
+def literal(artifacts: DataFrame, needle: str, fold: bool = False, scope: DataFrame | None = None, most: int | None = None, cap: int | None = None) -> DataFrame:
+    """(path, start, end, size) of all occurrences, overlapping ones too, in time linear in the texts; no row carries its text.
+
+    scope: paths to search. most: places of a file. cap: bytes of an excerpt; with it rows have excerpt_start, excerpt_end and
+    excerpt. Texts without the needle are turned away before any leaves the engine.
+    """
     if scope is not None:
         artifacts = artifacts.join(scope, "path", "left_semi")
     needle = needle.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if fold else needle
     hay = ascii_lower(F.col("text")) if fold else F.col("text")
-    found = artifacts.filter(F.contains(hay, F.lit(needle))).withColumn("start", F.explode(byte_offsets(hay, needle)))
-    return found.select("path", F.col("start").cast("long"), (F.col("start") + len(needle.encode())).cast("long").alias("end"), F.octet_length("text").cast("long").alias("size"), "text")
+    rows = artifacts.filter(F.contains(hay, F.lit(needle))).select("path", F.col("text").cast("binary").alias("text"))
+    schema = "path string, start long, end long, size long" + ("" if cap is None else ", excerpt_start long, excerpt_end long, excerpt binary")
+    return rows.mapInArrow(places_task(needle.encode(), fold, most, cap), schema)
 
 
-def bounded(matches: DataFrame, most: int, cap: int) -> DataFrame:
-    """The first matches by (path units, start) with excerpts, and whether the limit cut any off.
+def bounded(artifacts: DataFrame, needle: str, most: int, cap: int) -> DataFrame:
+    """The first occurrences by (path units, start) with excerpts, and whether the limit cut any off.
 
-    Each partition gives up its first most + 1 matches before the single ordered window sees them.
+    A file gives up its first most + 1 places, a partition its first most + 1 rows, before the single ordered window sees them.
     """
-    keyed = matches.withColumn("path_units", path_units(F.col("path")))
+    keyed = literal(artifacts, needle, most=most + 1, cap=cap).withColumn("path_units", path_units(F.col("path")))
     first = keyed.orderBy("path_units", "start").limit(most + 1)
-    left, right = excerpt_bounds(F.col("size"), F.col("start"), F.col("end"), cap)
     numbered = first.withColumns({"rank": F.row_number().over(Window.orderBy("path_units", "start")).cast("long"), "total": F.count("*").over(Window.partitionBy())})
-    cut = numbered.filter(F.col("rank") <= most).withColumns({"excerpt_start": left, "excerpt_end": right})
-    return cut.select("rank", "path", "start", "end", "excerpt_start", "excerpt_end", F.hex(byte_slice(F.col("text"), F.col("excerpt_start"), F.col("excerpt_end"))).alias("excerpt"), (F.col("total") > most).alias("truncated"))
+    return numbered.filter(F.col("rank") <= most).select("rank", "path", "start", "end", "excerpt_start", "excerpt_end", F.hex("excerpt").alias("excerpt"), (F.col("total") > most).alias("truncated"))
 
 
 def byte_bound(rows: DataFrame, rank: str, size: F.Column, budget: int) -> DataFrame:
     """The longest prefix by rank whose sizes stay within budget."""
-    run = F.sum(size).over(Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", run).filter(F.col("used") <= budget)
+    return running(rows, [rank], size, "used").filter(F.col("used") <= budget)
 
 
 def postings(artifacts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from brindle.operators import codegraph as G
 from brindle.operators import evidence as E
 from brindle.operators import facts as X
 from brindle.operators import packets as P
+from brindle.operators.running import numbered
 from brindle.operators.search import literal
 from brindle.plans import codegraphs as CG
 from brindle.plans.retrieval import FOLD, HITS, NEEDLE, UNITS
@@ -42,14 +43,14 @@ def scoped_lexical(spark, sf_dir):
 def candidate_verification(spark, sf_dir):
     """The first 500 matches of two needles, files in the reverse order of their names, then by place."""
     art = _art(spark, sf_dir)
-    ranked = art.select("path", F.expr("row_number() over (order by path desc)").alias("rank"))
+    ranked = numbered(art.select("path"), [F.desc("path")], "rank")
     found, _ = E.candidate_matches(art, ranked, ["thing ", "other"], False, "literal_search", BUDGET)
     return found.select("path", "start", "end", "excerpt_start", "excerpt_end")
 
 
 def candidate_limits(spark, sf_dir):
     art = _art(spark, sf_dir)
-    ranked = art.select("path", F.expr("row_number() over (order by path desc)").alias("rank"))
+    ranked = numbered(art.select("path"), [F.desc("path")], "rank")
     return E.candidate_matches(art, ranked, ["e"], False, "literal_search", E.Budget(matches=500, files=100))[1]
 
 
@@ -67,7 +68,8 @@ def dispatched_search(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    hits = literal(_art(spark, sf_dir), "thing ").withColumn("path_units", path_units(F.col("path")))
+    art = _art(spark, sf_dir)
+    hits = literal(art, "thing ").withColumn("path_units", path_units(F.col("path"))).join(art.select("path", "text"), "path")
     return hits.withColumns({"excerpt_start": F.greatest(F.col("start") - 10, F.lit(0)), "excerpt_end": F.least(F.col("end") + 10, F.col("size")), "method": F.lit("literal_search"), "content_hash": content_hash(F.col("text"))}).withColumn("excerpt", F.expr("substring(cast(text as binary), cast(excerpt_start + 1 as int), cast(excerpt_end - excerpt_start as int))")).drop("text")
 
 
@@ -101,7 +103,7 @@ def proved_expansion(spark, sf_dir):
 
 def response_json_bound(spark, sf_dir):
     """The longest prefix of a response whose rows, as JSON, fit 20,000 bytes beside an envelope of 200."""
-    rows = literal(_art(spark, sf_dir), "thing ").select("path", "start", "end").withColumn("rank", F.expr("row_number() over (order by path, start)"))
+    rows = numbered(literal(_art(spark, sf_dir), "thing ").select("path", "start", "end"), ["path", "start"], "rank").withColumn("rank", F.col("rank").cast("int"))
     return E.json_bound(rows, "rank", 20_000, 200).select("rank", "path", "used", "cut")
 
 
@@ -141,7 +143,8 @@ def _declarations(spark, sf_dir, kinds=("function", "type")):
 
 def cut_to_declarations(spark, sf_dir):
     """Matches in code cut to the smallest declaration around them, the first thousand of them."""
-    hits = literal(_code(spark, sf_dir), "return ").select("path", "start", "end", F.lit("literal_search").alias("method")).withColumn("rank", F.expr("row_number() over (order by path, start)"))
+    hits = literal(_code(spark, sf_dir), "return ").select("path", "start", "end", F.lit("literal_search").alias("method"))
+    hits = numbered(hits, ["path", "start"], "rank")
     return E.cut_to_declarations(hits, _declarations(spark, sf_dir), 4096, 1000).select("path", "start", "from", "to", "cut")
 
 

@@ -272,7 +272,30 @@ def disclosure_map(spark, sf_dir):
     return G.disclosed(items, ["source_path", "start_byte", "end_byte"], ["contains"], 40)[0].select("source_path", "label", "within", "start_byte")
 
 
-QUERIES = {f.__name__: f for f in (language_routing, structural_declarations, structural_imports, structural_calls, fact_order, fact_ceiling, fact_shares, fact_grants, fact_response_bound, structure_scope, verified_read, cached_facts, fact_contract, file_nodes, declares_edges, contains_edges, import_resolution, module_resolution, call_targets, graph_unknowns, graph_identity, graph_validation, graph_update, function_locals, looked_through_calls, seed_family, bounded_traversal, traversal_unknowns, traversal_order, repository_overview, disclosure_items, disclosure_map)}
+SCOPED_ALLOWANCE = 2000
+IN_SCOPE = "path like 'pkg/c1%' or path like 'web/%'"
+
+
+def _ledger(found):
+    facts, ledger = found
+    have = facts.filter("class <> 'file'").groupBy("path").agg(F.count("*").alias("facts"))
+    return ledger.join(have, "path", "left").select("path", "demand", "first", "grant", "parses", F.coalesce("facts", F.lit(0)).alias("facts"))
+
+
+def structure_build(spark, sf_dir):
+    """The facts of all files under one allowance: each file's demand, first share and grant, how often it was parsed."""
+    prepare(spark)
+    return _ledger(X.build_loop(W.files(spark, sf_dir), X.SCOPED_FACTS))
+
+
+def scoped_build(spark, sf_dir):
+    """The same for files of one folder alone, under a smaller allowance."""
+    prepare(spark)
+    files = W.files(spark, sf_dir)
+    return _ledger(X.build_loop(files, SCOPED_ALLOWANCE, files.filter(F.expr(IN_SCOPE)).select("path")))
+
+
+QUERIES = {f.__name__: f for f in (structure_build, scoped_build, language_routing, structural_declarations, structural_imports, structural_calls, fact_order, fact_ceiling, fact_shares, fact_grants, fact_response_bound, structure_scope, verified_read, cached_facts, fact_contract, file_nodes, declares_edges, contains_edges, import_resolution, module_resolution, call_targets, graph_unknowns, graph_identity, graph_validation, graph_update, function_locals, looked_through_calls, seed_family, bounded_traversal, traversal_unknowns, traversal_order, repository_overview, disclosure_items, disclosure_map)}
 
 # Oracles: the pieces of each file are known, so spans are places of known texts.
 FILES = f"f as ({W.FILES_SQL})"
@@ -369,3 +392,22 @@ select 'calls' as relation, case when i.target is null then 'unresolved' else 'h
 union all select 'imports', case when target_path is null then 'unresolved' else 'confirmed' end, null, path, case when target_path <> path then target_path end, null from i2""",
     "disclosure_map": DECLARED + " select path as source_path, name as label, within, start_byte from t where within is not null order by path, start_byte, end_byte limit 40",
 }
+
+
+def build_sql(allowance: int, scope: str) -> str:
+    """A build's ledger by two folds over the files in order; a module's facts are as many as its parts make."""
+    held = "struct_pack(path := x.held[1].path, demand := x.budget, held := least(x.budget, case when a.budget > 0 then (a.budget + a.files - 1) // a.files else 0 end))"
+    give = "least(x.budget, greatest(a.budget // a.files, 0))"
+    return f"""with p as (select path, demand::bigint as demand from (select {W.MODULE_PATH} as path, 45 + case when c_custkey < 17 then 3 else 0 end - case when c_custkey % 10 = 4 then 3 else 0 end as demand from customer union all select {W.SCRIPT_PATH}, 6 from supplier union all select {W.MANIFEST_PATH}, 4 from region) where {scope}),
+c as (select count(*) as n, {allowance} // count(*) as share from p), l as (select list(struct_pack(budget := demand, files := 0::bigint, held := [struct_pack(path := path, demand := demand, held := 0::bigint)]) order by path) as items from p),
+q as (select list_reduce(items, lambda a, x: struct_pack(budget := a.budget - least(x.budget, case when a.budget > 0 then (a.budget + a.files - 1) // a.files else 0 end), files := a.files - 1, held := list_concat(a.held, [{held}])), struct_pack(budget := {allowance}::bigint, files := len(items)::bigint, held := []::struct(path varchar, demand bigint, held bigint)[])) as s from l),
+h as (select z.path as path, z.demand as demand, z.held as held from (select unnest(s.held) as z from q)),
+m as (select sum(held)::bigint as spent, coalesce(list(struct_pack(budget := demand - held, files := 0::bigint, given := [struct_pack(path := path, give := 0::bigint)]) order by demand - held, path) filter (demand > held), []) as items from h),
+r as (select list_reduce(items, lambda a, x: struct_pack(budget := a.budget - {give}, files := a.files - 1, given := list_concat(a.given, [struct_pack(path := x.given[1].path, give := {give})])), struct_pack(budget := {allowance} - spent, files := len(items)::bigint, given := []::struct(path varchar, give bigint)[])) as s from m),
+g as (select z.path as path, z.give as give from (select unnest(s.given) as z from r)),
+o as (select path, demand, least(demand, share)::bigint as first, held + coalesce(give, 0) as grant_ from h left join g using (path), c)
+select path, demand, first, grant_ as grant, case when grant_ > first then 2 else 1 end::bigint as parses, grant_ as facts from o"""
+
+
+ORACLES["structure_build"] = build_sql(X.SCOPED_FACTS, "true")
+ORACLES["scoped_build"] = build_sql(SCOPED_ALLOWANCE, IN_SCOPE)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import terms
 from brindle.operators import codegraph as G
+from brindle.operators import context as CX
+from brindle.operators import evidence as E
 from brindle.operators import facts as X
 from brindle.operators import nominate as N
 from brindle.operators import planner as P
@@ -137,7 +139,67 @@ def seed_selection(spark, sf_dir):
     return seeds.join(nodes.select("node_id", "name"), "node_id").select("task", F.col("place").cast("long").alias("place"), "path", "name", reason.alias("reason"))
 
 
-QUERIES = {f.__name__: f for f in (seed_selection, identifier_index, identifier_matches, declaration_matches, distinct_declarers, declared_signals, module_path_resolution, file_nomination, nomination_unknowns, task_lexical_fallback, plan_steps, plan_omissions, needle_rarity, rated_plan_steps, planner_coverage, plan_identity)}
+PLANNED = E.Budget(output_bytes=1 << 22, evidence_items=12, excerpt_bytes=256, matches=40)
+
+
+def _planned(spark, sf_dir):
+    prepare(spark)
+    tasks = staged(_tasks(spark, sf_dir), "tasks")
+    files = W.files(spark, sf_dir)
+    index = staged(N.identifier_index(files)[0], "identifier-index")
+    nominated = staged(N.nominate(S.task_signals(tasks, "task", "text", N.distinct_declarers(index)), "task", files.select("path"), index)[0], "nominated")
+    steps = P.expand(tasks, "task", "text", "profile", MOST_LITERAL)[0]
+    declarations = staged(X.extract(files), "facts").filter("class = 'declaration'").select("path", F.col("start_byte").alias("lo"), F.col("end_byte").alias("hi"))
+    return CX.planned(tasks, "task", "text", "profile", steps, nominated, files.select("path", F.col("content").cast("string").alias("text")), declarations, "one", PLANNED, "2024-01-01T00:00:00Z")
+
+
+def planned_context(spark, sf_dir):
+    """Each task's packet, filled by the steps of its plan, and what is not known."""
+    found = _planned(spark, sf_dir)
+    unknowns = found.unknowns.groupBy("task").agg(F.array_join(F.array_sort(F.collect_list("unknown")), ",").alias("unknowns"))
+    return found.packets.join(unknowns, "task", "left").select("task", "status", "items", "omitted", F.coalesce("unknowns", F.lit("")).alias("unknowns"))
+
+
+def planned_evidence(spark, sf_dir):
+    """The evidence of each task's packet in its order."""
+    found = _planned(spark, sf_dir)
+    return found.evidence.join(found.packets.select("task", "items"), "task").filter("place <= items").select("task", "place", "path", "start", "end", F.col("from").alias("excerpt_start"), F.col("to").alias("excerpt_end"), "cut", "method")
+
+
+SEEDED_KINDS = ["contains", "calls", "declares"]
+
+
+def _seeded(spark, sf_dir, most_bytes=G.QUERY_BYTES):
+    prepare(spark)
+    files = W.files(spark, sf_dir)
+    index = _index(spark, sf_dir)
+    found = staged(_signals(spark, sf_dir, index), "signals")
+    nominated = N.nominate(found, "task", files.select("path"), index)[0]
+    nodes, edges, _ = G.build(staged(X.extract(files), "facts"), "workspace")
+    nodes, edges = staged(nodes, "nodes"), staged(edges, "edges")
+    locals_ = staged(G.function_locals(nodes, edges), "locals")
+    candidates = G.seed_candidates(nodes, found, nominated, "task", locals_)
+    seeds = staged(admit_seeds(candidates, "task", "path", ["rank", "position", "path", "offset", "node_id"], "node_id").select("task", "place", "node_id"), "seeds")
+    return nodes, G.seeded(nodes, edges, seeds, "task", SEEDED_KINDS, locals_=locals_, most_bytes=most_bytes)
+
+
+def seeded_query(spark, sf_dir):
+    """The edges around each task's seeds: their own by seed, then those of their families."""
+    nodes, (_, edges, _) = _seeded(spark, sf_dir)
+    ends = nodes.select("node_id", "path", F.coalesce("name", "path").alias("name"))
+    named = edges.join(ends.toDF("source_node", "path", "source"), "source_node").join(ends.select("node_id", "name").toDF("target_node", "target"), "target_node", "left")
+    return named.select("task", "place", "kind", "path", "source", "target")
+
+
+def seeded_bound(spark, sf_dir):
+    """The same, cut where its rows pass 1,500 bytes: how many edges are left, and what is told."""
+    _, (_, edges, unknowns) = _seeded(spark, sf_dir, 1500)
+    told = unknowns.groupBy("task").agg(F.array_join(F.array_sort(F.collect_list("unknown")), ",").alias("unknowns"))
+    size = F.sum(F.octet_length(F.to_json(F.struct(*G.EDGE_COLUMNS))) + 1)
+    return edges.groupBy("task").agg(F.max("place").alias("last"), F.count("*").alias("edges"), (size <= 1500).alias("fits")).join(told, "task").select("task", (F.col("last") == F.col("edges")).alias("is_prefix"), "fits", "unknowns")
+
+
+QUERIES = {f.__name__: f for f in (seeded_query, seeded_bound, planned_context, planned_evidence, seed_selection, identifier_index, identifier_matches, declaration_matches, distinct_declarers, declared_signals, module_path_resolution, file_nomination, nomination_unknowns, task_lexical_fallback, plan_steps, plan_omissions, needle_rarity, rated_plan_steps, planner_coverage, plan_identity)}
 
 T = f"""with t as (select n_nationkey as task, {C} as c, n_nationkey % 10 as k, {TASK} as text, {PROFILE} as profile from nation)"""
 N_FILES = "(select (select count(*) from customer) + (select count(*) from supplier) + (select count(*) from region))"
@@ -182,3 +244,53 @@ ORACLES["seed_selection"] = f"""with nom as ({NOMINATED}), tt as (select n_natio
 oth as (select nom.task, 3 as rank, nom.place as position, nom.path, c, g.c_custkey as g from nom join tt using (task) join customer g on nom.path = 'pkg/c' || (g.c_custkey % 40) || '/m' || g.c_custkey || '.py' and g.c_custkey <> c),
 cand as (select task, rank, position, path, x.n as name, x.o as o from own union all select task, rank, position, path, 'load_' || (c % 7), 2 from oth where g % 7 = c % 7 union all select task, rank, position, path, 'helper_' || (c % 11), 3 from oth where g % 11 = c % 11),
 num as (select *, row_number() over (partition by task order by rank, position, path, o) as place from cand) select task, place, path, name, case rank when 0 then 'unique_symbol_in_exact_path' else 'globally_ambiguous_symbol' end as reason from num where place <= 8"""
+
+TERMS_OF = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
+UNITS = "replace(replace(rtrim(to_base64(encode(path)), '='), '+', '-'), '/', '_')"
+#: Every search of every step by brute force, the order of a context, and what is told of each step.
+CONTEXT_SQL = f"""with st as ({STEPS} select task, place as step, kind, query from p where place <= 8), nom as ({NOMINATED}),
+fu as (select path, content, lower(content) as low, length(content) as size, {UNITS} as units, list_distinct(list_filter({TERMS_OF.format('content')}, lambda x: length(x) <= 64)) as terms from ({W.FILES_SQL})),
+se as (select distinct kind, query from st),
+ne as (select kind, query, 0 as ord, query as needle from se where kind <> 'lexical' union all select kind, query, min(o), w from (select kind, query, unnest({TERMS_OF.format('query')}) as w, generate_subscripts({TERMS_OF.format('query')}, 1) as o from se where kind = 'lexical') group by kind, query, w),
+nd as (select distinct kind, needle from ne),
+ho as (select kind, needle, path, units, size, length(needle) as width, unnest(case when kind = 'filename' then [0::bigint] else list_filter(range(size - length(needle) + 1), lambda i: (case when kind = 'literal' then content else low end)[i + 1:i + length(needle)] = needle) end) as start
+  from nd join fu on case kind when 'filename' then contains(lower(path), lower(needle)) when 'literal' then contains(content, needle) else contains(low, needle) end),
+hs as (select ne.kind, ne.query, ne.ord, ho.path, ho.units, ho.size, ho.start, ho.start + case when ne.kind = 'filename' then 0 else ho.width end as stop from ne join ho on ne.kind = ho.kind and ne.needle = ho.needle),
+tot as (select count(*) as n, avg(len(terms)) as avgdl from fu),
+dfs as (select needle, count(*) as df from (select distinct needle from ne where kind = 'lexical') x join fu on list_contains(terms, needle) group by needle),
+idf as (select kind, query, sum(greatest(ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)), 1e-6)) as idf, list(needle) as words from ne left join dfs using (needle), tot where kind = 'lexical' group by kind, query),
+ca as (select distinct kind, query, path, 0.0 as score, units from hs where kind <> 'lexical' union all select kind, query, path, round(-idf * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * len(terms) / avgdl)), 9), units from idf join fu on list_has_all(terms, words), tot),
+ra as (select kind, query, path, row_number() over (partition by kind, query order by score, units) as rank from ca),
+wh as (select ra.kind, ra.query, ra.path, hs.size, hs.start, hs.stop, row_number() over (partition by ra.kind, ra.query order by rank, ord, hs.start) as n from ra join hs on ra.kind = hs.kind and ra.query = hs.query and ra.path = hs.path where rank <= {PLANNED.files}),
+ne2 as (select kind, query, path, size, start, stop, row_number() over (partition by kind, query, path order by ord, start) as n from hs where kind <> 'filename'),
+al as (select st.task, 1 as part, step, nom.place, n, ne2.path, ne2.kind, start, stop, size from st join ne2 on st.kind = ne2.kind and st.query = ne2.query join nom on nom.task = st.task and nom.path = ne2.path where n <= {PLANNED.matches}
+ union all select st.task, 2, step, 0, n, path, wh.kind, start, stop, size from st join wh on st.kind = wh.kind and st.query = wh.query where n <= {PLANNED.matches}),
+lo as (select *, row_number() over (partition by task order by part, step, place, n) <= {PLANNED.evidence_items} and kind <> 'filename' as looked from al),
+de as (select path as dpath, start_byte as lo, end_byte as hi from ({{declarations}}) where end_byte - start_byte <= {PLANNED.excerpt_bytes}),
+ex as (select *, greatest(start - greatest({PLANNED.excerpt_bytes} - (stop - start), 0) // 2, 0) as l from (select task, part, step, place, n, path, kind, start, stop, size, looked and lo is not null as cut, lo, hi from (select lo.task, lo.part, lo.step, lo.place, lo.n, lo.path, lo.kind, lo.start, lo.stop, lo.size, lo.looked, arg_min(de.lo, de.hi - de.lo) as lo, arg_min(de.hi, de.hi - de.lo) as hi from lo left join de on lo.looked and dpath = lo.path and de.lo <= lo.start and lo.stop <= de.hi group by all))),
+sp as (select task, part, step, place, n, path, kind, start, stop, cut, case when cut then lo when kind = 'filename' then 0 else l end as a, case when cut then hi when kind = 'filename' then 0 else least(size, greatest(l + {PLANNED.excerpt_bytes}, stop)) end as z from ex),
+ba as (select sp.*, content[a + 1:z] as excerpt from sp join fu using (path)),
+od as (select *, row_number() over (partition by task order by part, turn, file, step, place, n) as seq from (select *, case when part = 1 then row_number() over (partition by task, part, path order by cut desc, step, place, n) else 0 end as turn, case when part = 1 then place else 0 end as file from ba)),
+f1 as (select task, path, kind, start, stop, cut, a, z, seq from od qualify row_number() over (partition by task, path, kind, excerpt order by seq) = 1),
+f2 as (select *, row_number() over (partition by task order by seq) as pos from (select * from f1 qualify row_number() over (partition by task, path, start, stop order by seq) = 1)),
+un as (select task, 'plan_step_' || (step - 1) || '_no_evidence' as u from st left join wh on st.kind = wh.kind and st.query = wh.query where wh.n is null
+ union all select distinct task, unnest(['plan_step_' || (step - 1) || '_limited', case when (select count(*) from ca where ca.kind = st.kind and ca.query = st.query) > {PLANNED.files} then 'file_limit' else 'match_limit' end]) from st join wh on st.kind = wh.kind and st.query = wh.query where n > {PLANNED.matches}
+ union all select distinct st.task, unnest(['plan_step_' || (step - 1) || '_nominated_limited', 'match_limit']) from st join ne2 on st.kind = ne2.kind and st.query = ne2.query join nom on nom.task = st.task and nom.path = ne2.path where n > {PLANNED.matches})"""
+
+
+def context_sql() -> str:
+    from brindle.plans.codegraphs import ORACLES as GRAPH
+
+    return CONTEXT_SQL.replace("{declarations}", GRAPH["structural_declarations"])
+
+
+ORACLES["planned_context"] = context_sql() + f" select n_nationkey as task, 'built' as status, least(count(pos), {PLANNED.evidence_items})::bigint as items, greatest(count(pos) - {PLANNED.evidence_items}, 0)::bigint as omitted, coalesce((select string_agg(distinct u, ',' order by u) from un where un.task = n_nationkey), '') as unknowns from nation left join f2 on task = n_nationkey group by n_nationkey"
+ORACLES["planned_evidence"] = context_sql() + f" select task, pos as place, path, start::bigint as start, stop::bigint as \"end\", a::bigint as excerpt_start, z::bigint as excerpt_end, cut, case kind when 'literal' then 'literal_search' when 'lexical' then 'lexical_search' else 'filename_search' end as method from f2 where pos <= {PLANNED.evidence_items}"
+
+SEEDED = f"""with z as ({ORACLES['seed_selection']}), s as (select task, place, path, name, try_cast(regexp_extract(path, 'm([0-9]+)[.]py', 1) as bigint) as g from z),
+e as (select task, 0 as part, place, path, unnest(case when name like 'Model%' then [struct_pack(o := 1, k := 'contains', a := name, b := 'load_' || (g % 7)), struct_pack(o := 2, k := 'contains', a := name, b := 'save')]
+  when name like 'load%' then [struct_pack(o := 1, k := 'calls', a := 'total', b := 'helper_' || (g % 11))] else [struct_pack(o := 1, k := 'contains', a := name, b := 'inner'), struct_pack(o := 2, k := 'calls', a := name, b := 'inner')] end) as x from s
+ union all select task, 1, place, path, struct_pack(o := 1, k := 'declares', a := path, b := 'Model' || g) from s where name like 'load%'),
+f as (select task, path, x.k as kind, x.a as source, x.b as target, min(part * 1000000 + place * 1000 + x.o) as o from e group by all)"""
+ORACLES["seeded_query"] = SEEDED + " select task, row_number() over (partition by task order by o) as place, kind, path, source, target from f"
+ORACLES["seeded_bound"] = SEEDED + " select task, true as is_prefix, true as fits, case when count(case when source = 'total' then 1 end) > 0 then 'local_variables_looked_through,' else '' end || 'structural_query_output_limit_reached,traversal_depth_limit_reached' as unknowns from f group by task"

@@ -71,7 +71,7 @@ def filename_search(spark, sf_dir):
 
 
 def literal_search(spark, sf_dir):
-    return search.bounded(search.literal(_art(spark, sf_dir), "thing "), 1000, 64)
+    return search.bounded(_art(spark, sf_dir), "thing ", 1000, 64)
 
 
 def literal_overlapping(spark, sf_dir):
@@ -127,17 +127,19 @@ def utf8_classification(spark, sf_dir):
 
 
 def response_bound(spark, sf_dir):
-    rows = search.bounded(search.literal(_art(spark, sf_dir), "thing "), 1000, 64)
+    rows = search.bounded(_art(spark, sf_dir), "thing ", 1000, 64)
     return search.byte_bound(rows, "rank", F.octet_length("path") + F.length("excerpt") + 1, 20_000).select("rank", "path", F.col("used").cast(LONG))
 
 
 def span_evidence(spark, sf_dir):
-    hits = search.literal(_art(spark, sf_dir), "thing ").withColumn("content_hash", content_hash(F.col("text")))
+    art = _art(spark, sf_dir)
+    hits = search.literal(art, "thing ").join(art.select("path", content_hash(F.col("text")).alias("content_hash")), "path")
     return search.evidence(hits, "snapshot").select("path", "start", "end", "evidence_id")
 
 
 def evidence_expansion(spark, sf_dir):
-    hits = search.expand(search.literal(_art(spark, sf_dir), "thing "), 100, 100, 150)
+    art = _art(spark, sf_dir)
+    hits = search.expand(search.literal(art, "thing "), 100, 100, 150).join(art.select("path", "text"), "path")
     return hits.select("path", "start", "from", "to", F.hex(byte_slice(F.col("text"), F.col("from"), F.col("to"))).alias("excerpt"))
 
 
