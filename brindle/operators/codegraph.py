@@ -6,6 +6,8 @@ does not resolve stays as an edge without a target, and is counted among the unk
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from brindle.sources.store import staged
 EDGE_KINDS = ("declares", "contains", "imports", "exports", "calls", "references")
 NODE_COLUMNS = ["node_id", "kind", "path", "name", "start_byte", "end_byte", "declaration_kind"]
 EDGE_COLUMNS = ["edge_id", "kind", "source_node", "target_node", "module", "resolution", "start_byte", "end_byte"]
+#: What tells a fact from all others of a workspace.
+FACT_OF = ["path", "local_key"]
 # Endings that name a module's file, and those tried in order for a module without one; package manifests.
 SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py")
 TRIED = (*SCRIPT_ENDINGS, "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs", "/__init__.py")
@@ -36,8 +40,9 @@ def edge_id(kind: Column, source: Column, target: Column, module: Column, resolu
 
 
 def _edges(rows: DataFrame, kind: str, source: Column, target: Column, module: Column, resolution: Column, snapshot: str) -> DataFrame:
-    out = rows.select(F.lit(kind).alias("kind"), source.alias("source_node"), target.alias("target_node"), module.cast("string").alias("module"), resolution.alias("resolution"), "start_byte", "end_byte")
-    return out.withColumn("edge_id", edge_id(*(F.col(c) for c in ("kind", "source_node", "target_node", "module", "resolution", "start_byte", "end_byte")), snapshot)).select(*EDGE_COLUMNS)
+    """Edges, with the fact (path, local_key) that each comes from."""
+    out = rows.select(*FACT_OF, F.lit(kind).alias("kind"), source.alias("source_node"), target.alias("target_node"), module.cast("string").alias("module"), resolution.alias("resolution"), "start_byte", "end_byte")
+    return out.withColumn("edge_id", edge_id(*(F.col(c) for c in ("kind", "source_node", "target_node", "module", "resolution", "start_byte", "end_byte")), snapshot)).select(*EDGE_COLUMNS, *FACT_OF)
 
 
 def file_nodes(facts: DataFrame, snapshot: str) -> DataFrame:
@@ -50,17 +55,16 @@ def symbol_nodes(facts: DataFrame, snapshot: str) -> DataFrame:
     return facts.filter("class = 'declaration'").select(symbol_id(F.col("path"), F.col("local_key"), snapshot).alias("node_id"), F.lit("symbol").alias("kind"), "path", "name", "start_byte", "end_byte", declaration_kind(F.col("syntax_kind")).alias("declaration_kind"), "local_key")
 
 
-def declares_edges(symbols: DataFrame, snapshot: str) -> DataFrame:
+def _declares(symbols: DataFrame, snapshot: str) -> DataFrame:
     return _edges(symbols, "declares", file_id(F.col("path"), snapshot), F.col("node_id"), F.lit(None), F.lit("confirmed"), snapshot)
 
 
-def contains_edges(facts: DataFrame, symbols: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, unknowns): both ends are declarations of the file, found by key."""
+def _contains(facts: DataFrame, symbols: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
     inner = facts.filter("class = 'contains'").withColumn("inner_key", F.expr("substr(local_key, length(concat('contains:', parent_key, ':')) + 1)"))
     keys = symbols.select("path", F.col("local_key").alias("k"), F.col("node_id").alias("n"))
     found = inner.join(keys.toDF("path", "parent_key", "source"), ["path", "parent_key"], "left").join(keys.toDF("path", "inner_key", "target"), ["path", "inner_key"], "left")
     whole = F.col("source").isNotNull() & F.col("target").isNotNull()
-    return _edges(found.filter(whole), "contains", F.col("source"), F.col("target"), F.lit(None), F.lit("confirmed"), snapshot), found.filter(~whole).select(F.lit("unresolved_local_containment").alias("unknown"))
+    return _edges(found.filter(whole), "contains", F.col("source"), F.col("target"), F.lit(None), F.lit("confirmed"), snapshot), found.filter(~whole).select(*FACT_OF, F.lit("unresolved_local_containment").alias("unknown"))
 
 
 def module_base(path: Column, module: Column) -> Column:
@@ -89,15 +93,19 @@ def module_candidates(base: Column) -> Column:
     return F.when(base.isNotNull(), F.when(ended, F.array(base)).otherwise(F.array(*(F.concat(base, F.lit(e)) for e in TRIED))))
 
 
-def import_edges(facts: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, unknowns): a relative module resolves to the first of its candidates that is a file."""
+def module_tries(facts: DataFrame) -> DataFrame:
+    """(path, local_key, place, candidate): the files that each import may mean, in order."""
     imports = facts.filter("class = 'import'").withColumn("tried", module_candidates(module_base(F.col("path"), F.col("module"))))
-    tries = imports.select("path", "local_key", F.posexplode("tried").alias("place", "candidate"))
-    files = facts.filter("class = 'file'").select(F.col("path").alias("candidate"), file_id(F.col("path"), snapshot).alias("target"))
+    return imports.select(*FACT_OF, F.posexplode("tried").alias("place", "candidate"))
+
+
+def _imports(facts: DataFrame, paths: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    imports, tries = facts.filter("class = 'import'"), module_tries(facts)
+    files = paths.select(F.col("path").alias("candidate"), file_id(F.col("path"), snapshot).alias("target"))
     first = tries.join(files, "candidate").groupBy("path", "local_key").agg(F.min(F.struct("place", "target"))["target"].alias("target"))
     found = imports.join(first, ["path", "local_key"], "left")
     resolution = F.when(F.col("target").isNotNull(), "confirmed").otherwise("unresolved")
-    return _edges(found, "imports", file_id(F.col("path"), snapshot), F.col("target"), F.col("module"), resolution, snapshot), found.filter("target is null").select(F.lit("unresolved_module_import").alias("unknown"))
+    return _edges(found, "imports", file_id(F.col("path"), snapshot), F.col("target"), F.col("module"), resolution, snapshot), found.filter("target is null").select(*FACT_OF, F.lit("unresolved_module_import").alias("unknown"))
 
 
 def _declared(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,20 +116,16 @@ def _declared(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     return local, scope
 
 
-def export_edges(facts: DataFrame, symbols: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+def _exports(facts: DataFrame, symbols: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
     local, _ = _declared(symbols)
     found = facts.filter("class = 'export'").join(local, ["path", "name"], "left")
     resolution = F.when(F.col("own").isNotNull(), "confirmed").otherwise("unresolved")
-    return _edges(found, "exports", file_id(F.col("path"), snapshot), F.col("own"), F.col("module"), resolution, snapshot), found.filter("own is null").select(F.lit("unresolved_export_target").alias("unknown"))
+    return _edges(found, "exports", file_id(F.col("path"), snapshot), F.col("own"), F.col("module"), resolution, snapshot), found.filter("own is null").select(*FACT_OF, F.lit("unresolved_export_target").alias("unknown"))
 
 
-def use_edges(facts: DataFrame, symbols: DataFrame, snapshot: str, fact: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, unknowns) of calls or references: the source is the enclosing declaration, or the file.
-
-    A call means the first declaration of that name in its file; a reference means one only if the file has no namesake.
-    Else it is the only declaration of the workspace.
-    """
-    local, scope = _declared(symbols)
+def _uses(facts: DataFrame, symbols: DataFrame, scoped: DataFrame, snapshot: str, fact: str) -> tuple[DataFrame, DataFrame]:
+    """symbols: those of the facts' files; scoped: those of the workspace, or of the names that the facts use."""
+    local, scope = _declared(symbols)[0], _declared(scoped)[1]
     kind, what = {"call": ("calls", "call"), "reference": ("references", "reference")}[fact]
     keys = symbols.select("path", F.col("local_key").alias("parent_key"), F.col("node_id").alias("encloser"))
     found = facts.filter(F.col("class") == fact).join(keys, ["path", "parent_key"], "left").join(local, ["path", "name"], "left").join(scope, "name", "left")
@@ -130,7 +134,72 @@ def use_edges(facts: DataFrame, symbols: DataFrame, snapshot: str, fact: str) ->
     resolution = F.when(target.isNotNull(), "heuristic").otherwise("unresolved")
     edges = _edges(found, kind, F.coalesce("encloser", file_id(F.col("path"), snapshot)), target, F.lit(None), resolution, snapshot)
     why = F.when(F.col("n_any") > 1, f"ambiguous_{what}_target").otherwise(f"unresolved_{what}_target")
-    return edges, found.filter(target.isNull()).select(why.alias("unknown"))
+    return edges, found.filter(target.isNull()).select(*FACT_OF, why.alias("unknown"))
+
+
+def _plain(found: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    return found[0].select(*EDGE_COLUMNS), found[1].select("unknown")
+
+
+def declares_edges(symbols: DataFrame, snapshot: str) -> DataFrame:
+    return _declares(symbols, snapshot).select(*EDGE_COLUMNS)
+
+
+def contains_edges(facts: DataFrame, symbols: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, unknowns): both ends are declarations of the file, found by key."""
+    return _plain(_contains(facts, symbols, snapshot))
+
+
+def import_edges(facts: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, unknowns): a relative module resolves to the first of its candidates that is a file."""
+    return _plain(_imports(facts, facts.filter("class = 'file'"), snapshot))
+
+
+def export_edges(facts: DataFrame, symbols: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, unknowns): an export means the first declaration of its name in its file."""
+    return _plain(_exports(facts, symbols, snapshot))
+
+
+def use_edges(facts: DataFrame, symbols: DataFrame, snapshot: str, fact: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, unknowns) of calls or references: the source is the enclosing declaration, or the file.
+
+    A call means the first declaration of that name in its file; a reference means one only if the file has no namesake.
+    Else it is the only declaration of the workspace.
+    """
+    return _plain(_uses(facts, symbols, symbols, snapshot, fact))
+
+
+@dataclass
+class Generation:
+    """A graph that can be updated: facts, nodes, edges with the fact each comes from, and notes (path, local_key, unknown)."""
+
+    facts: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    notes: DataFrame
+
+    @property
+    def unknowns(self) -> DataFrame:
+        return self.notes.select("unknown").distinct()
+
+
+def _resolved(facts: DataFrame, symbols: DataFrame, scoped: DataFrame, paths: DataFrame, own: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, notes) of facts; own: declarations among them."""
+    edges = _declares(own, snapshot)
+    notes = facts.filter("class = 'file' and syntax_errors").select(*FACT_OF, F.lit("syntax_recovery_present").alias("unknown"))
+    limited = facts.filter(F.expr("class = 'file' and array_contains(warnings, 'structural_resource_limit_reached')"))
+    notes = notes.unionByName(limited.select(*FACT_OF, F.lit("structural_resource_limit").alias("unknown")))
+    parts = (_contains(facts, symbols, snapshot), _imports(facts, paths, snapshot), _exports(facts, symbols, snapshot), _uses(facts, symbols, scoped, snapshot, "call"), _uses(facts, symbols, scoped, snapshot, "reference"))
+    for part, note in parts:
+        edges, notes = edges.unionByName(part), notes.unionByName(note)
+    return edges, notes
+
+
+def generation(facts: DataFrame, snapshot: str) -> Generation:
+    """The graph of the facts. facts is read several times: hand in a stored table. Paths must be distinct."""
+    symbols = symbol_nodes(facts, snapshot)
+    edges, notes = _resolved(facts, symbols, symbols, facts.filter("class = 'file'").select("path"), symbols, snapshot)
+    return Generation(facts, file_nodes(facts, snapshot).unionByName(symbols.select(*NODE_COLUMNS)), edges, notes)
 
 
 def build(facts: DataFrame, snapshot: str, noted: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -138,18 +207,11 @@ def build(facts: DataFrame, snapshot: str, noted: list[str] = ()) -> tuple[DataF
 
     facts is read several times: hand in a stored table.
     """
-    symbols = symbol_nodes(facts, snapshot)
-    nodes = file_nodes(facts, snapshot).unionByName(symbols.select(*NODE_COLUMNS))
-    edges = declares_edges(symbols, snapshot)
-    unknowns = facts.filter("class = 'file' and syntax_errors").select(F.lit("syntax_recovery_present").alias("unknown"))
-    limited = facts.filter(F.expr("class = 'file' and array_contains(warnings, 'structural_resource_limit_reached')")).select(F.lit("structural_resource_limit").alias("unknown"))
-    unknowns = unknowns.unionByName(limited)
-    for part, unknown in (contains_edges(facts, symbols, snapshot), import_edges(facts, snapshot), export_edges(facts, symbols, snapshot), use_edges(facts, symbols, snapshot, "call"), use_edges(facts, symbols, snapshot, "reference")):
-        edges = edges.unionByName(part)
-        unknowns = unknowns.unionByName(unknown)
+    found = generation(facts, snapshot)
+    unknowns = found.notes.select("unknown")
     if noted:
         unknowns = unknowns.unionByName(facts.sparkSession.createDataFrame([(x,) for x in noted], "unknown string"))
-    return nodes, edges, unknowns.distinct()
+    return found.nodes, found.edges.select(*EDGE_COLUMNS), unknowns.distinct()
 
 
 def identity(nodes: DataFrame, edges: DataFrame, unknowns: DataFrame, snapshot: str) -> DataFrame:
@@ -183,6 +245,47 @@ def updated_facts(prior: DataFrame, replaced: DataFrame, removed: DataFrame) ->
     return prior.join(gone, "path", "left_anti").unionByName(replaced)
 
 
+def update(prior: Generation, manifest: DataFrame, replaced: DataFrame, snapshot: str) -> tuple[Generation, DataFrame]:
+    """(generation, again): the graph of the files of manifest (path, content_hash), from the prior one and the facts of new files.
+
+    A file of the manifest must be among the replaced ones or have facts of the same content in the prior graph; else the update
+    raises, so what is carried over was read once from these bytes. Resolved again are only the facts of replaced files, uses
+    of a name that gained or lost a declaration, and imports that may mean a file that came or went: again (path, local_key,
+    class) of kept files. The prior tables must be stored ones.
+    """
+    fresh = staged(replaced, "replaced-facts")
+    file_of = lambda df: df.filter("class = 'file'").select("path", "content_hash")
+    known, now = file_of(prior.facts), file_of(fresh)
+    missed = manifest.select("path", "content_hash").join(now, ["path", "content_hash"], "left_anti").join(known, ["path", "content_hash"], "left_anti")
+    if not missed.isEmpty():
+        raise ValueError(f"no facts of {missed.first()['path']}: neither parsed again nor held for this content")
+    removed = known.select("path").join(manifest.select("path"), "path", "left_anti")
+    gone = staged(now.select("path").unionByName(removed).distinct(), "gone")
+    kept = prior.facts.join(gone, "path", "left_anti")
+    facts = staged(kept.unionByName(fresh), "updated-facts")
+    # names whose declarations differ
+    declared = lambda df: symbol_nodes(df, snapshot).filter("name is not null").select("name", "node_id")
+    before, after = declared(prior.facts.join(gone, "path", "left_semi")), declared(fresh)
+    names = staged(before.join(after, ["name", "node_id"], "left_anti").unionByName(after.join(before, ["name", "node_id"], "left_anti")).select("name").distinct(), "changed-names")
+    moved = now.select("path").join(known.select("path"), "path", "left_anti").unionByName(removed).select(F.col("path").alias("candidate"))
+    uses = kept.filter("class in ('call', 'reference')").join(names, "name", "left_semi").select(*FACT_OF, "class")
+    imports = module_tries(kept).join(moved, "candidate", "left_semi").select(*FACT_OF).distinct().select(*FACT_OF, F.lit("import").alias("class"))
+    again = staged(uses.unionByName(imports), "resolved-again")
+    subset = staged(kept.join(again.select(*FACT_OF), FACT_OF, "left_semi").unionByName(fresh), "facts-again")
+    symbols = symbol_nodes(facts, snapshot)
+    near = symbols.join(subset.select("path").distinct(), "path", "left_semi")
+    used = subset.filter("class in ('call', 'reference')").select("name").distinct()
+    edges, notes = _resolved(subset, near, symbols.join(used, "name", "left_semi"), facts.filter("class = 'file'").select("path"), symbol_nodes(fresh, snapshot), snapshot)
+    carried = lambda df: df.join(gone, "path", "left_anti").join(again.select(*FACT_OF), FACT_OF, "left_anti")
+    nodes = prior.nodes.join(gone, "path", "left_anti").unionByName(file_nodes(fresh, snapshot)).unionByName(symbol_nodes(fresh, snapshot).select(*NODE_COLUMNS))
+    return Generation(facts, nodes, carried(prior.edges).unionByName(edges), carried(prior.notes).unionByName(notes)), again
+
+
+def store_generation(found: Generation, name: str) -> Generation:
+    """The generation, written and read again."""
+    return Generation(*(staged(df, f"{name}-{part}") for part, df in (("facts", found.facts), ("nodes", found.nodes), ("edges", found.edges), ("notes", found.notes))))
+
+
 # queries
 
 

@@ -195,6 +195,26 @@ def graph_update(spark, sf_dir):
     return own.join(calls, "top", "left").select("top", "files", "symbols", F.coalesce("resolved_calls", F.lit(0)).alias("resolved_calls"))
 
 
+def graph_delta(spark, sf_dir):
+    """A module's function renamed, a module added, manifests removed: the update gives what a full build gives, and resolves few facts again."""
+    prepare(spark)
+    files = W.files(spark, sf_dir)
+    prior = G.store_generation(G.generation(staged(X.extract(files), "facts"), SNAPSHOT), "prior")
+    renamed = files.filter("path = 'pkg/c1/m1.py'").withColumn("content", F.replace(F.col("content").cast("string"), F.lit("def shared_1("), F.lit("def shared_x(")).cast("binary"))
+    added = spark.createDataFrame([("pkg/missing/m1.py", b"Model1 = 1\n")], "path string, content binary")
+    changed = renamed.unionByName(added)
+    after = files.filter("path not like 'area%' and path <> 'pkg/c1/m1.py'").unionByName(changed)
+    fresh = X.extract(changed)
+    found, again = G.update(prior, after.select("path", content_hash(F.col("content")).alias("content_hash")), fresh, SNAPSHOT)
+    found = G.store_generation(found, "updated")
+    whole = G.build(staged(X.extract(after), "facts"), SNAPSHOT)
+    ids = G.identity(found.nodes, found.edges, found.unknowns, SNAPSHOT).unionByName(G.identity(*whole, SNAPSHOT))
+    same = ids.agg((F.count_distinct("graph_id", "nodes", "edges") == 1).alias("same"))
+    counts = again.agg(F.count_if(F.col("class") == "call").alias("calls_again"), F.count_if(F.col("class") == "import").alias("imports_again"))
+    edges = found.edges.agg(F.count_if((F.col("kind") == "imports") & F.col("target_node").isNotNull()).alias("resolved_imports"))
+    return same.crossJoin(counts).crossJoin(edges)
+
+
 def function_locals(spark, sf_dir):
     nodes, edges, _ = _graph(spark, sf_dir)
     found = G.function_locals(nodes, edges)
@@ -295,7 +315,7 @@ def scoped_build(spark, sf_dir):
     return _ledger(X.build_loop(files, SCOPED_ALLOWANCE, files.filter(F.expr(IN_SCOPE)).select("path")))
 
 
-QUERIES = {f.__name__: f for f in (structure_build, scoped_build, language_routing, structural_declarations, structural_imports, structural_calls, fact_order, fact_ceiling, fact_shares, fact_grants, fact_response_bound, structure_scope, verified_read, cached_facts, fact_contract, file_nodes, declares_edges, contains_edges, import_resolution, module_resolution, call_targets, graph_unknowns, graph_identity, graph_validation, graph_update, function_locals, looked_through_calls, seed_family, bounded_traversal, traversal_unknowns, traversal_order, repository_overview, disclosure_items, disclosure_map)}
+QUERIES = {f.__name__: f for f in (structure_build, scoped_build, language_routing, structural_declarations, structural_imports, structural_calls, fact_order, fact_ceiling, fact_shares, fact_grants, fact_response_bound, structure_scope, verified_read, cached_facts, fact_contract, file_nodes, declares_edges, contains_edges, import_resolution, module_resolution, call_targets, graph_unknowns, graph_identity, graph_validation, graph_update, graph_delta, function_locals, looked_through_calls, seed_family, bounded_traversal, traversal_unknowns, traversal_order, repository_overview, disclosure_items, disclosure_map)}
 
 # Oracles: the pieces of each file are known, so spans are places of known texts.
 FILES = f"f as ({W.FILES_SQL})"
@@ -411,3 +431,4 @@ select path, demand, first, grant_ as grant, case when grant_ > first then 2 els
 
 ORACLES["structure_build"] = build_sql(X.SCOPED_FACTS, "true")
 ORACLES["scoped_build"] = build_sql(SCOPED_ALLOWANCE, IN_SCOPE)
+ORACLES["graph_delta"] = "select true as same, count(case when c_custkey % 17 = 1 and c_custkey <> 1 then 1 end) as calls_again, 1::bigint as imports_again, count(case when c_custkey % 10 not in (3, 4) then 1 end) + 1 + (select count(*) from supplier) as resolved_imports from customer"
