@@ -9,6 +9,8 @@ from brindle.operators import audit
 from brindle.operators import evaluation as V
 from brindle.session import prepare
 from brindle.sources.artifacts import documents_as_artifacts, table
+from brindle.sources.store import fresh_path
+from brindle.streaming import retention
 
 #: Events with one field broken by their type and number.
 EVENT = {
@@ -34,6 +36,27 @@ def audit_append(spark, sf_dir):
     return out.select("event_id", "event_type")
 
 
+RETENTION = ("20 days", 60, 1100)
+
+
+def _audited(spark, sf_dir):
+    prepare(spark)
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("w"), (F.col("user_id") % 12).cast("string")).alias("workspace"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.octet_length("props") + F.col("event_id") % 7).cast("long").alias("size"))
+
+
+def audit_stream(spark, sf_dir):
+    """What a stream of events keeps of each workspace in the end; files come in no order of time, so many events are late."""
+    source, folder = fresh_path(spark, "audit-events"), fresh_path(spark, "audit-stream")
+    _audited(spark, sf_dir).repartition(4, "event_id").write.parquet(source)
+    events = spark.readStream.schema(retention.COLUMNS).option("maxFilesPerTrigger", 2).parquet(source)
+    retention.start(events, folder, *RETENTION, partitions=4).awaitTermination()
+    return retention.current(spark, folder).select("workspace", "event_id")
+
+
+def audit_each(spark, sf_dir):
+    return retention.retained_each(_audited(spark, sf_dir), *RETENTION).select("workspace", "event_id")
+
+
 def audit_recent(spark, sf_dir):
     """The newest 500 events, with those marked whose payload cannot be read."""
     prepare(spark)
@@ -112,7 +135,7 @@ def corpus_evaluation(spark, sf_dir):
     return out.select("fixtures", *(F.round(c, 6).alias(c) for c in ("recall", "native_recall", "precision", "reduction")), "failures")
 
 
-QUERIES = {f.__name__: f for f in (audit_validation, audit_append, audit_recent, audit_purge, dashboard_aggregates, bounded_snapshot, patch_files, patch_changed_lines, recall_scores, recall_report, corpus_evaluation)}
+QUERIES = {f.__name__: f for f in (audit_stream, audit_each, audit_validation, audit_append, audit_recent, audit_purge, dashboard_aggregates, bounded_snapshot, patch_files, patch_changed_lines, recall_scores, recall_report, corpus_evaluation)}
 
 PATCHES = f"with p as (select *, {FILE} as file, p_size % 3 as m, p_size % 2 as e from part)"
 SCORES = PATCHES + """, s as (select p_partkey, case when p_size > 25 then 1 else 2 end as files, case when m in (0, 1) then 1 else 0 end as map_files, case when m = 1 then 1 else 0 end as via_target, case when e = 0 then 1 else 0 end as evidence_files,
@@ -134,3 +157,7 @@ k as (select count(*) as want, count(case when whole then 1 end) as hit, coalesc
 r as (select n as fixtures, case when want = 0 then 0 else hit / want end as recall, case when want = 0 then 0 else 1.0 end as native_recall, case when hit = 0 then 0 else 1.0 end as precision, 1 - shown / bytes as reduction from k, z)
 select fixtures, round(recall, 6) as recall, round(native_recall, 6) as native_recall, round(precision, 6) as precision, round(reduction, 6) as reduction, concat_ws(',', case when recall < 0.9 then 'recall' end, case when precision < 0.7 then 'precision' end, case when recall + 0.02 < native_recall then 'native' end, case when reduction < 0.3 then 'reduction' end) as failures from r""",
 }
+KEPT_EACH = """with e as (select 'w' || (user_id % 12) as workspace, event_id, ts, length(props) + event_id % 7 as size from events),
+r as (select *, row_number() over w as n, sum(size) over (w rows unbounded preceding) as used, max(ts) over (partition by workspace) as newest from e window w as (partition by workspace order by ts desc, event_id desc))
+select workspace, event_id from r where n <= 60 and used <= 1100 and ts >= newest - interval 20 days"""
+ORACLES["audit_stream"] = ORACLES["audit_each"] = KEPT_EACH
