@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions.text import byte_slice, content_hash, digest, is_identifier, is_path, term_set, terms
-from brindle.operators import search, signals
+from brindle.operators import lexindex, search, signals
 from brindle.session import prepare
 from brindle.sources import artifacts as A
-from brindle.sources.store import Store, fresh_path
+from brindle.sources.store import Store, fresh_path, staged
 
 LONG = "long"
 
@@ -110,10 +110,24 @@ def term_extraction(spark, sf_dir):
 
 def lexical_index(spark, sf_dir):
     """The index of a generation, written, made current and read again: searches over it give what a scan gives."""
-    art = _art(spark, sf_dir)
+    return lexindex.search(_index(spark, sf_dir), ["the", "thing"], 200).select("path", "dl", "score", "path_units")
+
+
+def _index(spark, sf_dir):
     store = Store(spark, fresh_path(spark, "store"), "corpus")
-    store.promote("sha256:" + "1" * 64, {"postings": search.index(art), "lengths": art.select("path", F.size(term_set(F.col("text"))).cast(LONG).alias("dl"))})
-    return search.bm25_indexed(store.read("postings"), ["the", "thing"], 200, store.read("lengths"))
+    store.promote("sha256:" + "1" * 64, lexindex.tables(_art(spark, sf_dir)), partitioned=lexindex.PARTITIONED)
+    return lexindex.Index.of(store.read)
+
+
+def indexed_search(spark, sf_dir):
+    """Occurrences of each term, as a substring, in the best candidates of the index."""
+    best = staged(lexindex.search(_index(spark, sf_dir), ["the", "thing"], 200).select("path"), "best")
+    found = [search.literal(_art(spark, sf_dir), t, fold=True, scope=best).select("path", F.lit(t).alias("term"), "start") for t in ("the", "thing")]
+    return found[0].unionByName(found[1]).groupBy("path", "term").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+
+
+def indexed_frequency(spark, sf_dir):
+    return lexindex.document_frequency(_index(spark, sf_dir), ["the", "thing"], F.contains("path", F.lit("/src1/")))
 
 
 #: Byte sequences, in hex, that are text and that are not: overlong, cut, surrogate and out of range among them.
@@ -188,7 +202,7 @@ m as (select doc_id, pos, 2 as role, tok from n union all select doc_id, pos, 0,
 c as (select *, case when role = 2 and {IS_PATH.format('tok')} then 'path' when {IS_NAME.format('tok')} then 'identifier' end as kind from m)
 select doc_id, kind, tok as signal, row_number() over (partition by doc_id, kind order by min(struct_pack(p := pos, r := role))) as ord from c where kind is not null group by doc_id, kind, tok qualify ord <= 16"""
 
-QUERIES = {f.__name__: f for f in (snapshot_artifacts, snapshot_skipped, snapshot_status, read_ledger, source_fingerprint, path_codec, structured_digest, exact_path, filename_search, literal_search, literal_overlapping, scoped_literal, folded_literal, lexical_candidates, lexical_search, document_frequency, term_extraction, lexical_index, utf8_classification, response_bound, span_evidence, evidence_expansion, task_quotes, task_signals, task_terms, task_query_bound, signal_predicates)}
+QUERIES = {f.__name__: f for f in (indexed_search, indexed_frequency, snapshot_artifacts, snapshot_skipped, snapshot_status, read_ledger, source_fingerprint, path_codec, structured_digest, exact_path, filename_search, literal_search, literal_overlapping, scoped_literal, folded_literal, lexical_candidates, lexical_search, document_frequency, term_extraction, lexical_index, utf8_classification, response_bound, span_evidence, evidence_expansion, task_quotes, task_signals, task_terms, task_query_bound, signal_predicates)}
 BM25 = W + f""", d as (select path, {DF_ALL} as terms from art), s as (select path, len(terms) as dl, list_contains(terms, 'the') as a, list_contains(terms, 'thing') as b from d),
 st as (select count(*) as n, avg(dl) as avgdl, count_if(a) as n0, count_if(b) as n1 from s),
 best as (select path, dl::bigint as dl, round(-(greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6)) * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 9) as score, {UNITS.format('path')} as path_units from s, st where a and b order by score, path_units limit 200)"""
@@ -227,3 +241,4 @@ u as (select doc_id, unnest(w) as w from t) select doc_id, string_agg(w, ' ' ord
     "task_query_bound": """with t as (select doc_id, encode(text) as b from documents), k as (select doc_id, b, case when octet_length(b) <= 4096 then octet_length(b) else list_filter([4096, 4095, 4094, 4093], lambda k: not (hex(array_slice(b, k + 1, k + 1)) between '80' and 'BF'))[1] end as n from t)
 select doc_id, n::bigint as bytes, sha256(array_slice(b, 1, n)) as hash from k""",
 }
+ORACLES["indexed_search"], ORACLES["indexed_frequency"] = ORACLES["lexical_search"], ORACLES["document_frequency"]

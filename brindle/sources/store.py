@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -106,16 +106,20 @@ class Store:
         known = self.pointers()
         return read_bytes(self.spark, f"{self.root}/current/{known[-1]}").decode() if known else None
 
-    def promote(self, snapshot: str, tables: dict[str, DataFrame], holder: str = "promote") -> None:
-        """Write the tables as a generation and make it current. Rows are counted again before the pointer moves."""
+    def promote(self, snapshot: str, tables: dict[str, DataFrame], holder: str = "promote", partitioned: dict[str, list[str]] | None = None) -> None:
+        """Write the tables as a generation and make it current. Rows are counted while they are written, and again as they lie there, before the pointer moves.
+
+        partitioned: the columns by which a table's files lie in folders.
+        """
         if not re.fullmatch(r"[A-Za-z0-9:_-]{1,128}", snapshot):
             raise ValueError("malformed snapshot id")
         self.lock(holder)
         try:
             folder = f"{self.root}/generations/{snapshot.replace(':', '_')}-{uuid.uuid4().hex}"
             for name, df in tables.items():
-                df.write.parquet(f"{folder}/{name}")
-                if self.spark.read.schema(df.schema).parquet(f"{folder}/{name}").count() != df.count():
+                seen = Observation()
+                df.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy(*(partitioned or {}).get(name, [])).parquet(f"{folder}/{name}")
+                if self.spark.read.schema(df.schema).parquet(f"{folder}/{name}").count() != seen.get["n"]:
                     raise RuntimeError(f"the table {name} changed while it was written")
             known = self.pointers()
             write_new(self.spark, f"{self.root}/current/{known[-1] + 1 if known else 1}", f"{snapshot}\n{folder}".encode())
@@ -146,10 +150,6 @@ class Store:
         return fs.delete(at, True)
 
 
-def append_facts(cache: str, fresh: DataFrame) -> None:
-    fresh.write.mode("append").parquet(cache)
-
-
 def export_handoff(spark: SparkSession, packet_json: str, folder: str, name: str) -> dict:
     """Write a packet's canonical bytes to a new file; a receipt with its size and hash. Never overwrites."""
     data = packet_json.encode()
