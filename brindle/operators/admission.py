@@ -334,5 +334,36 @@ def manifest_problems(manifests: DataFrame, key: str) -> DataFrame:
     return manifests.select(key, problem.alias("problem"))
 
 
+def result_problems(results: DataFrame, key: str) -> DataFrame:
+    """(key, problem) of analyzer results against their request and manifest, of one row: the first clause that does not hold.
+
+    Columns: request_id, snapshot, manifest_id, analyzer_id, executable, ruleset, capabilities, completed_at, statuses (array of
+    hash, status, bytes), findings, completeness, limitations, synthetic_only, safety_claimed, host_authorized, authority_added,
+    result_id; of the request: asked_id, asked_snapshot, asked_capabilities, artifacts (array of hash, bytes), occurred_at,
+    deadline_at; of the manifest: known_manifest, known_analyzer, known_executable, known_ruleset. Times are canonical texts, so
+    their order is that of the texts.
+    """
+    expected = F.transform("artifacts", lambda a: F.struct(a["hash"].alias("hash"), F.lit("synthetic_accounted").alias("status"), a["bytes"].alias("bytes")))
+    fields = (
+        ("request", (F.col("request_id") == F.col("asked_id")) & (F.col("snapshot") == F.col("asked_snapshot"))),
+        ("manifest", (F.col("manifest_id") == F.col("known_manifest")) & (F.col("analyzer_id") == F.col("known_analyzer")) & (F.col("executable") == F.col("known_executable")) & (F.col("ruleset") == F.col("known_ruleset"))),
+        ("capabilities", F.col("capabilities") == F.col("asked_capabilities")),
+        ("time", valid_timestamp(F.col("completed_at")) & F.col("completed_at").between(F.col("occurred_at"), F.col("deadline_at"))),
+        ("statuses", F.col("statuses") == expected),
+        ("findings", F.size("findings") == 0),
+        ("completeness", (F.col("completeness") == "complete") & (F.col("limitations") == F.array(F.lit("synthetic-worker-no-analysis")))),
+        ("authority", F.col("synthetic_only") & ~F.col("safety_claimed") & ~F.col("host_authorized") & ~F.col("authority_added")),
+        ("identity", F.col("result_id") == result_identity()),
+    )
+    problem = F.lit("valid")
+    for label, holds in reversed(fields):
+        problem = F.when(~F.coalesce(holds, F.lit(False)), label).otherwise(problem)
+    return results.select(key, problem.alias("problem"))
+
+
+def result_identity() -> Column:
+    return digest("analyzer-result", F.col("request_id"), F.col("snapshot"), F.col("manifest_id"), F.array_join("capabilities", ","), F.col("completed_at"), F.to_json("statuses"), F.col("completeness"))
+
+
 def manifest_identity() -> Column:
     return digest("analyzer-manifest", F.col("analyzer_id"), F.array_join("capabilities", ","), F.col("executable"), F.array_join("hosts", ","), F.col("publisher"), F.col("ruleset"), F.array_join("targets", ","), F.col("version"))

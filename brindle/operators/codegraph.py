@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import digest
 from brindle.operators.structure import declaration_kind
-from brindle.sources.store import staged
+from brindle.sources.store import Store, staged
 
 EDGE_KINDS = ("declares", "contains", "imports", "exports", "calls", "references")
 NODE_COLUMNS = ["node_id", "kind", "path", "name", "start_byte", "end_byte", "declaration_kind"]
@@ -286,6 +286,23 @@ def store_generation(found: Generation, name: str) -> Generation:
     return Generation(*(staged(df, f"{name}-{part}") for part, df in (("facts", found.facts), ("nodes", found.nodes), ("edges", found.edges), ("notes", found.notes))))
 
 
+def save(store: Store, snapshot: str, nodes: DataFrame, edges: DataFrame, unknowns: DataFrame) -> None:
+    """Make a graph the current generation of a store, with its identity."""
+    nodes, edges, unknowns = staged(nodes, "nodes"), staged(edges, "edges"), staged(unknowns, "unknowns")
+    store.promote(snapshot, {"nodes": nodes.select(*NODE_COLUMNS), "edges": edges.select(*EDGE_COLUMNS), "unknowns": unknowns, "identity": identity(nodes, edges, unknowns, snapshot)})
+
+
+def load(store: Store, snapshot: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, unknowns) of the store's graph of that snapshot; it raises where the rows do not make its identity again."""
+    nodes, edges, unknowns = (store.read(t, snapshot) for t in ("nodes", "edges", "unknowns"))
+    kept = store.read("identity", snapshot).first()
+    if kept is None or identity(nodes, edges, unknowns, snapshot).first() != kept:
+        raise ValueError("the graph's rows are not those that were stored")
+    if not violations(nodes, edges).isEmpty():
+        raise ValueError("the stored graph is malformed")
+    return nodes, edges, unknowns
+
+
 # queries
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.plans import analytics, assembly, codegraphs, hostlogs, metrics, planning, retrieval, security, structure
+from brindle.plans import analytics, assembly, codegraphs, contexts, hostlogs, metrics, planning, retrieval, security, structure
 
-PLANS: list = [retrieval, analytics, structure, hostlogs, codegraphs, planning, security, assembly, metrics]
+PLANS: list = [retrieval, analytics, structure, hostlogs, codegraphs, planning, security, assembly, metrics, contexts]
 
 
 def queries() -> dict:
