@@ -43,7 +43,7 @@ def declared_paths(parts: dict[str, DataFrame], key: str) -> DataFrame:
 def profiled(tasks: DataFrame, key: str, text: str, profile: str, files: DataFrame, nominated: DataFrame, declarations: DataFrame, snapshot: str, budget: E.Budget, created: str, most_literal: int, rated: DataFrame | None = None, seeded: tuple[DataFrame, DataFrame, DataFrame] | None = None, seed_reasons: DataFrame | None = None, declared: DataFrame | None = None, orientation: DataFrame | None = None) -> Profiled:
     """Each task's plan by its profile and the context it leads to.
 
-    rated: rarity of needles. seeded: (nodes, edges, unknowns) of `codegraph.seeded`, with seed_reasons (key, reason) of each
+    rated: rarity of needles. seeded: the graph's nodes, and edges and unknowns of `codegraph.seeded`, with seed_reasons (key, reason) of each
     task's first seed: the spans of its edges follow the retrieved evidence. declared (key, evidence_class, path): verified
     inputs, which lead it, each file once, by path. orientation: the rows of a repository map, the same for all tasks.
     """

@@ -96,12 +96,6 @@ def postings(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("path", F.explode(terms(F.col("text"))).alias("term"))
 
 
-def index(artifacts: DataFrame) -> DataFrame:
-    """(path, term, dl): the lexical index, postings with each file's number of distinct terms. Write it to search it often."""
-    found = artifacts.select("path", terms(F.col("text")).alias("t"))
-    return found.select("path", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-
-
 def _ranked(docs: DataFrame, n_terms: int, most: int) -> DataFrame:
     """docs (path, dl, t0, t1, ...): how long each file is and which query terms it holds."""
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(f"t{i}").alias(f"n{i}") for i in range(n_terms)))
@@ -123,13 +117,6 @@ def bm25(artifacts: DataFrame, query: list[str], most: int) -> DataFrame:
     return _ranked(staged(found, "term-flags"), len(query), most)
 
 
-def bm25_indexed(postings_: DataFrame, query: list[str], most: int, lengths: DataFrame) -> DataFrame:
-    """`bm25` over a written index: only the rows of the query's terms are read, and the files' lengths (path, dl)."""
-    hits = postings_.filter(F.col("term").isin(*query)).groupBy("path").agg(*(F.max(F.col("term") == t).alias(f"t{i}") for i, t in enumerate(query)))
-    flags = lengths.join(hits, "path", "left").select("path", "dl", *(F.coalesce(f"t{i}", F.lit(False)).alias(f"t{i}") for i in range(len(query))))
-    return _ranked(flags, len(query), most)
-
-
 def document_frequency(artifacts: DataFrame, query: list[str], within: F.Column) -> DataFrame:
     """How many artifacts hold all terms, in all and in scope."""
     flags = artifacts.select(term_set(F.col("text")).alias("terms"), within.alias("within")).select("within", *(F.array_contains("terms", t).alias(f"t{i}") for i, t in enumerate(query)))

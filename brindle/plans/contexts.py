@@ -47,9 +47,9 @@ def profiled_context(spark, sf_dir):
     reason = F.element_at(F.array(*map(F.lit, G.SEED_REASONS)), F.col("rank") + 1)
     # tasks of odd numbers have no seed
     seeds = admitted.filter("task % 2 = 0")
-    seeded = G.seeded(nodes, edges, seeds, "task", P.SEEDED_KINDS, locals_=locals_)
+    _, around, unknowns = G.seeded(nodes, edges, seeds, "task", P.SEEDED_KINDS, locals_=locals_)
     declared = R.declared_paths({"change_set": tasks.filter("profile = 'change_review'").select("task", F.concat(F.lit("web/s"), (F.col("task") % 10).cast("string"), F.lit(".ts")).alias("path"), F.when(F.col("task") == 3, "stale").otherwise("verified").alias("status"))}, "task")
-    found = R.profiled(tasks, "task", "text", "profile", text, nominated, declarations, SNAPSHOT, P.PLANNED, "2024-01-01T00:00:00Z", P.MOST_LITERAL, seeded=seeded, seed_reasons=seeds.filter("place = 1").select("task", reason.alias("reason")), declared=declared)
+    found = R.profiled(tasks, "task", "text", "profile", text, nominated, declarations, SNAPSHOT, P.PLANNED, "2024-01-01T00:00:00Z", P.MOST_LITERAL, seeded=(nodes, around, unknowns), seed_reasons=seeds.filter("place = 1").select("task", reason.alias("reason")), declared=declared)
     listed = lambda df, c, out: df.groupBy("task").agg(F.array_join(F.array_sort(F.collect_list(c)), ",").alias(out))
     covered = listed(found.coverage.filter("status = 'available'"), F.col("evidence_class"), "available")
     why = listed(found.coverage.filter("evidence_class = 'structural_relationship'"), F.col("reason"), "structure")

@@ -294,3 +294,8 @@ e as (select task, 0 as part, place, path, unnest(case when name like 'Model%' t
 f as (select task, path, x.k as kind, x.a as source, x.b as target, min(part * 1000000 + place * 1000 + x.o) as o from e group by all)"""
 ORACLES["seeded_query"] = SEEDED + " select task, row_number() over (partition by task order by o) as place, kind, path, source, target from f"
 ORACLES["seeded_bound"] = SEEDED + " select task, true as is_prefix, true as fits, case when count(case when source = 'total' then 1 end) > 0 then 'local_variables_looked_through,' else '' end || 'structural_query_output_limit_reached,traversal_depth_limit_reached' as unknowns from f group by task"
+ORACLES["rated_plan_steps"] = f"""{STEPS}, fu as (select path, list_distinct({TERMS_OF.format('content')}) as terms from ({W.FILES_SQL})),
+n as (select s.task, case when reason like '%quoted%' then 0 when reason like '%path' then 1 when reason like '%identifier' then 2 else 3 end as source, s.step as ord, kind, query, reason, {MODULE} as named, list_distinct({TERMS_OF.format('query')}) as words from s join (select task as tt, c from t) on tt = s.task where reason like 'task_signal%'),
+h as (select n.task, n.source, n.ord, n.kind, n.reason, count(fu.path) as files, coalesce(bool_or(fu.path = named), false) and kind <> 'filename' as reaches from n left join fu on list_has_all(terms, words) group by n.task, n.source, n.ord, n.kind, n.reason),
+o as (select task, reason, row_number() over (partition by task order by part, files, source, ord) as step from (select task, 0 as part, 0 as files, 0 as source, 0 as ord, reason from f union all select task, case when reaches then 1 else 2 end, case when reaches then files else 0 end, source, ord, reason from h))
+select task, min(step) as first_identifier from o where reason = 'task_signal_code_identifier' and step <= 8 group by task"""

@@ -95,10 +95,6 @@ def source_fingerprint(files: DataFrame) -> DataFrame:
     return buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", "h"))), "\n"), 256).alias("fingerprint"), (F.sum("n") == F.sum("d")).alias("compatible"))
 
 
-def duplicate_paths(files: DataFrame) -> DataFrame:
-    return files.withColumn("n", F.count("*").over(Window.partitionBy("path"))).filter("n > 1").drop("n")
-
-
 def is_safe(path: Column) -> Column:
     """Whether a path is relative and stays below its root: no empty, `.` or `..` step and no NUL."""
     return ~path.rlike(r"^/|^$|(^|/)\.{0,2}(/|$)|\x00")
