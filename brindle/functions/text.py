@@ -27,9 +27,9 @@ def byte_offsets(text: Column, needle: str, most: int = MOST_PLACES) -> Column:
     none = F.array().cast("array<int>")
     parts = F.split(text, before, most + 1)
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    # a part is an occurrence if the needle opens it: all are but the first one, which may be
-    opens = lambda p: F.startswith(p, F.lit(needle))
-    step = lambda a, p: F.struct((a["at"] + F.octet_length(p)).alias("at"), F.when(opens(p), F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"]).alias("out"))
+    # every part begins with an occurrence, which may reach into the next one, but the first part, which may
+    opens = lambda a: (a["at"] > 0) | F.startswith(text, F.lit(needle))
+    step = lambda a, p: F.struct((a["at"] + F.octet_length(p)).alias("at"), F.when(opens(a), F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"]).alias("out"))
     found = F.aggregate(parts, start, step, lambda a: a["out"])
     return F.when(F.contains(text, F.lit(needle)), F.slice(found, 1, most)).otherwise(none)
 
