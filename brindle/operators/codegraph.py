@@ -197,7 +197,8 @@ def _resolved(facts: DataFrame, symbols: DataFrame, scoped: DataFrame, paths: Da
 
 def generation(facts: DataFrame, snapshot: str) -> Generation:
     """The graph of the facts. facts is read several times: hand in a stored table. Paths must be distinct."""
-    symbols = symbol_nodes(facts, snapshot)
+    # read by each builder: ids are worked out once
+    symbols = staged(symbol_nodes(facts, snapshot), "symbols")
     edges, notes = _resolved(facts, symbols, symbols, facts.filter("class = 'file'").select("path"), symbols, snapshot)
     return Generation(facts, file_nodes(facts, snapshot).unionByName(symbols.select(*NODE_COLUMNS)), edges, notes)
 
@@ -272,7 +273,7 @@ def update(prior: Generation, manifest: DataFrame, replaced: DataFrame, snapshot
     imports = module_tries(kept).join(moved, "candidate", "left_semi").select(*FACT_OF).distinct().select(*FACT_OF, F.lit("import").alias("class"))
     again = staged(uses.unionByName(imports), "resolved-again")
     subset = staged(kept.join(again.select(*FACT_OF), FACT_OF, "left_semi").unionByName(fresh), "facts-again")
-    symbols = symbol_nodes(facts, snapshot)
+    symbols = staged(symbol_nodes(facts, snapshot), "symbols")
     near = symbols.join(subset.select("path").distinct(), "path", "left_semi")
     used = subset.filter("class in ('call', 'reference')").select("name").distinct()
     edges, notes = _resolved(subset, near, symbols.join(used, "name", "left_semi"), facts.filter("class = 'file'").select("path"), symbol_nodes(fresh, snapshot), snapshot)

@@ -37,7 +37,7 @@ def language_routing(spark, sf_dir):
 
 
 def structural_declarations(spark, sf_dir):
-    found = _facts(spark, sf_dir).filter("class = 'declaration'")
+    found = staged(_facts(spark, sf_dir).filter("class = 'declaration'"), "declarations")
     outer = found.select("path", F.col("local_key").alias("parent_key"), F.col("name").alias("within"))
     return found.join(outer, ["path", "parent_key"], "left").select("path", "name", declaration_kind(F.col("syntax_kind")).alias("kind"), "start_byte", "end_byte", "within")
 
