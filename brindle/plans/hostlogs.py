@@ -15,44 +15,44 @@ NO_ZERO = "case when floor(value) = 0 then 'quiet' else 'failure' end"
 
 #: Shapes of log lines: text with fields of an event, what it reports, whether it is a verdict, and its clean text if that differs.
 SHAPES = [
-    ("test tests::case_{v} ... ok", "quiet", False),
-    ("test tests::handles_errors_{v} ... ok", "quiet", False),
-    ("test tests::parses_{v} ... FAILED", "failure", False),
-    ("error[E0{v}]: mismatched types", "failure", False),
-    ("  --> src/f{v}.rs:{v}:5", "location", False),
-    ("thread 'main' panicked at src/lib.rs:{v}:9:", "failure", False),
-    ("  left: {v}", "failure", False),
-    ("=== {v} failed, 13 passed in 2.92s ===", NO_ZERO, True),
-    ("test result: ok. 8 passed; 0 failed; 0 ignored", "quiet", True),
-    ("Found 0 errors. Watching for file changes.", "quiet", True),
-    ("gcc -Wno-error=format-security -c src/wcs{v}.c", "quiet", False),
-    ("DeprecationWarning: old call {v}", "warning", False),
-    ("warning: unused variable `value_{v}`", "warning", False),
-    ("listening on 127.0.0.1:8080", "quiet", False),
-    ("started at 12:34:{v}", "quiet", False),
-    ("consumer{v}.ts(4,3): note TS2322", "location", False),
-    ('  File "/testbed/db/base.py", line {v}, in _save', "location", False),
-    ("Ran {v} tests in 0.002s", "quiet", True),
-    ("OK", "quiet", True),
-    ("ok  \texample.com/ledger\t0.2s", "quiet", True),
-    ("FAIL\texample.com/ledger\t0.3s", "failure", True),
-    ("ok {v} - rejects a failed login", "quiet", False),
-    ("not ok {v} - divides evenly", "failure", False),
-    ("    ✕ divides evenly ({v} ms)", "failure", False),
-    ("✖ {v} problems (3 errors, 36 warnings)", "failure", True),
-    ("2026-09-12T23:43:18.{v}Z thread 'x' panicked at a.rs:9:9", "failure", False),
-    ("2026-09-12T23:43:20.9887139Z Terminate orphan process: pid ({e})", "quiet", False),
-    ("plain text of run {v}", "quiet", False),
-    ("no errors found in {v} files", "quiet", False),
-    ("Error: no such file or directory", "failure", False),
-    ("models.py:{v}: error: bad type", NO_ZERO.replace("quiet", "location"), False),
-    ("\x1b[31merror\x1b[0m: \x1b]0;title\x07 done {v}", "failure", False, "error:  done {v}"),
-    ("\x1b]0;title not closed error: boom {v}", "failure", False, "]0;title not closed error: boom {v}"),
-    ("django.db.utils.IntegrityError: UNIQUE constraint failed", "failure", False),
-    ("see docs/errors.rst for {v} details", "quiet", False),
-    ("E       assert {v} == 2", "failure", False),
-    ("exit code 0 errors 0", "quiet", True),
-    ("# fail {v}", NO_ZERO, True),
+    ("step compile_{v} ... ok", "quiet", False),
+    ("step retry_on_errors_{v} ... ok", "quiet", False),
+    ("step link_{v} ... FAILED", "failure", False),
+    ("loader: fatal clash in module {v}", "failure", False),
+    ("   at queue/worker_{v}.go:{v}", "location", False),
+    ("lane stack exception at pool/lane.go:{v}", "failure", False),
+    ("  right: {v}", "failure", False),
+    ("~~~ {v} failed, 4 passed, 1 left ~~~", NO_ZERO, True),
+    ("Tests: 21 passed, 0 failed, 21 in all", "quiet", True),
+    ("lint of the tree: 0 problems, 0 warnings", "quiet", True),
+    ("rustc -Dwarnings -Cpanic=abort src/part{v}.rs", "quiet", False),
+    ("ResourceWarning: handle {v} left open", "warning", False),
+    ("warning: shadowed name `slot_{v}`", "warning", False),
+    ("bound to port 9000 of lane {v}", "quiet", False),
+    ("woke at 06:15:{v}", "quiet", False),
+    ("layout{v}.css(8,2): hint L12", "location", False),
+    ('  File "/opt/app/jobs/sync.py", line {v}, in pull', "location", False),
+    ("Ran all {v} test cases in 3.1s", "quiet", True),
+    ("PASS", "quiet", True),
+    ("ok \tcorp.test/billing\t1.9s", "quiet", True),
+    ("FAIL\tcorp.test/billing\t2.4s", "failure", True),
+    ("ok {v} - recovers from a failed write", "quiet", False),
+    ("not ok {v} - keeps the order", "failure", False),
+    ("    ✗ sorts by name ({v} ms)", "failure", False),
+    ("● {v} problems: 5 errors, 7 warnings", "failure", True),
+    ("2025-01-05T04:03:02.{v}Z lane q aborted at b.zig:4:1", "failure", False),
+    ("2025-01-05T04:03:09.5Z closing idle lane ({e})", "quiet", False),
+    ("copied block {v} of the set", "quiet", False),
+    ("without failures over {v} rounds", "quiet", False),
+    ("fatal: the ledger is not there", "failure", False),
+    ("schema.sql:{v}: error: unknown column", NO_ZERO.replace("quiet", "location"), False),
+    ("\x1b[1;35mpanic\x1b[0m: \x1b]2;pane\x07 lane {v}", "failure", False, "panic:  lane {v}"),
+    ("\x1b]2;pane left open exception: halt {v}", "failure", False, "]2;pane left open exception: halt {v}"),
+    ("store.client.LeaseError: lease {v} is over", "failure", False),
+    ("read notes/failures.md for {v} hints", "quiet", False),
+    ("E   value {v} is not 9", "failure", False),
+    ("sum: 0 failures 0", "quiet", True),
+    ("ℹ fail {v}", NO_ZERO, True),
 ]
 
 
