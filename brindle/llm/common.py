@@ -128,21 +128,28 @@ def join_by_class(rows: DataFrame, classes: DataFrame, key: str, size_col: str,
     return one.unionByName(rest)
 
 
+def edges_mark(edges: DataFrame) -> tuple:
+    """Number of edges (u, v) and the sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): staged rows (node, component), component the smallest node reachable.
 
     Alternating large-star and small-star rounds, each staged; ends when a round leaves the edges as they were, and raises
     where that takes more than most_rounds. Every node of edges has a row. A star's centre is found by a map-side-combined
-    minimum and given back to a hub's edges by broadcast, so hubs do not skew.
+    minimum and given back to a hub's edges by broadcast, so hubs do not skew; up to BROADCAST_ROWS edges are one small
+    shuffle even where all are one hub's.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     first = now = stage(both, f"{name}-edges")
-    mark = None
+    mark = edges_mark(now)
     for _ in range(most_rounds):
         # large star: neighbours larger than u point to the smallest of u and its neighbours
         nb = now.select("u", "v").union(now.select(F.col("v"), F.col("u"))).toDF("u", "v").filter("u <> v")
         least = nb.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
-        large = join_by_class(nb, least, "u", "degree", 2 * now.count()).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        given = nb.join(least, "u") if mark[0] <= BROADCAST_ROWS else join_by_class(nb, least, "u", "degree", 2 * mark[0])
+        large = given.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         # small star: u and its smaller neighbours point to the smallest of them
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -150,10 +157,9 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         before, now = now, stage(small.filter("u <> v").distinct(), f"{name}-round")
         if before is not first:
             discard(before)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        was, mark = mark, edges_mark(now)
+        if was == mark:
             break
-        mark = tuple(seen)
     else:
         raise RuntimeError(f"components of {name} are not settled after {most_rounds} rounds")
     nodes = first.select("u").union(first.select("v")).toDF("node").distinct()
