@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators import multisearch
 from brindle.operators.logs import lines, trimmed
 
 #: Openings of a heading that names a declaration.
@@ -87,6 +88,20 @@ def summary(scores: DataFrame) -> DataFrame:
     return sums.select("cases", "files", "symbols", "changed_lines", "delivered_bytes", percent(F.col("map_files"), F.col("files")).alias("map_file_percent"), percent(F.col("map_symbols"), F.col("symbols")).alias("map_symbol_percent"), percent(F.col("evidence_files"), F.col("files")).alias("evidence_file_percent"), percent(F.col("changed_in_evidence"), F.col("changed_lines")).alias("changed_line_percent"))
 
 
+def holding(files: DataFrame, needles: DataFrame, key: str, slice_bytes: int = multisearch.SLICE_BYTES) -> DataFrame:
+    """(key, path) of the files (path, text) that hold a needle (key, needle), found by one automaton of all needles.
+
+    The needles are fixtures: they pass the driver, each text once, and go to the tasks slice_bytes at a time. Empty and null
+    needles are in no file. Paths must be distinct.
+    """
+    some = needles.filter(F.octet_length("needle") > 0)
+    distinct = [r["needle"] for r in some.select("needle").distinct().toLocalIterator()]
+    numbers = needles.sparkSession.createDataFrame(list(enumerate(distinct)), "number long, text string")
+    _, hits = multisearch.scan(files, [(k, multisearch.TEXT, needle.encode()) for k, needle in enumerate(distinct)], 1, slice_bytes)
+    numbered = some.join(numbers, some["needle"] == numbers["text"]).select(key, "number")
+    return numbered.join(hits.select(F.col("needle").alias("number"), "path"), "number").select(key, "path")
+
+
 def corpus_rates(fixtures: DataFrame, wanted: DataFrame, found: DataFrame, native: DataFrame, key: str) -> DataFrame:
     """One row: recall, precision and reduction over all fixtures, of the search and of a plain one, and the gates that fail.
 

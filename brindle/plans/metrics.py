@@ -121,21 +121,39 @@ def recall_report(spark, sf_dir):
     return V.summary(V.score(_patches(spark, sf_dir), _delivered(spark, sf_dir), "p_partkey", "patch", "delivered")).drop("delivered_bytes")
 
 
-def corpus_evaluation(spark, sf_dir):
-    """Benchmark items as fixtures: each wants the documents that hold its first 40 characters; the search is literal over whole items."""
+def _corpus(spark, sf_dir, wanted, found, native, shown):
+    """Rates of benchmark items over the documents: what is wanted, found and found plainly are the files that hold those parts of an item."""
+    prepare(spark)
     art = documents_as_artifacts(spark, sf_dir).select("path", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 40).alias("opening"))
-    pairs = art.join(F.broadcast(items), F.contains("text", F.col("opening")))
-    wanted = pairs.select("item_id", "path")
-    found = pairs.filter(F.contains("text", F.col("item"))).select("item_id", "path")
-    sizes = found.groupBy("item_id").agg(F.count("*").alias("n"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    parts = {part: F.expr(part) for part in (wanted, found, native)}
+    asked = items.select("item_id", F.explode(F.array(*(F.struct(F.lit(part).alias("part"), c.alias("needle")) for part, c in parts.items())))).select("item_id", "col.*")
+    # an item and which part of it: one search for all
+    held = V.holding(art, asked.select(F.struct("item_id", "part").alias("which"), "needle"), "which")
+    paths = lambda part: held.filter(F.col("which.part") == part).select("which.item_id", "path")
+    sizes = paths(found).groupBy("item_id").agg(F.count("*").alias("n"))
     total = art.agg(F.sum(F.octet_length("text")).alias("bytes"))
-    fixtures = items.join(sizes, "item_id", "left").crossJoin(F.broadcast(total)).select("item_id", "bytes", (F.coalesce("n", F.lit(0)) * F.octet_length("item")).alias("excerpt_bytes"))
-    out = V.corpus_rates(fixtures, wanted, found, wanted, "item_id")
+    fixtures = items.join(sizes, "item_id", "left").crossJoin(F.broadcast(total)).select("item_id", "bytes", (F.coalesce("n", F.lit(0)) * F.octet_length(F.expr(shown))).alias("excerpt_bytes"))
+    out = V.corpus_rates(fixtures, paths(wanted), paths(found), paths(native), "item_id")
     return out.select("fixtures", *(F.round(c, 6).alias(c) for c in ("recall", "native_recall", "precision", "reduction")), "failures")
 
 
-QUERIES = {f.__name__: f for f in (audit_stream, audit_each, audit_validation, audit_append, audit_recent, audit_purge, dashboard_aggregates, bounded_snapshot, patch_files, patch_changed_lines, recall_scores, recall_report, corpus_evaluation)}
+OPENING = "substring(text, 1, 40)"
+#: Two parts of an item, neither of which holds the other.
+FIRST, THIRD = "substring(text, 1, 8)", "substring(text, 3, 8)"
+
+
+def corpus_evaluation(spark, sf_dir):
+    """Benchmark items as fixtures: each wants the documents that hold its first 40 characters; the search is literal over whole items."""
+    return _corpus(spark, sf_dir, OPENING, "text", OPENING, "text")
+
+
+def corpus_openings(spark, sf_dir):
+    """Each item wants the documents that hold its characters 3 to 10; the search is for its first 8, the plain one for all of it."""
+    return _corpus(spark, sf_dir, THIRD, FIRST, "text", FIRST)
+
+
+QUERIES = {f.__name__: f for f in (audit_stream, audit_each, audit_validation, audit_append, audit_recent, audit_purge, dashboard_aggregates, bounded_snapshot, patch_files, patch_changed_lines, recall_scores, recall_report, corpus_evaluation, corpus_openings)}
 
 PATCHES = f"with p as (select *, {FILE} as file, p_size % 3 as m, p_size % 2 as e from part)"
 SCORES = PATCHES + """, s as (select p_partkey, case when p_size > 25 then 1 else 2 end as files, case when m in (0, 1) then 1 else 0 end as map_files, case when m = 1 then 1 else 0 end as via_target, case when e = 0 then 1 else 0 end as evidence_files,
@@ -157,6 +175,10 @@ k as (select count(*) as want, count(case when whole then 1 end) as hit, coalesc
 r as (select n as fixtures, case when want = 0 then 0 else hit / want end as recall, case when want = 0 then 0 else 1.0 end as native_recall, case when hit = 0 then 0 else 1.0 end as precision, 1 - shown / bytes as reduction from k, z)
 select fixtures, round(recall, 6) as recall, round(native_recall, 6) as native_recall, round(precision, 6) as precision, round(reduction, 6) as reduction, concat_ws(',', case when recall < 0.9 then 'recall' end, case when precision < 0.7 then 'precision' end, case when recall + 0.02 < native_recall then 'native' end, case when reduction < 0.3 then 'reduction' end) as failures from r""",
 }
+ORACLES["corpus_openings"] = """with p as (select item_id, doc_id, substr(b.text, 1, 8) as opening, contains(d.text, substr(b.text, 3, 8)) as w, contains(d.text, substr(b.text, 1, 8)) as f, contains(d.text, b.text) as n from benchmark b join documents d on contains(d.text, substr(b.text, 1, 8)) or contains(d.text, substr(b.text, 3, 8))),
+k as (select count(case when w then 1 end) as want, count(case when f then 1 end) as got, count(case when w and f then 1 end) as hit, count(case when w and n then 1 end) as plain, coalesce(sum(case when f then octet_length(encode(opening)) end), 0) as shown from p), z as (select (select sum(octet_length(encode(text))) from documents) * (select count(*) from benchmark) as bytes, (select count(*) from benchmark) as n),
+r as (select z.n as fixtures, case when want = 0 then 0 else hit / want end as recall, case when want = 0 then 0 else plain / want end as native_recall, case when got = 0 then 0 else hit / got end as precision, 1 - shown / bytes as reduction from k, z)
+select fixtures, round(recall, 6) as recall, round(native_recall, 6) as native_recall, round(precision, 6) as precision, round(reduction, 6) as reduction, concat_ws(',', case when recall < 0.9 then 'recall' end, case when precision < 0.7 then 'precision' end, case when recall + 0.02 < native_recall then 'native' end, case when reduction < 0.3 then 'reduction' end) as failures from r"""
 KEPT_EACH = """with e as (select 'w' || (user_id % 12) as workspace, event_id, ts, length(props) + event_id % 7 as size from events),
 r as (select *, row_number() over w as n, sum(size) over (w rows unbounded preceding) as used, max(ts) over (partition by workspace) as newest from e window w as (partition by workspace order by ts desc, event_id desc))
 select workspace, event_id from r where n <= 60 and used <= 1100 and ts >= newest - interval 20 days"""

@@ -11,7 +11,7 @@ from brindle.operators import codegraph as G
 from brindle.operators import context as C
 from brindle.operators import evidence as E
 from brindle.operators import facts as X
-from brindle.operators import lexindex, multisearch
+from brindle.operators import evaluation, lexindex, multisearch
 from brindle.operators import logs as L
 from brindle.operators import running as R
 from brindle.operators import search as S
@@ -483,3 +483,12 @@ def test_retention_through_a_restart(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, retention.current(spark, folder).select("workspace", "event_id").collect()))
     want = sorted(map(tuple, retention.retained_each(table, *limits).select("workspace", "event_id").collect()))
     assert got == want and len(got) > 10
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 4])
+def test_files_that_hold_needles(spark, slice_bytes):
+    files = spark.createDataFrame([("a", "one two two"), ("b", "two\nthree"), ("c", "")], "path string, text string")
+    needles = spark.createDataFrame([(1, "two"), (2, "three"), (3, "Two"), (4, ""), (5, None), (6, "two"), (7, "e t")], "k int, needle string")
+    found = {(r["k"], r["path"]) for r in evaluation.holding(files, needles, "k", slice_bytes).collect()}
+    assert found == {(1, "a"), (1, "b"), (2, "b"), (6, "a"), (6, "b"), (7, "a")}
+    assert evaluation.holding(files, needles.limit(0), "k").count() == 0
