@@ -288,6 +288,54 @@ def declared_evidence(paths: DataFrame, artifacts: DataFrame, most_bytes: int) -
     return files.select("path", F.substring(F.col("text").cast("binary"), 1, most_bytes).alias("excerpt"), F.octet_length("text").cast("long").alias("size"))
 
 
+#: Kinds of declarations in the order in which their evidence is taken, and what a change set says of a base it cannot prove.
+DECLARATIONS = ("change_set", "associated_tests", "convention_exemplars")
+UNPROVED_BASE, BASE_UNKNOWN = "unavailable_or_mismatched", "asserted_base_revision_unavailable_or_mismatched"
+
+
+def declared_entries(changes: DataFrame, pairs: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """(key, kind, path, content_hash) of what three declarations name, each path of a declaration once.
+
+    changes and items (key, path, content_hash); pairs (key, source, source_hash, test, test_hash). Of a path named with several
+    hashes the smallest stays.
+    """
+    ends = F.explode(F.array(F.struct(F.col("source").alias("path"), F.col("source_hash").alias("content_hash")), F.struct(F.col("test").alias("path"), F.col("test_hash").alias("content_hash"))))
+    tests = pairs.select(key, ends.alias("end")).select(key, "end.*")
+    every = None
+    for kind, rows in zip(DECLARATIONS, (changes, tests, items)):
+        some = rows.select(key, F.lit(kind).alias("kind"), "path", "content_hash")
+        every = some if every is None else every.unionByName(some)
+    return every.groupBy(key, "kind", "path").agg(F.min("content_hash").alias("content_hash"))
+
+
+def recovered_declarations(declared: DataFrame, entries: DataFrame, key: str, artifacts: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """(evidence, states) of verified declarations, recovered from the files as they are now.
+
+    declared (key, kind, workspace_snapshot, base_status), a row for each declaration; entries (key, kind, path, content_hash).
+    states: a row for each key: status (recovered or stale), reason of the first declaration or file that is not what was
+    verified (snapshot, source_unavailable, source_changed), unknown, entries. A key with anything stale has no evidence;
+    of the others each path is evidence once, as an exact read, of the first kind that names it. A null hash is a changed file.
+    """
+    order = lambda kind: F.array_position(F.array(*map(F.lit, DECLARATIONS)), kind)
+    now = artifacts.select("path", content_hash(F.col("text")).alias("have"))
+    read = entries.join(now, "path", "left").withColumn("path_units", path_units(F.col("path")))
+    wrong = F.when(F.col("have").isNull(), "source_unavailable").when(~F.col("have").eqNullSafe(F.col("content_hash")), "source_changed")
+    files = read.select(key, order(F.col("kind")).alias("o"), "path_units", wrong.alias("reason"), F.lit(None).cast("string").alias("unknown"), F.lit(1).alias("n"))
+    old = F.when(~F.col("workspace_snapshot").eqNullSafe(F.lit(snapshot)), "snapshot")
+    unproved = F.when((F.col("kind") == DECLARATIONS[0]) & (F.col("base_status") == UNPROVED_BASE), BASE_UNKNOWN)
+    # a declaration's snapshot is looked at before its files
+    heads = declared.select(key, order(F.col("kind")).alias("o"), F.lit("").alias("path_units"), old.alias("reason"), unproved.alias("unknown"), F.lit(0).alias("n"))
+    first = F.min(F.when(F.col("reason").isNotNull(), F.struct("o", "path_units", "reason")))["reason"]
+    found = heads.unionByName(files).groupBy(key).agg(first.alias("reason"), F.max("unknown").alias("unknown"), F.sum("n").alias("entries"))
+    states = found.select(key, F.when(F.col("reason").isNull(), "recovered").otherwise("stale").alias("status"), "reason", F.when(F.col("reason").isNull(), F.col("unknown")).alias("unknown"), "entries")
+    fresh = read.join(states.filter("status = 'recovered'").select(key), key, "left_semi")
+    once = fresh.groupBy(key, "path").agg(F.min(order(F.col("kind"))).alias("o"), F.first("have").alias("content_hash"), F.first("path_units").alias("path_units"))
+    zero = F.lit(0).cast("long")
+    identity = digest("evidence", F.col("content_hash"), F.lit("0"), F.col("path"), F.lit(snapshot), F.lit("0"))
+    evidence = once.select(key, F.element_at(F.array(*map(F.lit, DECLARATIONS)), F.col("o").cast("int")).alias("kind"), "path", "path_units", zero.alias("start"), zero.alias("end"), "content_hash", F.lit("exact_read").alias("method"), identity.alias("evidence_id"))
+    return evidence, states
+
+
 def structural_evidence(edges: DataFrame, nodes: DataFrame, artifacts: DataFrame, snapshot: str) -> DataFrame:
     """(evidence_id, path, start, end, excerpt) of the spans that edges were found at, each span once."""
     source = nodes.select(F.col("node_id").alias("source_node"), "path")

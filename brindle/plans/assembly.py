@@ -202,6 +202,34 @@ def declared_evidence(spark, sf_dir):
     return out.select("path", F.hex("excerpt").alias("excerpt"), "size")
 
 
+def _declarations_of_customers(spark, sf_dir):
+    """Orders of a customer as a change set, their line items as pairs of a file and its test, conversations as exemplars."""
+    prepare(spark)
+    art = documents_as_artifacts(spark, sf_dir).select("doc_id", "path", content_hash(F.col("text")).alias("h"))
+    of = lambda rows, c, name: rows.join(art.select(F.col("doc_id").alias(c), F.col("path").alias(f"{name}_path"), F.col("h").alias(f"{name}_hash")), c, "left").withColumn(f"{name}_path", F.coalesce(f"{name}_path", F.lit("gone")))
+    wrong = F.concat(F.lit("sha256:"), F.sha2(F.lit("x"), 256))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    changes = of(orders.withColumn("d", F.col("o_orderkey") % 1003), "d", "c").select("o_custkey", F.col("c_path").alias("path"), F.when(F.col("o_totalprice") > 480_000, wrong).otherwise(F.col("c_hash")).alias("content_hash"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 1000).alias("s"), (F.col("l_suppkey") % 1000).alias("t")).join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    pairs = of(of(lines, "s", "source"), "t", "test").select("o_custkey", F.col("source_path").alias("source"), "source_hash", F.col("test_path").alias("test"), "test_hash")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("o_custkey"), (F.col("conv_id") * 3 % 1000).cast("long").alias("e"))
+    items = of(turns, "e", "item").select("o_custkey", F.col("item_path").alias("path"), F.col("item_hash").alias("content_hash"))
+    entries = E.declared_entries(changes, pairs, items, "o_custkey")
+    k = F.col("o_custkey")
+    declared = entries.select("o_custkey", "kind").distinct().withColumns({"workspace_snapshot": F.when((k % 17 == 3) & (F.col("kind") == "associated_tests"), "older").otherwise(SNAPSHOT), "base_status": F.when(k % 5 == 0, E.UNPROVED_BASE).otherwise("not_asserted")})
+    return E.recovered_declarations(declared, entries, "o_custkey", _art(spark, sf_dir), SNAPSHOT)
+
+
+def recovered_declarations(spark, sf_dir):
+    """Evidence of the declarations of customers, each path once."""
+    return _declarations_of_customers(spark, sf_dir)[0].select("o_custkey", "kind", "path", "evidence_id")
+
+
+def declaration_states(spark, sf_dir):
+    """What became of the declarations of customers."""
+    return _declarations_of_customers(spark, sf_dir)[1]
+
+
 FALLBACKS = ["engine_unavailable", "unsupported_capability", "integrity_failure", "policy_denied", "stale_state", "resource_limit", "internal_failure"]
 
 
@@ -251,7 +279,7 @@ def repeat_read_notices(spark, sf_dir):
     return P.repeat_reads(reads, "user_id", "event_id", ["event_type"], 3)
 
 
-QUERIES = {f.__name__: f for f in (scoped_lexical, candidate_verification, candidate_limits, dispatched_search, evidence_records, evidence_contract, proved_expansion, response_json_bound, supporting_files, supporting_order, file_first_order, ranked_insert, cut_to_declarations, read_substitution, named_substitution, structural_evidence, declared_change_sets, declared_tests, declared_exemplars, declared_evidence, fallback_decisions, packet_build, packet_validation, disclosure_consumption, repeat_read_notices)}
+QUERIES = {f.__name__: f for f in (scoped_lexical, candidate_verification, candidate_limits, dispatched_search, evidence_records, evidence_contract, proved_expansion, response_json_bound, supporting_files, supporting_order, file_first_order, ranked_insert, cut_to_declarations, read_substitution, named_substitution, structural_evidence, declared_change_sets, declared_tests, declared_exemplars, declared_evidence, recovered_declarations, declaration_states, fallback_decisions, packet_build, packet_validation, disclosure_consumption, repeat_read_notices)}
 
 THING = A + HITS.format(**NEEDLE)
 HASH = "'sha256:' || sha256(encode(text))"
@@ -280,6 +308,13 @@ s as (select v.conv_id, total, reserved, 0 as k, 0 as body, '' as recs from v un
 z as (select *, {BARE('(total - k)', 'reserved')} + body as n from s), f as (select *, {FULL('n')} as delivered from z), b as (select * from f where delivered <= 1200 and reserved <= 1200 qualify row_number() over (partition by conv_id order by k desc) = 1),
 u as (select *, {_head('delivered', '(total - k)', 'reserved', 'recs', f"'{NO_ID}'")} as unsigned from b),
 p as (select v.conv_id, replace(unsigned, '{NO_ID}', 'sha256:' || sha256('brindle' || chr(0) || 'context-packet' || chr(0) || '1.0.0' || chr(0) || unsigned)) as packet, k::bigint as items, u.total - k as omitted, delivered::bigint as delivered, case when k is null then 'budget_too_small' else 'built' end as status from v left join u using (conv_id))"""
+# what the declarations of customers name: kind by its place, path, the file's hash now and the declared one
+DECLARED = A + f""", n as (select doc_id, path, {HASH} as h from art), c as (select o_custkey, 1 as o, coalesce(n.path, 'gone') as path, n.h, case when o_totalprice > 480000 then 'x' else n.h end as was from orders left join n on n.doc_id = o_orderkey % 1003),
+l as (select o_custkey, unnest([l_partkey % 1000, l_suppkey % 1000]) as d from lineitem join orders on l_orderkey = o_orderkey), t as (select o_custkey, 2, coalesce(n.path, 'gone'), n.h, n.h from l left join n on n.doc_id = d),
+x as (select conv_id, 3, coalesce(n.path, 'gone'), n.h, n.h from conversations left join n on n.doc_id = conv_id * 3 % 1000),
+e as (select o_custkey, o, path, any_value(h) as h, min(was) as was from (from c union all from t union all from x) group by all),
+p as (select o_custkey, o, {B64.format('encode(path)')} as u, case when h is null then 'source_unavailable' when h is distinct from was then 'source_changed' end as reason from e union all select distinct o_custkey, o, '', 'snapshot' from e where o = 2 and o_custkey % 17 = 3),
+f as (select o_custkey, arg_min(reason, o || u) as reason from p where reason is not null group by o_custkey)"""
 ORACLES = {
     "scoped_lexical": A + f", f as (select path, {FOLD.format('text')} as t from art where contains(path, '/src2/')), k as (select path, t, unnest(['the', 'thing']) as term from f) select path, term, ((length(t) - length(replace(t, term, ''))) / length(term))::bigint as n, octet_length(encode(split_part(t, term, 1)))::bigint as first from k where contains(t, term)",
     "candidate_verification": TWO + """, u as (select * from n0 union all select * from n1), o as (select *, row_number() over (order by path desc, needle, start) as r from u), c as (select *, greatest(start - ((64 - len) // 2), 0) as es from o where r <= 500)
@@ -310,6 +345,8 @@ select o_custkey, case when bool_or(bad) or count(*) > 10000 then 'invalid' when
     "declared_tests": "with p as (select l_orderkey, l_partkey as a, l_partkey * 7 % 2003 as b from lineitem) select l_orderkey, case when bool_or(not exists (select 1 from part where p_partkey = a) or not exists (select 1 from part where p_partkey = b)) then 'stale' when bool_or(a = b) or count(*) > count(distinct least('p' || a, 'p' || b) || ' ' || greatest('p' || a, 'p' || b)) then 'invalid' else 'verified' end as status from p group by l_orderkey",
     "declared_exemplars": "select l_orderkey, case when bool_or(l_discount > 0.09) then 'invalid' when bool_or(p_partkey is null) then 'stale' when count(*) > count(distinct l_partkey) then 'invalid' else 'verified' end as status from lineitem left join (select p_partkey from part where p_size > 1) on p_partkey = l_partkey group by l_orderkey",
     "declared_evidence": A + " select path, hex(array_slice(encode(text), 1, 100)) as excerpt, octet_length(encode(text))::bigint as size from art where doc_id in (select doc_id from labels)",
+    "recovered_declarations": DECLARED + f" select o_custkey, ['change_set', 'associated_tests', 'convention_exemplars'][min(o)] as kind, path, 'sha256:' || sha256('brindle' || chr(0) || 'evidence' || chr(0) || '1.0.0' || chr(0) || any_value(h) || chr(0) || '0' || chr(0) || path || chr(0) || '{SNAPSHOT}' || chr(0) || '0') as evidence_id from e where o_custkey not in (select o_custkey from f) group by o_custkey, path",
+    "declaration_states": DECLARED + " select o_custkey, case when f.o_custkey is null then 'recovered' else 'stale' end as status, reason, case when f.o_custkey is null and o_custkey % 5 = 0 and bool_or(o = 1) then 'asserted_base_revision_unavailable_or_mismatched' end as unknown, count(*) as entries from e left join f using (o_custkey) group by o_custkey, f.o_custkey, reason",
     "fallback_decisions": "with e as (select case when user_id < 50 then 'required' when user_id < 100 then 'preferred' else 'disabled' end as requirement, [" + ", ".join(f"'{x}'" for x in FALLBACKS) + f"][event_id % {len(FALLBACKS)} + 1] as reason from events) select requirement, reason, bool_and(requirement = 'disabled' or (requirement = 'preferred' and reason in ('engine_unavailable', 'unsupported_capability'))) as allowed from e group by all",
     "disclosure_consumption": """with l as (select user_id, list(struct_pack(a := 1::bigint, b := floor(value)::bigint, c := case when event_type = 'view' then floor(value * 2)::bigint else 0 end, trail := [struct_pack(e := event_id, ok := true, a := 0::bigint, b := 0::bigint, c := 0::bigint)]) order by event_id) as items from events group by user_id),
 s as (select user_id, list_reduce(items, lambda s, x: case when s.a + x.a <= 20 and s.b + x.b <= 900 and s.c + x.c <= 700 then struct_pack(a := s.a + x.a, b := s.b + x.b, c := s.c + x.c, trail := list_concat(s.trail, [struct_pack(e := x.trail[1].e, ok := true, a := s.a + x.a, b := s.b + x.b, c := s.c + x.c)])) else struct_pack(a := s.a, b := s.b, c := s.c, trail := list_concat(s.trail, [struct_pack(e := x.trail[1].e, ok := false, a := s.a, b := s.b, c := s.c)])) end,

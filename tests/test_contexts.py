@@ -492,3 +492,17 @@ def test_files_that_hold_needles(spark, slice_bytes):
     found = {(r["k"], r["path"]) for r in evaluation.holding(files, needles, "k", slice_bytes).collect()}
     assert found == {(1, "a"), (1, "b"), (2, "b"), (6, "a"), (6, "b"), (7, "a")}
     assert evaluation.holding(files, needles.limit(0), "k").count() == 0
+
+
+def test_declarations_are_recovered_whole_or_not_at_all(spark):
+    art = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "")], "path string, text string")
+    h = {r["path"]: r["h"] for r in art.select("path", E.content_hash(F.col("text")).alias("h")).collect()}
+    changes = [(1, "a", h["a"]), (1, "a", h["a"]), (2, "a", h["a"]), (2, "gone", h["a"]), (3, "b", None), (4, "b", h["b"])]
+    pairs = [(1, "a", h["a"], "c", h["c"]), (4, "b", h["b"], "b", h["b"])]
+    items = [(1, "c", h["c"]), (1, "b", h["b"])]
+    rows = lambda data, cols: spark.createDataFrame(data, cols)
+    entries = E.declared_entries(rows(changes, "k int, path string, content_hash string"), rows(pairs, "k int, source string, source_hash string, test string, test_hash string"), rows(items, "k int, path string, content_hash string"), "k")
+    declared = rows([(1, "change_set", "s", E.UNPROVED_BASE), (1, "associated_tests", "s", None), (2, "change_set", "s", None), (3, "change_set", "s", None), (4, "change_set", "s", None), (4, "associated_tests", "old", None), (5, "change_set", "s", None)], "k int, kind string, workspace_snapshot string, base_status string")
+    evidence, states = E.recovered_declarations(declared, entries, "k", art, "s")
+    assert {tuple(r) for r in states.collect()} == {(1, "recovered", None, E.BASE_UNKNOWN, 5), (2, "stale", "source_unavailable", None, 2), (3, "stale", "source_changed", None, 1), (4, "stale", "snapshot", None, 2), (5, "recovered", None, None, 0)}
+    assert {(r["k"], r["kind"], r["path"]) for r in evidence.collect()} == {(1, "change_set", "a"), (1, "associated_tests", "c"), (1, "convention_exemplars", "b")}
