@@ -69,11 +69,14 @@ def classify(files: DataFrame) -> DataFrame:
     return rows.select("path", "content_hash", "size", "k.format", "k.classes", "k.platforms", F.when(F.col("k.format") == "unknown", "unknown").otherwise("observed").alias("classification"), "k.requirements", limits.alias("limitations"))
 
 
-def inventory(files: DataFrame, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES, most_file_bytes: int = MOST_FILE_BYTES, most_output: int = MOST_OUTPUT) -> tuple[DataFrame, DataFrame]:
+def inventory(files: DataFrame, most_files: int | None = MOST_FILES, most_bytes: int = MOST_BYTES, most_file_bytes: int = MOST_FILE_BYTES, most_output: int = MOST_OUTPUT) -> tuple[DataFrame, DataFrame]:
     """(artifacts, exclusions) in path order: files up to the first that breaks a bound, without those that are too large.
 
-    Sizes alone are looked at for the bounds; at most most_files and one of them meet in a window.
+    Sizes alone are looked at for the bounds; at most most_files and one of them meet in a window. Without most_files there
+    is no bound of any kind: all files are artifacts, in no order, and none meet.
     """
+    if most_files is None:
+        return classify(files), files.select(F.lit("").alias("reason"), F.lit(0).cast("long").alias("files")).limit(0)
     sizes = files.select("path", F.octet_length("content").cast("long").alias("size"))
     total = sizes.agg(F.count("*").alias("all"))
     first = sizes.orderBy("path").limit(most_files + 1)
