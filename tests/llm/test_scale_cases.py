@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -255,3 +256,32 @@ def test_language_sample_holds_its_bound(spark):
     for count in (1 << 23, 10**8, 10**12):
         cutoff = spark.range(1).select(language_id.sample_cutoff(count, 256), language_id.sample_cutoff(F.lit(count).cast("long"), 256)).first()
         assert cutoff[0] == cutoff[1] == pytest.approx((1 << 40) * 512 / count)
+
+
+# 7
+
+
+def test_parts_leave_no_shuffle_files_behind(spark, monkeypatch, tmp_path):
+    from brindle.llm import feistel_order
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(str(b).startswith("shuffle_") for b in (lambda s: [s.apply(i) for i in range(s.size())])(disk.getAllBlocks()))
+    at_start, left = shuffled(), []
+
+    def stage_without_collection(df, name, compression=None):
+        path = f"file://{tmp_path}/{len(left)}-{name}"
+        df.write.parquet(path)
+        end = time.monotonic() + 5  # files are removed in the background
+        while shuffled() > at_start and time.monotonic() < end:
+            time.sleep(0.05)
+        left.append(shuffled())
+        staged = df.sparkSession.read.schema(df.schema).parquet(path)
+        staged.staged_at = path
+        return staged
+
+    monkeypatch.setattr(feistel_order, "stage", stage_without_collection)
+    setting = spark.conf.get(feistel_order.SHUFFLE_CLEANUP, None)
+    out = feistel_order.materialise(frame(spark, [(i, "a text " * 200) for i in range(50)]), b"k", f"file://{tmp_path}/shards", per_shard=4)
+    assert out.count() >= 50 and len(left) >= 4
+    assert max(left) <= at_start
+    assert spark.conf.get(feistel_order.SHUFFLE_CLEANUP, None) == setting
