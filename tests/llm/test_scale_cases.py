@@ -285,3 +285,13 @@ def test_parts_leave_no_shuffle_files_behind(spark, monkeypatch, tmp_path):
     assert out.count() >= 50 and len(left) >= 4
     assert max(left) <= at_start
     assert spark.conf.get(feistel_order.SHUFFLE_CLEANUP, None) == setting
+
+
+def test_parts_need_no_more_room_as_shards_grow():
+    from brindle.llm.feistel_order import part_bounds
+
+    assert part_bounds(192, 2) == [0, 128, 192] and part_bounds(7, 3) == [0, 4, 6, 7] and part_bounds(1, 2) == [0, 1] and part_bounds(9, 1) == [0, 9]
+    for n, passes in ((1, 4), (2, 2), (1000, 2), (1000, 3)):
+        bounds = part_bounds(n, passes)
+        assert bounds[0] == 0 and bounds[-1] == n
+        assert max(b + (b - a) for a, b in zip(bounds, bounds[1:])) <= n * (1 << passes) / ((1 << passes) - 1) + passes
