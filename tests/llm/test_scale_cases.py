@@ -295,3 +295,18 @@ def test_parts_need_no_more_room_as_shards_grow():
         bounds = part_bounds(n, passes)
         assert bounds[0] == 0 and bounds[-1] == n
         assert max(b + (b - a) for a, b in zip(bounds, bounds[1:])) <= n * (1 << passes) / ((1 << passes) - 1) + passes
+
+
+def test_new_words_are_encoded_many_at_a_time():
+    """op7: a call of the tokenizer for each new word was most of the time; ids are those of the library for odd texts too."""
+    from brindle.llm import feistel_order
+    from brindle.llm.queries import PIECES, vocabulary
+
+    ids = feistel_order.Ids(vocabulary(PIECES))
+    calls, encode = [], ids.words.encode
+    ids.words.encode = lambda text: calls.append(text) or encode(text)
+    texts = [" ".join(f"wort{i}é{j},\nneu{i} 字{j}" for j in range(20)) for i in range(50)]
+    odd = ["", " ", "a  b", "\n", "\n\na", "a\n", "x ▁ y", "<s> </s> <0x0A>", "ﬁ　́\tz\r q", "\U0001f600\x00 b"]
+    got = ids([t.encode() for t in texts + odd])
+    assert got == [np.array(encode(t), "<u2").tobytes() for t in texts + odd]
+    assert 0 < len(calls) <= 10
